@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def cuts(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordB
     at = next(i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type) or pa.types.is_large_string(f.type) or pa.types.is_binary(f.type))
     if not batch.num_rows:
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < len(ends):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
@@ -113,7 +114,7 @@ def cuts(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordB
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and the n + 1 offsets of its rows in them; null counts as empty."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
