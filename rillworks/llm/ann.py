@@ -18,7 +18,7 @@ from .common import stored, table, worker_path
 #: Codebooks, codewords in each, hypotheses kept while coding, sampled vectors for learning, candidates ranked anew for each query.
 BOOKS, WORDS, BEAM, SAMPLE, RERANK = 32, 128, 4, 20_000, 300
 #: Rows of codes and queries that meet in one task.
-CODE_BLOCK, QUERY_BLOCK = 8_192, 4_096
+CODE_BLOCK, QUERY_BLOCK = 16_384, 4_096
 
 
 def encode(units: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
@@ -137,9 +137,34 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         return pa.table([pa.array(found_q, pa.int64()), pa.array(found, pa.list_(pa.struct([("s", pa.float32()), ("id", pa.int64())])))], names=["query_id", "near"])
 
     near = codes.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInArrow(score, "query_id long, near array<struct<s:float,id:long>>")
-    pairs = near.select("query_id", F.inline("near")).where("query_id <> id")
-    first = Window.partitionBy("query_id").orderBy(F.desc("s"), "id")
-    pairs = pairs.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "id")
+
+    def merge(batches):
+        now, scores, ids = None, np.zeros(0, np.float32), np.zeros(0, np.int64)
+
+        def done():
+            keep = ids != now
+            at = best(scores[keep], ids[keep], rerank)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), now, np.int64)), pa.array(ids[keep][at])], names=["query_id", "id"])
+
+        for b in batches:
+            lists = b.column(1)
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            s, x = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            for i, q in enumerate(b.column(0).to_numpy()):
+                if q != now:
+                    if now is not None:
+                        yield done()
+                    now, scores, ids = q, scores[:0], ids[:0]
+                scores, ids = np.concatenate([scores, s[at[i] : at[i + 1]]]), np.concatenate([ids, x[at[i] : at[i + 1]]])
+                if len(ids) > rerank + 1:
+                    top = best(scores, ids, rerank + 1)
+                    scores, ids = scores[top], ids[top]
+        if now is not None:
+            yield done()
+
+    # Blocks' lists of a query meet in a sorted stream, which keeps the best so far only.
+    pairs = near.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, id long")
     exact = F.aggregate(F.zip_with("v", "qv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.join(rows.select("id", "v"), "id").join(rows.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").select("query_id", F.col("id").alias("vec_id"), exact.alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
