@@ -64,14 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _forget_at_exit(spark, path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _kept: list[tuple[SparkSession, str]] = []
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
+def delete_at_exit(spark: SparkSession, path: str) -> None:
     if not _kept:
         atexit.register(_forget)
     _kept.append((spark, path))
