@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
-Texts are cut into pre-tokens with their positions, chunk by chunk; a chunk sends each of its distinct words once. All uses of a word meet in a
-sorted stream, where it is encoded once; the ids go back to the chunks, and documents are put together by position. Decoding joins ids
-with the table of token bytes.
+Texts are cut into pre-tokens with their positions, chunk by chunk; a chunk sends each of its distinct words once, packed by a hash of the word.
+All uses of a word meet in one part of a sorted stream, where it is encoded once; the ids go back to the chunks, and documents are put
+together by position. Decoding joins ids with the table of token bytes.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,25 +58,42 @@ class Chunk:
         self.docs += [(k, at[e - len(words) : e]) for k, words, e in zip(keys, found, ends, strict=True)]
         self.bytes += sum(map(len, filter(None, texts)))
 
-    def rows(self, name: str, key_type: pa.DataType):
-        """Frequent words get small numbers, so that positions pack well."""
+    def rows(self, name: str, key_type: pa.DataType, parts: int):
+        """First the words, packed by part (a hash of the word); then the documents. Frequent words get small numbers, so that positions pack well."""
         count = np.zeros(len(self.words), np.int64)
         for _, at in self.docs:
             count += np.bincount(at, minlength=len(count))
         rank = np.empty(len(count), np.int32)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.int32)
-        words = list(self.words)
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
-            yield _batch(name, pa.array(rank[lo : lo + len(part)]), pa.array(part, pa.string()), pa.nulls(len(part), key_type), pa.nulls(len(part), pa.binary()))
+        words = [w.encode() for w in self.words]
+        part = np.array([zlib.crc32(w) % parts for w in words], np.int32)
+        order = np.lexsort((rank, part))
+        found, first = np.unique(part[order], return_index=True)
+        packed = [pack(rank[own], [words[i] for i in own]) for own in np.split(order, first[1:])] if len(order) else []
+        for lo in range(0, len(packed), 256):
+            n = len(packed[lo : lo + 256])
+            yield _batch(name, pa.array(found[lo : lo + n]), pa.array(packed[lo : lo + n], pa.binary()), pa.nulls(n, key_type), pa.nulls(n, pa.binary()))
         for lo in range(0, len(self.docs), 256):
-            part = self.docs[lo : lo + 256]
-            packed = [np.ascontiguousarray(rank[at].astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for _, at in part]
-            yield _batch(name, pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.nulls(len(part), pa.string()), pa.array([k for k, _ in part], key_type), pa.array(packed, pa.binary()))
+            some = self.docs[lo : lo + 256]
+            planes = [np.ascontiguousarray(rank[at].astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for _, at in some]
+            yield _batch(name, pa.array(np.arange(lo, lo + len(some), dtype=np.int32)), pa.nulls(len(some), pa.binary()), pa.array([k for k, _ in some], key_type), pa.array(planes, pa.binary()))
 
 
-def _batch(name: str, at: pa.Array, word: pa.Array, key: pa.Array, packed: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(at)), at, word, key, packed], names=["chunk", "at", "word", "key", "packed"])
+def pack(at: np.ndarray, values: list[bytes]) -> bytes:
+    """Rising numbers and a value for each."""
+    sizes = np.array([len(v) for v in values], "<u4")
+    return zstandard.compress(b"".join([np.uint32(len(values)).tobytes(), np.diff(at, prepend=0).astype("<u4").tobytes(), sizes.tobytes(), *values]), 3)
+
+
+def unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(numbers, sizes of the values, the values in a row)."""
+    plain = zstandard.decompress(packed)
+    n = int(np.frombuffer(plain, "<u4", 1)[0])
+    return np.cumsum(np.frombuffer(plain, "<u4", n, 4).astype(np.int64)), np.frombuffer(plain, "<u4", n, 4 + 4 * n).astype(np.int64), plain[4 + 8 * n :]
+
+
+def _batch(name: str, part: pa.Array, words: pa.Array, key: pa.Array, packed: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(part)), part, words, key, packed], names=["chunk", "part", "words", "key", "packed"])
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -91,6 +110,7 @@ def encode(df: DataFrame, finish: Callable[[np.ndarray], tuple], columns: list[t
     worker_path(spark)
     kind = df.schema[id_col].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * buckets
 
     def chunks(batches):
         split, number, chunk, key_type = regex.compile(pattern), 0, Chunk(), None
@@ -99,49 +119,55 @@ def encode(df: DataFrame, finish: Callable[[np.ndarray], tuple], columns: list[t
             key_type = batch.schema.field(1).type
             for part in cuts(batch, SLICE_BYTES):
                 if chunk.docs and chunk.bytes + part.column(0).nbytes > CHUNK_BYTES:
-                    yield from chunk.rows(f"{task}-{number}", key_type)
+                    yield from chunk.rows(f"{task}-{number}", key_type, parts)
                     number, chunk = number + 1, Chunk()
                 chunk.add(part.column(1).to_pylist(), part.column(0).to_pylist(), split)
         if chunk.docs:
-            yield from chunk.rows(f"{task}-{number}", key_type)
+            yield from chunk.rows(f"{task}-{number}", key_type, parts)
 
     name = f"bpe_chunks_{uuid.uuid4().hex}"
-    made = df.select(F.col(text).cast("string").alias("t"), F.col(id_col).alias("key")).mapInArrow(chunks, f"chunk string, at int, word string, key {kind}, packed binary")
+    made = df.select(F.col(text).cast("string").alias("t"), F.col(id_col).alias("key")).mapInArrow(chunks, f"chunk string, part int, words binary, key {kind}, packed binary")
     made.write.bucketBy(buckets, "chunk").format("parquet").option("compression", "zstd").saveAsTable(name)
     delete_at_exit(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
     rows = spark.table(name)
 
     def encoded(batches):
-        one = piece_encoder(ranks(path))
-        last, ids = None, b""
+        known = ranks(path)
+        one, kind = piece_encoder(known), "<u2" if max(known.values(), default=0) < 1 << 16 else "<u4"
+        last, ids = None, {}
         for batch in batches:
             out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:  # words come sorted: each is encoded once
-                    last, ids = word, np.array(one(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "at", "ids"])
-
-    words = rows.where("word is not null").select("chunk", "at", "word").repartition(buckets, "word").sortWithinPartitions("word").mapInArrow(encoded, "chunk string, at int, ids binary")
+            for part, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part != last:  # parts come sorted: all uses of a word are in one, and it is encoded once
+                    last, ids = part, {}
+                at, sizes, words = unpacked(packed)
+                values, ends = [], np.cumsum(sizes).tolist()
+                for lo, hi in zip([0, *ends], ends, strict=False):
+                    word = words[lo:hi]
+                    if (found := ids.get(word)) is None:
+                        found = ids[word] = np.array(one(word.decode()), kind).tobytes()
+                    values.append(found)
+                out.append(pack(at, values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([kind] * len(out))], names=["chunk", "ids", "kind"])
+
+    words = rows.where("words is not null").select("chunk", "part", "words").repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(encoded, "chunk string, ids binary, kind string")
     docs = rows.where("packed is not null").select("chunk", "key", "packed")
 
     def together(words: pa.Table, docs: pa.Table) -> pa.Table:
-        n = words.num_rows
-        column = words["ids"].combine_chunks() if n else pa.array([], pa.binary())
-        column = column.cast(pa.large_binary())
-        _, offsets, data = column.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1] // 4 if n else np.zeros(1, np.int64)
-        flat = np.frombuffer(data, "<u4") if n else np.zeros(0, "<u4")
-        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        place = words["at"].to_numpy()
-        start[place], size[place] = offsets[:-1], np.diff(offsets)
+        met = [unpacked(x.as_py()) for x in words["ids"]]
+        kind = np.dtype(words["kind"][0].as_py() if met else "<u2")
+        flat = np.frombuffer(b"".join(values for _, _, values in met), kind)
+        sizes = np.concatenate([sizes for _, sizes, _ in met] or [np.zeros(0, np.int64)]) // kind.itemsize
+        place = np.concatenate([at for at, _, _ in met] or [np.zeros(0, np.int64)])
+        start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        start[place], size[place] = np.cumsum(sizes) - sizes, sizes
         out = []
         for packed in docs["packed"]:
             at = unpack(packed.as_py())
             sizes = size[at]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
-            out.append(finish(flat[np.repeat(start[at] - ends + sizes, sizes) + np.arange(total)]))
+            out.append(finish(flat[np.repeat(start[at] - ends + sizes, sizes) + np.arange(total)].astype("<u4")))
         return pa.table([docs["key"], *[pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(columns)]], names=[id_col, *[c for c, _ in columns]])
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}
