@@ -7,12 +7,13 @@ unchanged, so exact hits of pieces (one Aho-Corasick pass for all items) find ev
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_arrow, table
 
@@ -143,36 +144,54 @@ def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     Texts are compared in lower case with white space as single spaces. Null and empty texts match nothing, nor do null and empty items;
     items of equal text are matched each; repeated rows give repeated matches. Items are taken in shards of bounded size, each in one pass over df.
     """
-    spark = df.sparkSession
-    total = items.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
-    shards = 1 + total // SHARD_CHARS
     kind, item_kind = df.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    found = None
-    for s in range(shards):
-        own = [(r["i"], normal(r["t"])) for r in items.where(F.pmod(F.xxhash64(item_id), F.lit(shards)) == s).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).collect()]
-        sent = spark.sparkContext.broadcast(own)
-        cache: list[Matcher] = []
+    item_type = to_arrow_type(items.schema[item_id].dataType)
+    rows, found = df.select(F.col(text).cast("string").alias("t"), F.col(id_col).alias("id")), None
+    for matcher in _shards(items, item_id, item_text, rate):
 
-        def work(batch: pa.RecordBatch, sent=sent, cache=cache) -> pa.RecordBatch:
-            if not cache:
-                cache.append(Matcher(sent.value, rate))
+        def work(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
             out: list[list] = [[], [], [], [], []]
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for item, distance, start, end in cache[0].find(normal(t)):
+            for t, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for item, distance, start, end in matcher().find(normal(t)):
                     for column, x in zip(out, (key, item, distance, *span(t, start, end)), strict=True):
                         column.append(x)
-            kinds = [batch.schema.field(0).type, None, pa.int32(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k or pa.int64()) if k or not x or isinstance(x[0], int) else pa.array(x) for x, k in zip(out, kinds, strict=True)], names=["id", "item", "distance", "start", "end"])
+            kinds = (batch.schema.field(1).type, item_type, pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["id", "item", "distance", "start", "end"])
 
-        part = map_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("t")), work, f"id {kind}, item {item_kind}, distance int, start int, end int")
+        part = map_arrow(rows, work, f"id {kind}, item {item_kind}, distance int, start int, end int")
         found = part if found is None else found.unionAll(part)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "distance", "start", "end")
 
 
-def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of df whose text holds no item. Rows with a null id are judged by their text like others (ids must tell texts apart)."""
-    hit = matches(df, items, id_col, text, **how).select(F.col(id_col).alias("_hit")).distinct()
-    return df.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+def _shards(items: DataFrame, item_id: str, item_text: str, rate: float) -> Iterator[Callable[[], Matcher]]:
+    """For each shard of items, what gives its matcher on a worker (made once a task)."""
+    spark = items.sparkSession
+    shards = 1 + (items.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0) // SHARD_CHARS
+    for s in range(shards):
+        own = items.where(F.pmod(F.xxhash64(item_id), F.lit(shards)) == s).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).collect()
+        sent, made = spark.sparkContext.broadcast([(r["i"], normal(r["t"])) for r in own]), []
+
+        def matcher(sent=sent, made=made) -> Matcher:
+            if not made:
+                made.append(Matcher(sent.value, rate))
+            return made[0]
+
+        yield matcher
+
+
+def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of df whose text holds no item, unchanged, by the rules of ``matches``. Each row is judged by itself, in place."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema, strict=True))
+    out = df.toDF(*names)
+    for matcher in _shards(items, item_id, item_text, rate):
+
+        def keep(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
+            clean = [next(matcher().find(normal(t)), None) is None for t in batch.column(0).to_pylist()]
+            return batch.filter(pa.array(clean, pa.bool_())).select(batch.schema.names[1:])
+
+        out = map_arrow(out.select(F.col(names[df.columns.index(text)]).cast("string").alias("t"), *names), keep, kinds)
+    return out.toDF(*df.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
