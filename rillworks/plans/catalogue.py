@@ -1,6 +1,449 @@
-"""Every query over the reference tables, each with the same thing in SQL where SQL can express it."""
+"""Every query over the driver's tables, each with the same thing in SQL where SQL can express it.
+
+Tables stand in for the streams and catalogues of the data model: events for a message log (event_id is the id, event_type the type or
+stream, props the payload), documents and orders for articles, pages for feed entries, embeddings for article vectors.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import json, retry, text
+from ..operators import batches, cache, catalog, dedup, envelope, log, prioritise, route, vector
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+ROUTES = {"view": "s1", "click": "s1", "purchase": "s2", "signup": "s3"}
+TYPES = {"purchase": "user", "signup": "admin", "click": "background", "view": "logging"}
+DELIVERED, UNACKED = 5_000, 7
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _map(column: str, pairs: dict[str, str], other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {other} END"
+
+
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL AND url <> ''),
+d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM p),
+seen AS (SELECT DISTINCT url FROM pages WHERE page_id % 5 = 0)
+SELECT md5(url) AS message_id, '2024-01-01T00:00:00' AS timestamp, 'background' AS type, url, host AS source_rss
+FROM d WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.url = d.url)""")
+def ingest_envelope(spark, sf_dir):
+    """S3, P1-P3, G1, J1, J3, SC1, SC7: one ingestion cycle; pages whose id 5 divides have been seen before."""
+    pages = table(spark, sf_dir, "pages")
+    articles = pages.select(F.lit(0).alias("feed_idx"), F.col("page_id").alias("entry_idx"), F.col("url").alias("link"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("source"))
+    seen = pages.where("page_id % 5 = 0").select(F.col("url").alias("item"))
+    fresh = dedup.unseen(dedup.first_wins(dedup.with_link(articles), "link", ["feed_idx", "entry_idx"]), seen, "link")
+    return envelope.envelopes(fresh, text.iso_time(F.lit("2024-01-01").cast("timestamp_ntz"))).select("header.*", "data.*")
+
+
+@query("SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def dedup_first_wins(spark, sf_dir):
+    """G1."""
+    return dedup.first_wins(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", ["doc_id"])
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def seen_anti(spark, sf_dir):
+    """J1, U3."""
+    return dedup.unseen(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def seen_semi(spark, sf_dir):
+    """J2 as a filter."""
+    return dedup.already_seen(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) THEN 1 ELSE 0 END::INTEGER AS is_seen FROM customer c")
+def seen_flag(spark, sf_dir):
+    """J2 as a flag."""
+    return dedup.flagged(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+@query("SELECT o_custkey AS item FROM orders UNION SELECT c_custkey FROM customer")
+def seen_added(spark, sf_dir):
+    """U2, K7."""
+    return dedup.added(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT date_trunc('hour', ts) AS cyc, user_id AS x FROM events WHERE event_type = 'purchase' AND user_id < 40),
+b AS (SELECT row_number() OVER (ORDER BY cyc) AS i, cyc, list(x) AS ks FROM e GROUP BY cyc),
+r AS (
+  SELECT i, cyc, ks AS seen, cyc + INTERVAL 12 HOUR AS e, len(ks)::BIGINT AS nw, 0::BIGINT AS sn FROM b WHERE i = 1
+  UNION ALL
+  SELECT b.i, b.cyc, list_distinct(list_concat(CASE WHEN b.cyc >= r.e THEN [] ELSE r.seen END, b.ks)),
+         CASE WHEN len(list_filter(b.ks, lambda x: b.cyc >= r.e OR NOT list_contains(r.seen, x))) > 0 THEN b.cyc + INTERVAL 12 HOUR ELSE r.e END,
+         len(list_filter(b.ks, lambda x: b.cyc >= r.e OR NOT list_contains(r.seen, x)))::BIGINT,
+         (len(b.ks) - len(list_filter(b.ks, lambda x: b.cyc >= r.e OR NOT list_contains(r.seen, x))))::BIGINT
+  FROM r JOIN b ON b.i = r.i + 1)
+SELECT cyc::TIMESTAMP AS cycle, nw AS new_items, sn AS seen_items, nw + sn AS total_items FROM r""")
+def cycle_stats_rolling_ttl(spark, sf_dir):
+    """Hourly cycles of purchases; the set lives 12 hours after it last grew."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' and user_id < 40").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("cycle"), "user_id")
+    return dedup.cycle_stats(rows, "cycle", "user_id", 12 * 3600)
+
+
+@query("""SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') AS absent, list_contains(json_keys(props), 'k') AS has_k,
+       NOT json_valid(props) AS is_corrupt FROM events""")
+def json_payload_decode(spark, sf_dir):
+    """SC4, P5, P6."""
+    p = F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", "event_type", json.field(p, "$.k", "bigint").alias("k"), json.field(p, "$.absent").alias("absent"), json.has_key(p, "k").alias("has_k"), json.corrupt(p).alias("is_corrupt"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{bad' WHEN event_id % 5 = 1 THEN '{}' WHEN event_id % 5 = 2 THEN NULL ELSE props END AS raw FROM events)
+SELECT event_id, raw IS NOT NULL AND raw <> '{}' AS is_hit, CASE WHEN NOT json_valid(raw) THEN raw END AS value_raw FROM t""")
+def cache_decode(spark, sf_dir):
+    """SC6, F8: text that is no JSON is kept as it is; empty values are no hit."""
+    m = F.col("event_id") % 5
+    raw = F.when(m == 0, "{bad").when(m == 1, "{}").when(m == 2, None).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", json.truthy(F.col("raw")).alias("is_hit"), F.when(json.corrupt(F.col("raw")), F.col("raw")).alias("value_raw"))
+
+
+@query("SELECT event_id, json_extract_string(json_object('event_type', event_type, 'user_id', user_id, 'nothing', NULL), '$.event_type') AS event_type, user_id::VARCHAR AS user_id, true AS has_nothing FROM events")
+def json_encode_roundtrip(spark, sf_dir):
+    """SC5, K1, P4: encoded with null fields, then read back."""
+    row = F.struct("event_type", "user_id", F.lit(None).cast("string").alias("nothing"))
+    p = F.col("payload")
+    return table(spark, sf_dir, "events").select("event_id", json.encoded(row).alias("payload")).select("event_id", json.field(p, "$.event_type").alias("event_type"), json.field(p, "$.user_id").alias("user_id"), json.has_key(p, "nothing").alias("has_nothing"))
+
+
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) SELECT o_orderkey, p::BIGINT AS position, ((p // 7) * 7)::BIGINT AS batch_id, count(*) OVER (PARTITION BY p // 7)::BIGINT AS size FROM r")
+def batch_assign(spark, sf_dir):
+    """W1."""
+    return batches.assigned(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 7)
+
+
+@query("WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) SELECT ((p // 100) * 100)::BIGINT AS batch_id, count(*)::BIGINT AS n, min(o_orderkey)::BIGINT AS first_key, max(o_totalprice) AS top_price FROM r GROUP BY p // 100")
+def batch_action(spark, sf_dir):
+    """A user function on each batch."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+
+    def action(pdf):
+        return pdf.head(1)[["batch_id"]].assign(n=len(pdf), first_key=pdf["o_orderkey"].iloc[0], top_price=pdf["o_totalprice"].max())
+
+    return batches.batch_action(rows, ["o_orderkey"], 100, action, "batch_id long, n long, first_key long, top_price double")
+
+
+_PRIORITY = "CASE {} WHEN 'user' THEN 1 WHEN 'admin' THEN 1 WHEN 'background' THEN 2 WHEN 'logging' THEN 3 ELSE 'inf'::DOUBLE END"
+
+
+@query(f"""WITH t AS (SELECT event_id, (event_id // 10)::BIGINT AS batch, {_map('event_type', TYPES, "'other'")} AS type FROM events)
+SELECT event_id, batch, type, ({_PRIORITY.format('type')})::DOUBLE AS priority, row_number() OVER (PARTITION BY batch ORDER BY {_PRIORITY.format('type')}, event_id)::BIGINT AS rank FROM t""")
+def priority_in_batch(spark, sf_dir):
+    """Stable order of batches of ten."""
+    kind = F.coalesce(route.stream_of(F.col("event_type"), TYPES), F.lit("other"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 10).cast("long").alias("batch"), kind.alias("type"))
+    return prioritise.ranked(rows, "batch", F.col("type"), ["event_id"])
+
+
+@query(f"""WITH t AS (SELECT event_id, (event_id // 10)::BIGINT AS batch FROM events)
+SELECT event_id, batch, 'inf'::DOUBLE AS priority, row_number() OVER (PARTITION BY batch ORDER BY event_id)::BIGINT AS rank FROM t""")
+def priority_bare_path(spark, sf_dir):
+    """O1 with the type looked for outside the header, where envelopes have none: the order stays."""
+    kind = F.coalesce(route.stream_of(F.col("event_type"), TYPES), F.lit("other"))
+    payload = json.encoded(F.struct(F.struct(kind.alias("type")).alias("header")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 10).cast("long").alias("batch"), payload.alias("payload"))
+    return prioritise.ranked(rows, "batch", prioritise.kind_of(F.col("payload"), "$.type"), ["event_id"]).drop("payload")
+
+
+@query("SELECT event_id, event_type AS stream, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 10")
+def multi_stream_take(spark, sf_dir):
+    """Ten rows of each stream."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("stream"), "ts")
+    return log.take_per_stream(rows, 10, ["ts", "event_id"])
+
+
+@query("SELECT event_id, event_type AS stream, CASE event_type WHEN 'view' THEN 0 ELSE 1 END::INTEGER AS stream_pos FROM events WHERE event_type IN ('view', 'click')")
+def stream_union(spark, sf_dir):
+    """U1, U4, T8."""
+    events = table(spark, sf_dir, "events")
+    return log.union_streams({s: events.where(F.col("event_type") == s).select("event_id") for s in ("view", "click")})
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = 'view' AND event_id > 100 ORDER BY event_id LIMIT 1")
+def take_first_undelivered(spark, sf_dir):
+    """One message after the cursor."""
+    return log.take_one(table(spark, sf_dir, "events").where("event_type = 'view' and event_id > 100").select("event_id", "ts"), ["event_id"])
+
+
+@query(f"SELECT {_map('event_type', ROUTES, 'NULL')} AS stream, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def route_counts(spark, sf_dir):
+    """Types of one stream are summed; unroutable rows are counted."""
+    return route.route_counts(table(spark, sf_dir, "events"), "event_type", ROUTES)
+
+
+@query(f"SELECT event_id, event_type, {_map('event_type', ROUTES, 'NULL')} AS stream FROM events WHERE event_type IN ({', '.join(repr(k) for k in ROUTES)})")
+def route_split(spark, sf_dir):
+    """J5, K4."""
+    return route.routed(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ROUTES)
+
+
+@query("SELECT user_id, event_type, count(*)::BIGINT AS n, min(event_id)::BIGINT AS first_id FROM events GROUP BY ALL")
+def group_by_type(spark, sf_dir):
+    """Messages by type (and user), as lists; their length and first."""
+    grouped = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    return grouped.select("user_id", "event_type", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
+
+
+@query("SELECT event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5000")
+def retention_trim(spark, sf_dir):
+    """K3, O6."""
+    return log.retained(table(spark, sf_dir, "events").select("event_id", "ts"), 5000, ["ts", "event_id"])
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
+def newest5(spark, sf_dir):
+    """O3."""
+    return log.newest(table(spark, sf_dir, "events").select("event_id", "ts"), 5, ["ts", "event_id"])
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 5")
+def oldest5(spark, sf_dir):
+    """O4."""
+    return log.oldest(table(spark, sf_dir, "events").select("event_id", "ts"), 5, ["ts", "event_id"])
+
+
+@query("SELECT event_type AS stream, count(*)::BIGINT AS length, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1")
+def log_summary(spark, sf_dir):
+    """G5, G6, G10."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stream")).agg(F.count("*").alias("length"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT count(DISTINCT user_id)::BIGINT AS cardinality FROM events")
+def seen_cardinality(spark, sf_dir):
+    """G5."""
+    return log.cardinality(table(spark, sf_dir, "events"), "user_id")
+
+
+def _group(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("id_ms"), F.lit(0).cast("long").alias("id_seq"), F.col("user_id"))
+    given = rows.where(F.col("id_ms") < DELIVERED).select("stream", F.lit("g").alias("group_name"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("consumer"), "id_ms", "id_seq")
+    return rows.drop("user_id"), given, given.where(F.col("id_ms") % UNACKED != 0).drop("consumer")
+
+
+@query(f"""WITH d AS (SELECT event_type AS stream, event_id, user_id % 3 AS c FROM events WHERE event_id < {DELIVERED}),
+n AS (SELECT event_type AS stream, count(*) AS n FROM events GROUP BY 1)
+SELECT d.stream, 'g' AS group_name, count(DISTINCT c)::BIGINT AS consumers, count(*) FILTER (WHERE event_id % {UNACKED} = 0)::BIGINT AS pending, max(event_id)::BIGINT AS last_ms, 0::BIGINT AS last_seq,
+       count(*)::BIGINT AS entries_read, (any_value(n.n) - count(*))::BIGINT AS lag FROM d JOIN n ON n.stream = d.stream GROUP BY d.stream""")
+def group_lag(spark, sf_dir):
+    """Delivered are ids under a cursor, acknowledged those that 7 does not divide (both made up for this query)."""
+    return log.group_summary(*_group(spark, sf_dir))
+
+
+@query(f"SELECT event_type AS stream, 'g' AS group_name, 'c' || (user_id % 3) AS consumer, event_id AS id_ms FROM events WHERE event_id < {DELIVERED} AND event_id % {UNACKED} = 0 ORDER BY event_id LIMIT 5")
+def pending_details(spark, sf_dir):
+    """The first five that wait."""
+    _, given, acks = _group(spark, sf_dir)
+    return log.oldest(log.pending(given, acks), 5).select("stream", "group_name", "consumer", "id_ms")
+
+
+@query(f"SELECT event_type AS stream, event_id AS id_ms FROM events WHERE event_id >= {DELIVERED} AND event_id > 6000")
+def undelivered(spark, sf_dir):
+    """Rows the group has not been given, from its start."""
+    rows, given, _ = _group(spark, sf_dir)
+    return log.undelivered(rows, given, "g", (6000, 0)).select("stream", "id_ms")
+
+
+@query("SELECT page_id, 'analysis:' || sha256(url) AS key FROM pages")
+def cache_key(spark, sf_dir):
+    """SC2."""
+    return table(spark, sf_dir, "pages").select("page_id", text.cache_key(F.col("url")).alias("key"))
+
+
+@query("SELECT page_id, md5(url) AS message_id FROM pages")
+def message_id(spark, sf_dir):
+    """SC1."""
+    return table(spark, sf_dir, "pages").select("page_id", text.message_id(F.col("url")).alias("message_id"))
+
+
+@query("SELECT page_id, replace(url_encode(url), '%20', '+') AS encoded, replace(url_encode(html[1:200]), '%20', '+') AS encoded_html FROM pages")
+def url_form_encode(spark, sf_dir):
+    """SC3."""
+    return table(spark, sf_dir, "pages").select("page_id", text.form_encoded(F.col("url")).alias("encoded"), text.form_encoded(F.left("html", F.lit(200))).alias("encoded_html"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, i, ts AS m, 0 AS hit FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.user_id, o.i, CASE WHEN o.ts < r.m + INTERVAL 6 HOUR THEN r.m ELSE o.ts END, CASE WHEN o.ts < r.m + INTERVAL 6 HOUR THEN 1 ELSE 0 END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, sum(hit)::BIGINT AS hits, sum(1 - hit)::BIGINT AS misses FROM r GROUP BY 1""")
+def cache_ttl_hits(spark, sf_dir):
+    """J6, T10."""
+    return cache.ttl_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600)
+
+
+@query("SELECT user_id AS key, arg_max(props, (ts, event_id)) AS value FROM events GROUP BY 1")
+def cache_latest(spark, sf_dir):
+    """K8: the latest value of a key."""
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.max_by("props", F.struct("ts", "event_id")).alias("value"))
+
+
+@query("""SELECT doc_id, CASE WHEN n > 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n > 1048576 THEN printf('%.2f MB', n / 1048576.0) WHEN n > 1024 THEN printf('%.2f KB', n / 1024.0) ELSE n || ' B' END AS size
+FROM (SELECT doc_id, n_chars * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END AS n FROM documents)""")
+def human_bytes(spark, sf_dir):
+    """SC8."""
+    n = F.col("n_chars") * F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 1000).otherwise(1000000)
+    return table(spark, sf_dir, "documents").select("doc_id", text.human_bytes(n).alias("size"))
+
+
+@query("SELECT o_orderkey, format('{:,}', o_orderkey * 1000) AS shown FROM orders")
+def thousands(spark, sf_dir):
+    """SC14."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.thousands(F.col("o_orderkey") * 1000).alias("shown"))
+
+
+@query("SELECT i AS attempt, round(exp(i) + 1, 6) AS delay_s FROM range(1, 5) t(i)")
+def backoff_schedule(spark, sf_dir):
+    """SC9, F6."""
+    return retry.schedule(spark).withColumn("delay_s", F.round("delay_s", 6))
+
+
+@query("SELECT i AS attempt, 2.5::DOUBLE AS delay_s FROM range(1, 4) t(i)")
+def constant_backoff(spark, sf_dir):
+    """SC10."""
+    return retry.schedule(spark, 4, 2.5, 0)
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN '' ELSE regexp_replace(CASE WHEN suffix(text, chr(10)) THEN text[1:-2] ELSE text END, '(?m)^', chr(9), 'g') || CASE WHEN suffix(text, chr(10)) THEN chr(10) ELSE '' END END AS indented FROM documents")
+def indent_lines(spark, sf_dir):
+    """SC12, F4, K9."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.indented(F.col("text")).alias("indented"))
+
+
+@query("SELECT event_id, chr(27) || '[92m' || event_type || chr(27) || '[00m' AS shown FROM events")
+def colour_wrap(spark, sf_dir):
+    """SC13."""
+    return table(spark, sf_dir, "events").select("event_id", text.coloured(F.col("event_type"), "green").alias("shown"))
+
+
+@query("SELECT unnest(['ingest:raw', 'jobs:user,jobs:admin', 'late']) AS stream")
+def split_streams(spark, sf_dir):
+    """SC11, S9."""
+    return spark.sql("SELECT :given AS given", args={"given": "ingest:raw, jobs:user,jobs:admin, late"}).select(F.explode(text.stream_list(F.col("given"))).alias("stream"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microsecond', ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS iso FROM events")
+def iso_time(spark, sf_dir):
+    """SC7."""
+    return table(spark, sf_dir, "events").select("event_id", text.iso_time(F.col("ts")).alias("iso"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def articles_page(spark, sf_dir):
+    """O7, P8, F11."""
+    return catalog.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderdate", "o_orderkey", 20, 40, "o_orderstatus", "O")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def article_by_id(spark, sf_dir):
+    """Equality with the id."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return catalog.by_id(orders, "o_orderkey", orders.agg(F.min("o_orderkey").alias("k")).first()["k"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')")
+def article_search(spark, sf_dir):
+    """P9."""
+    return catalog.search(table(spark, sf_dir, "documents"), "LICENSE", ["text", "source"]).select("doc_id", "lang")
+
+
+@query("SELECT count(*)::BIGINT AS articles, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS pending, (SELECT count(*) FROM customer)::BIGINT AS sources FROM orders")
+def catalog_stats(spark, sf_dir):
+    """G9."""
+    return catalog.statistics(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_orderstatus", "P")
+
+
+@query("SELECT doc_id, quality FROM labels l WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
+def orphan_check(spark, sf_dir):
+    """Labels whose document is not among the English ones."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return catalog.orphans(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", docs, "doc_id")
+
+
+@query("SELECT doc_id, toxic FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'fr')")
+def cascade_delete(spark, sf_dir):
+    """What is left when French documents are deleted."""
+    return catalog.cascaded(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", table(spark, sf_dir, "documents").where("lang = 'fr'"), "doc_id")
+
+
+@query("SELECT nation.n_nationkey, nation.n_name FROM nation WHERE n_regionkey = 2 AND n_name > 'C'")
+def parameterised_sql(spark, sf_dir):
+    """Markers, not pasted text."""
+    rows = table(spark, sf_dir, "nation")
+    return spark.sql("SELECT n_nationkey, n_name FROM {rows} WHERE n_regionkey = :region AND n_name > :name", args={"region": 2, "name": "C"}, rows=rows)
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id < 5), s AS (
+SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM q, embeddings e WHERE q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)
+SELECT query_id, id, round(s, 6) AS similarity, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
+def similar_topk(spark, sf_dir):
+    """O8, SC15."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vector.similar(rows.where("vec_id < 5"), rows, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id < 5), s AS (
+SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM q, embeddings e WHERE q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)
+SELECT query_id, r.id, rank::BIGINT AS rank, d.lang FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 10""")
+def similar_articles(spark, sf_dir):
+    """The nearest, with their articles."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return vector.similar_articles(rows.where("article_id < 5"), rows, docs, 10).select("query_id", "id", "rank", "lang")
+
+
+@query()
+def similar_lists(spark, sf_dir):
+    """By inverted lists; which lists a seed gives differs between versions, so only recall is tested."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vector.Lists(rows, 16).search(rows.where("vec_id < 5"), 10, 8)
+
+
+@query()
+def random_members(spark, sf_dir):
+    """G8."""
+    return log.sampled(table(spark, sf_dir, "events").select("user_id"), 5)
+
+
+@query()
+def backoff_jitter(spark, sf_dir):
+    """SC9 with jitter."""
+    return retry.schedule(spark, jitter_seed=1)
+
+
+@query()
+def insert_defaults(spark, sf_dir):
+    """K10, SC16: ids and times are made, defaults filled."""
+    docs = table(spark, sf_dir, "documents").limit(100).select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
+    return catalog.inserted(docs, "id string, title string, content string, analysis_status string, created_at timestamp", {"analysis_status": "pending"})
+
+
+@query("SELECT 'ok' AS status, 'rillworks' AS service")
+def health(spark, sf_dir):
+    """F9, F10, F13."""
+    return spark.createDataFrame([("ok", "rillworks")], "status string, service string")
