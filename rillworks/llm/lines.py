@@ -82,7 +82,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
     count as no holder; rows that repeat an id count as one document. Rows and columns are otherwise as they were. Batches are ranges of
     ids, in order, so that a key in a run always has a smaller holder.
     """
-    spark = df.sparkSession
+    spark, names = df.sparkSession, df.columns
+    df = df.toDF(*[f"c{i}" for i in range(len(names))])
+    text, id_col = df.columns[names.index(text)], df.columns[names.index(id_col)]
     id_, text_ = F.col(id_col), F.col(text)
     bounds = df.select(F.percentile_approx(id_, [i / batches for i in range(1, batches)], 1000).alias("b")).first()["b"] or []
     exploded = df.where(id_.isNotNull()).select(id_.alias("id"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("t"), F.posexplode(lines_of(text_)).alias("pos", "line")).withColumn("k", key(F.col("line"))).where(F.char_length("k") >= min_points)
@@ -110,7 +112,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
     ends = F.concat(F.coalesce("_gone", none), F.array(F.size("_lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice("_lines", s + 1, e - s)))
     whole = F.when(F.col("_gone").isNull(), F.coalesce(text_, F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return both.withColumns({text: whole, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_id", "_t", "_lines", "_gone")
+    counts = [F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped")]
+    return both.select(*[(whole if c == text else F.col(c)).alias(name) for c, name in zip(df.columns, names, strict=True) if name not in ("n_lines", "n_dropped")], *counts)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,11 +93,12 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> D
     fetch = F.create_map(*[F.lit(x) for token, ids in index.items() for x in (token, ids)])
     whole = F.concat(F.col("host"), F.col("path"))
     known = F.array(*[F.struct(F.lit(r.pattern).alias("p"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.host).alias("host")) for r in ranked])
-    out = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    made = ("host", "path", "rule", "verdict", "pattern_rule")
+    out = df.select(*[F.col(c) for c in df.columns if c not in made], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     found = F.filter(F.array_sort(F.flatten(F.transform(F.filter(tokens_of(whole), lambda t: t.isin(list(index))), lambda t: F.element_at(fetch, t)))), lambda i: F.call_function("regexp_like", whole, F.element_at(known, i + 1)["p"]))
-    out = out.withColumn("_hits", F.transform(found, lambda i: F.element_at(known, i + 1)))
-    by_host, by_word = F.get(F.filter("_hits", lambda r: r["host"]), F.lit(0)), F.get(F.filter("_hits", lambda r: ~r["host"]), F.lit(0))
-    return out.withColumns({"rule": by_host["name"], "pattern_rule": by_word["name"], "verdict": F.coalesce(by_host["verdict"], by_word["verdict"], F.lit("allow"))}).drop("_hits")
+    out = out.withColumn("__hits", F.transform(found, lambda i: F.element_at(known, i + 1)))
+    by_host, by_word = F.get(F.filter("__hits", lambda r: r["host"]), F.lit(0)), F.get(F.filter("__hits", lambda r: ~r["host"]), F.lit(0))
+    return out.withColumns({"rule": by_host["name"], "pattern_rule": by_word["name"], "verdict": F.coalesce(by_host["verdict"], by_word["verdict"], F.lit("allow"))}).drop("__hits")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
