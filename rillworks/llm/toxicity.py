@@ -17,9 +17,11 @@ from .common import crc_mod, map_arrow, stored, table
 
 #: Labelled rows that the lexicon and the weights are learnt from, at most (those with the smallest hash of their id).
 SAMPLE = 20_000
-#: A term follows this many different words at least in toxic texts, and this many for each of its uses there (copies of one text don't make a
-#: term); this share of its uses are in toxic texts.
+#: A term stands between this many different pairs of neighbours at least in toxic texts, and this many for each of its uses there (copies of
+#: one text don't make a term); this share of its uses are in toxic texts.
 MIN_CONTEXTS, MIN_VARIETY, MIN_SHARE, MAX_TERMS = 5, 0.3, 0.9, 4_000
+#: Pairs of neighbours are told apart by a hash of so many values; uses beyond half of these need no more pairs.
+CONTEXTS = 4_096
 #: Lengths of the word beginnings that may become terms for all words that begin so.
 PREFIXES = range(4, 9)
 #: Words to either side of a hit that tell what it is used for.
@@ -168,12 +170,12 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool, float]], fro
     """Terms (term, whether a beginning, weight) from rows (text, y), MAX_TERMS at most; and words of the sample's clean texts that are no
     misspelling though they are as close to a term as one."""
     plain = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    pairs = F.zip_with("ws", F.concat(F.array(F.lit("")), "ws"), lambda w, before: F.struct(w.alias("w"), before.alias("before")))
-    used = sample.select("text", "y").distinct().select("y", plain.alias("ws")).select("y", F.inline(F.filter(pairs, lambda p: F.length(p["w"]) >= 3))).groupBy("w", "before").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    pairs = F.zip_with(F.zip_with("ws", F.concat(F.array(F.lit("")), "ws"), lambda w, x: F.struct(w.alias("w"), x.alias("x"))), F.slice("ws", F.lit(2), F.size("ws")), lambda p, y: F.struct(p["w"].alias("w"), F.pmod(F.xxhash64(p["x"], y), F.lit(CONTEXTS)).cast("int").alias("near")))
+    used = sample.select("text", "y").distinct().select("y", plain.alias("ws")).select("y", F.inline(F.filter(pairs, lambda p: F.length(p["w"]) >= 3))).groupBy("w", "near").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     words = stored(used.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("contexts")), "words")
     starts = words.select("w", "bad", "good", "contexts", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("w").alias("term")), *[F.struct(F.lit(n).alias("n"), F.substring("w", 1, n).alias("term")) for n in PREFIXES])).alias("s")).where((F.col("s.n") == 0) | (F.length("w") > F.col("s.n")))
     counted = starts.groupBy("s.term", (F.col("s.n") > 0).alias("prefix")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("contexts").alias("contexts"), F.max("contexts").alias("most"), F.count("*").alias("kinds"))
-    enough = (F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= MIN_VARIETY * F.col("bad")) & (F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good"))) & (~F.col("prefix") | (F.col("kinds") >= 4) & (F.col("most") <= 0.5 * F.col("contexts")))
+    enough = (F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= MIN_VARIETY * F.least(F.col("bad"), F.lit(CONTEXTS // 2))) & (F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good"))) & (~F.col("prefix") | (F.col("kinds") >= 4) & (F.col("most") <= 0.5 * F.col("contexts")))
     rows = counted.where(enough).orderBy(F.desc("bad"), F.length("term"), "term").limit(MAX_TERMS).collect()
     chosen: list[tuple[str, bool, float]] = []
     begins: set[str] = set()
