@@ -19,7 +19,7 @@ from .common import crc_mod, map_arrow, stored, table
 SAMPLE = 20_000
 #: A term stands between this many different pairs of neighbours at least in toxic texts, and this many for each of its uses there (copies of
 #: one text don't make a term); this share of its uses are in toxic texts.
-MIN_CONTEXTS, MIN_VARIETY, MIN_SHARE, MAX_TERMS = 5, 0.3, 0.9, 4_000
+MIN_CONTEXTS, MIN_VARIETY, MIN_SHARE, MAX_TERMS = 5, 0.3, 0.8, 4_000
 #: Pairs of neighbours are told apart by a hash of so many values; uses beyond half of these need no more pairs.
 CONTEXTS = 4_096
 #: Lengths of the word beginnings that may become terms for all words that begin so.
