@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by additive quantisation.
 
-Full-dimensional codebooks are learnt as residual k-means on a bounded sample and then refitted jointly by least squares; every unit vector is
+Full-dimensional codebooks are learnt as residual k-means on a bounded sample and then refitted by alternating least squares; every unit vector is
 coded by beam search, with its norm stored; queries score all codes by lookup tables, in blocks; the best are ranked anew on the vectors.
 """
 
@@ -17,6 +17,8 @@ from .common import stored, table, worker_path
 
 #: Codebooks, codewords in each, hypotheses kept while coding, sampled vectors for learning, candidates ranked anew for each query.
 BOOKS, WORDS, BEAM, SAMPLE, RERANK = 32, 128, 4, 20_000, 300
+#: Pull of a codeword towards where it was, in vectors.
+RIDGE = 0.5
 #: Rows of codes and queries that meet in one task.
 CODE_BLOCK, QUERY_BLOCK = 16_384, 4_096
 
@@ -52,16 +54,16 @@ def learn(units: np.ndarray, n_books: int = BOOKS, n_words: int = WORDS, beam: i
         left -= book[np.argmin((book**2).sum(1) - 2 * left @ book.T, axis=1)]
         books.append(book)
     books = np.stack(books)
-    for _ in range(2):  # all codebooks at once, given the codes
-        at = encode(units, books, beam).astype(np.int64) + np.arange(n_books) * n_words
-        gram, right = np.zeros((n_books * n_words,) * 2), np.zeros((n_books * n_words, units.shape[1]))
-        for i in range(n_books):
-            np.add.at(right, at[:, i], units)
-            for j in range(n_books):
-                np.add.at(gram, (at[:, i], at[:, j]), 1.0)
-        ridge = 0.5
-        gram[np.diag_indices_from(gram)] += ridge
-        books = np.linalg.solve(gram, right + ridge * books.reshape(-1, units.shape[1])).reshape(books.shape)
+    for _ in range(3):  # given the codes, each codebook in turn by least squares on what the others leave
+        codes = encode(units, books, beam)
+        left = units - sum(book[word] for book, word in zip(books, codes.T, strict=True))
+        for _ in range(3):
+            for book, word in zip(books, codes.T, strict=True):
+                left += book[word]
+                count = np.bincount(word, minlength=n_words)
+                total = np.stack([np.bincount(word, x, n_words) for x in left.T], 1)
+                book[:] = (total + RIDGE * book) / (count + RIDGE)[:, None]
+                left -= book[word]
     return books
 
 
