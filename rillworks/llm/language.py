@@ -74,9 +74,13 @@ class Model:
 
     def train(self, pieces: list[str], of: np.ndarray, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        bucket, doc = grams(*raw(pa.array(pieces, pa.large_string())))
-        order = np.argsort(doc, kind="stable")
-        bucket, first = bucket[order], np.searchsorted(doc[order], np.arange(len(pieces) + 1))
+        parts, sizes = [], []
+        for lo in range(0, len(pieces), 2_000):  # n-grams of some pieces at once, for memory
+            some = pieces[lo : lo + 2_000]
+            part, doc = grams(*raw(pa.array(some, pa.large_string())))
+            parts.append(part[np.argsort(doc, kind="stable")])
+            sizes.append(np.bincount(doc, minlength=len(some)))
+        bucket, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         held = rng.random(len(pieces)) < 0.1
         for epoch in range(EPOCHS):
             for at in np.array_split(turn := rng.permutation(np.flatnonzero(~held)), max(1, len(turn) // STEP)):
@@ -94,7 +98,8 @@ class Model:
                 seen, place = np.unique(rows, return_inverse=True)
                 step = np.stack([np.bincount(place, back[own, k], len(seen)) for k in range(SIZE)], 1)
                 self.embedding[seen] -= (rate * step * 8).astype(np.float32)
-        z = self.scores(*raw(pa.array([p for p, h in zip(pieces, held, strict=True) if h], pa.large_string())))
+        tested = [p for p, h in zip(pieces, held, strict=True) if h]
+        z = np.concatenate([self.scores(*raw(pa.array(tested[lo : lo + 2_000], pa.large_string()))) for lo in range(0, max(1, len(tested)), 2_000)])
         if len(z):  # one temperature, so that a score is the share of right answers
             losses = {t: -np.log(np.maximum(self.probabilities(z / t)[np.arange(len(z)), of[held]], 1e-12)).mean() for t in np.geomspace(0.1, 10, 41)}
             self.heat = min(losses, key=losses.get)
