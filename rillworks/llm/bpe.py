@@ -27,7 +27,7 @@ from .common import SLICE_BYTES, cuts, delete_at_exit, table, worker_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text whose distinct words are sent together. A longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 
 
 def ranks(path: str = RANKS) -> dict[bytes, int]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel turns into arrays at once (a single longer text is taken alone).
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 #: The white space of the word and line contracts.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -86,12 +86,12 @@ def _forget() -> None:
             return
 
 
-def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """work on each Arrow batch, cut so that no cut has over SLICE_BYTES of its first string column (but one row at least)."""
+def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """work on each Arrow batch, cut so that no cut has over limit bytes of its first string column (but one row at least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cuts(batch):
+            for part in cuts(batch, limit):
                 out = work(part)
                 yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
 

@@ -27,7 +27,7 @@ from .common import Words, cuts, delete_at_exit, runs, table, worker_path
 #: Words of a window, and of a phrase.
 WINDOW, PHRASE = 13, 5
 #: Bytes of text in a chunk, and in a shard whose phrases are in one automaton. A longer text is a chunk of its own.
-CHUNK_BYTES, SHARD_BYTES = 8 << 20, 2 << 20
+CHUNK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20
 #: Bits of a phrase's hash: enough for candidates, as windows are compared with all 64.
 PHRASE_BITS = 48
 
