@@ -23,9 +23,9 @@ def route_counts(df: DataFrame, kind: str, routes: dict[str, str]) -> DataFrame:
     return df.groupBy(stream_of(F.col(kind), routes).alias("stream")).agg(F.count("*").alias("n"))
 
 
-def by_type(df: DataFrame, kind: str, value: str) -> DataFrame:
-    """type, values: the group-by of a batch (small by contract), in value order."""
-    return df.groupBy(kind).agg(F.sort_array(F.collect_list(value)).alias("values"))
+def by_type(df: DataFrame, kind: str | list[str], value: str) -> DataFrame:
+    """kind, values: a batch's values by kind, in order. Lists are as long as a batch, so kind must hold the batch if df is more than one."""
+    return df.groupBy(*[kind] if isinstance(kind, str) else kind).agg(F.sort_array(F.collect_list(value)).alias("values"))
 
 
 def publish(df: DataFrame, kind: str, routes: dict[str, str], path: str, batch_id: int) -> None:
