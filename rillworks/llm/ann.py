@@ -105,7 +105,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         return spark.createDataFrame([], out)
     rows = rows.where(F.size("v") == sizes["d"])
     sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    units = vectors(sample["v"])
+    units = np.unique(vectors(sample["v"]), axis=0)  # one vector may fill a third of the rows
     books = learn(units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
 
     def code(batches):

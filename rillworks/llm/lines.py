@@ -28,7 +28,8 @@ def lines_of(text: Column) -> Column:
 
 
 class Runs:
-    """Sets of 128-bit line hashes. A run is a table bucketed by hash and sorted in each bucket, so that joins with it neither shuffle nor sort it."""
+    """Sets of 128-bit line hashes. A run is a table bucketed by hash and sorted in each bucket: a join with it does
+    not shuffle it, and sorting what is sorted costs a pass."""
 
     def __init__(self, spark: SparkSession, fan: int = FAN):
         self.spark, self.fan, self.levels = spark, fan, []
