@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +49,27 @@ def similar_articles(queries: DataFrame, embeddings: DataFrame, articles: DataFr
     return found.join(articles.withColumnRenamed("id", "_article"), F.col("id") == F.col("_article")).drop("_article")
 
 
+def embedded(df: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:
+    """df with the vectors that an injected function makes of a batch of texts; null texts have none."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        found, some = pd.Series([None] * len(texts), dtype=object), texts.notna().to_numpy()
+        if some.any():
+            found[some] = pd.Series([list(map(float, v)) for v in embed(texts[some].tolist())], index=found.index[some], dtype=object)
+        return found
+
+    return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
+
+
+def semantic_search(queries: DataFrame, embeddings: DataFrame, k: int, embed: Callable[[list[str]], list[list[float]]], id_col: str = "vec_id") -> DataFrame:
+    """``similar`` for queries (query_id, text). Their ids and the vectors' are told apart, so that no vector is taken for the query's own."""
+    asked = embedded(queries, "text", embed).where("embedding is not null").select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias(id_col), "embedding")
+    rows = embeddings.select(F.concat(F.lit("v"), F.col(id_col).cast("string")).alias(id_col), "embedding")
+    found = similar(asked, rows, k, id_col)
+    kind = embeddings.schema[id_col].dataType
+    return found.select(F.substring("query_id", 2, 1 << 30).cast(queries.schema["query_id"].dataType).alias("query_id"), F.substring("id", 2, 1 << 30).cast(kind).alias("id"), "similarity", "rank")
+
+
 class Lists:
     """Inverted lists: k-means cells of unit vectors. A search looks into the ``probes`` nearest cells."""
 

@@ -38,3 +38,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def flush(spark: SparkSession, path: str) -> None:
+    """Everything below path goes."""
+    fs, target = path_of(spark, path)
+    fs.delete(target, True)

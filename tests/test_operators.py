@@ -253,3 +253,20 @@ def test_zero_vectors_have_no_similarity(spark):
         assert vector.similar(rows.where("vec_id in (0, 2)"), rows, 1).count() == 2
     finally:
         vector.MAX_BROADCAST = kept
+
+
+def test_semantic_search_with_an_injected_embedding(spark):
+    embed = lambda texts: [[float(t.count("a")), float(t.count("b"))] for t in texts]
+    rows = vector.embedded(spark.createDataFrame([(1, "aaa"), (2, "ab"), (3, None), (4, "bb")], "vec_id long, text string"), "text", embed)
+    assert {r["vec_id"]: r["embedding"] for r in rows.collect()} == {1: [3.0, 0.0], 2: [1.0, 1.0], 3: None, 4: [0.0, 2.0]}
+    got = vector.semantic_search(spark.createDataFrame([(1, "b"), (2, None)], "query_id long, text string"), rows.where("embedding is not null"), 2, embed).orderBy("rank").collect()
+    assert [(r["query_id"], r["id"]) for r in got] == [(1, 4), (1, 2)]
+
+
+def test_flush(spark, tmp_path):
+    from rillworks.storage import children, flush
+
+    spark.range(3).write.parquet(str(tmp_path / "gone"))
+    assert children(spark, str(tmp_path / "gone"))
+    flush(spark, str(tmp_path / "gone"))
+    assert not children(spark, str(tmp_path / "gone"))
