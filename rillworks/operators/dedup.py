@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,28 +48,35 @@ def cycle_stats(df: DataFrame, cycle: str, item: str, ttl_s: int = TTL_S) -> Dat
     """cycle, new_items, seen_items, total_items for each cycle (a timestamp), when seen items are kept in a set that lives ttl_s after the last cycle
     that added to it, and then is forgotten whole.
 
-    What a life of the set holds is found by one aggregation over all rows: an item is new at its first cycle of that life. Only the
-    cycles themselves come to the driver, to find where lives end; there are as many rounds as lives.
+    A cycle's item is new in the life of the set that began at s if the item's cycle before is earlier than s. So one pass counts items by
+    (cycle, cycle before); where lives begin follows from the earliest cycle before, one row a cycle, which is all that comes to the driver.
     """
-    rows = stored(df.where(F.col(cycle).isNotNull() & F.col(item).isNotNull()).select(F.col(cycle).alias("c"), F.col(item).alias("x")).distinct(), "cycles")
-    cycles = [r["c"] for r in rows.select("c").distinct().orderBy("c").collect()]
+    rows = df.where(F.col(cycle).isNotNull() & F.col(item).isNotNull()).select(F.col(cycle).alias("c"), F.col(item).alias("x")).distinct()
+    kind = rows.schema["c"].dataType
+    before = F.lag("c").over(Window.partitionBy("x").orderBy("c"))
+    counts = stored(rows.withColumn("p", before).groupBy("c", "p").agg(F.count("*").alias("n")), "cycles")
+    earliest = F.min(F.struct(F.col("p").isNotNull().alias("known"), "p")).alias("m")  # null first
+    latest = {r["c"]: r["m"]["p"] for r in counts.groupBy("c").agg(earliest).collect()}
+    cycles = sorted(latest)
+
+    def novel(start):
+        return [c for c in cycles if c >= start and (latest[c] is None or latest[c] < start)]
+
     ttl, starts = timedelta(seconds=ttl_s), cycles[:1]
     while starts:
-        firsts = rows.where(F.col("c") >= F.lit(starts[-1]).cast(rows.schema["c"].dataType)).groupBy("x").agg(F.min("c").alias("c"))
-        novel = [r["c"] for r in firsts.select("c").distinct().orderBy("c").collect()]
+        grown = novel(starts[-1])
         after = None
-        for now, later in zip(novel, [*novel[1:], None], strict=True):
-            after = next((c for c in cycles if c >= now + ttl and (later is None or c <= later)), None)
-            if after is not None:
+        for now, later in zip(grown, [*grown[1:], None], strict=True):
+            at = bisect_left(cycles, now + ttl)
+            if at < len(cycles) and (later is None or cycles[at] <= later):
+                after = cycles[at]
                 break
         if after is None:
             break
         starts.append(after)
-    life = F.lit(0)
-    for s in starts[1:]:
-        life = life + F.when(F.col("c") >= F.lit(s).cast(rows.schema["c"].dataType), 1).otherwise(0)
-    lives = rows.withColumn("life", life)
-    new = lives.groupBy("life", "x").agg(F.min("c").alias("c")).groupBy("c").agg(F.count("*").alias("new_items"))
-    total = lives.groupBy("c").agg(F.count("*").alias("total_items"))
-    both = total.join(new, "c", "left").withColumn("new_items", F.coalesce("new_items", F.lit(0).cast("long")))
-    return both.select(F.col("c").alias(cycle), "new_items", (F.col("total_items") - F.col("new_items")).alias("seen_items"), "total_items")
+    begun = F.lit(None).cast(kind)
+    for s in starts:
+        begun = F.when(F.col("c") >= F.lit(s).cast(kind), F.lit(s).cast(kind)).otherwise(begun) if s != starts[0] else F.lit(s).cast(kind)
+    fresh = F.sum(F.when(F.col("p").isNull() | (F.col("p") < begun), F.col("n")).otherwise(0))
+    out = counts.groupBy("c").agg(F.sum("n").alias("total_items"), fresh.alias("new_items"))
+    return out.select(F.col("c").alias(cycle), "new_items", (F.col("total_items") - F.col("new_items")).alias("seen_items"), "total_items")
