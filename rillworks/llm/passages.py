@@ -277,4 +277,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_substring_dedup": op7_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_substring_dedup": rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM docs WHERE len(w) >= {WINDOW}),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM starts),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT x.doc_id, unnest(range(x.i, x.i + {WINDOW})) AS j FROM windows x JOIN firsts f ON f.g = x.g WHERE f.first < x.doc_id),
+judged AS (SELECT words.*, gone.j IS NOT NULL AS gone FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.j = words.j)
+SELECT d.doc_id, count(j.word)::BIGINT AS n_words, count(*) FILTER (WHERE j.gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.j) FILTER (WHERE NOT j.gone), '')) AS kept_sha256
+FROM docs d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id""",
+}

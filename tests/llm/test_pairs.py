@@ -65,6 +65,11 @@ def test_links(spark, texts, k):
     assert len(set(want.values())) < len(rows) - 60
 
 
+def test_links_against_sql(spark, sf_dir, duck):
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.op3_near_dedup(spark, sf_dir).collect())
+    assert got == sorted(duck.execute(neardup.ORACLE["op3_near_dedup"]).fetchall())
+
+
 def test_links_of_strays_in_one_bucket(spark, monkeypatch):
     """All in one bucket, whatever the registers: links outside the leaders' stars are found too, in blocks of a few."""
     monkeypatch.setattr(neardup, "BLOCK", 4)

@@ -136,6 +136,11 @@ def test_passages(spark, monkeypatch, chunk):
     assert sum(r[2] for r in got) > 0
 
 
+def test_passages_against_sql(spark, sf_dir, duck):
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in passages.op7_substring_dedup(spark, sf_dir).collect())
+    assert got == sorted(duck.execute(passages.ORACLE["op7_substring_dedup"]).fetchall())
+
+
 def test_passages_empty_and_texts(spark):
     df = spark.createDataFrame([(1, None), (2, " x  y ")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in passages.dedup(df, passages.texts, passages.TEXTS).collect()} == {1: "", 2: "x y"}
