@@ -43,8 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch, unless the session sets its own number: texts are long, and a batch is in memory twice.
+BATCH_ROWS = 1_000
+
+
 def worker_path(spark: SparkSession) -> None:
-    """Lets Python workers started from now on import this package from where the driver has it."""
+    """Lets Python workers started from now on import this package from where the driver has it, and get batches of moderate size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
