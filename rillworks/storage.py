@@ -33,13 +33,35 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, so that it is worked out once and its lineage ends."""
+    """df written to the shared folder and read again: it is worked out once, lineage ends there, and lost executors cost no rerun of what came
+    before. The files go with ``clean``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def delete_later(spark: SparkSession, path: str) -> None:
+    if not _kept:
+        atexit.register(clean)
+    _kept.append((spark, path))
+
+
+def clean() -> None:
+    """Deletes what operators have stored so far; results that were made of it can't be read again. Runs when the process ends, if the session
+    is still there; a long session calls it once its results are written."""
+    while _kept:
+        spark, path = _kept.pop()
+        try:
+            flush(spark, path)
+        except Exception:  # the session ended first
+            return
+
+
 def flush(spark: SparkSession, path: str) -> None:
     """Everything below path goes."""
     fs, target = path_of(spark, path)
