@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, cuts, delete_at_exit, table, worker_path
+from ..storage import delete_later
+from .common import SLICE_BYTES, cuts, table, worker_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text whose distinct words are sent together. A longer text is a chunk of its own.
@@ -128,7 +129,7 @@ def encode(df: DataFrame, finish: Callable[[np.ndarray], tuple], columns: list[t
     name = f"bpe_chunks_{uuid.uuid4().hex}"
     made = df.select(F.col(text).cast("string").alias("t"), F.col(id_col).alias("key")).mapInArrow(chunks, f"chunk string, part int, words binary, key {kind}, packed binary")
     made.write.bucketBy(buckets, "chunk").format("parquet").option("compression", "zstd").saveAsTable(name)
-    delete_at_exit(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
+    delete_later(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
     rows = spark.table(name)
 
     def encoded(batches):

@@ -1,12 +1,8 @@
-"""What the training-data operators share: shared storage, and numpy kernels over Arrow text columns."""
+"""What the training-data operators share: numpy kernels over Arrow text columns."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -16,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored  # noqa: F401  (for the operators)
+
 #: Bytes of text that a kernel turns into arrays at once (a single longer text is taken alone).
 SLICE_BYTES = 1 << 20
 
@@ -33,16 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="rillworks-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found.rstrip("/")
-
-
 #: Rows of an Arrow batch, unless the session sets its own number: texts are long, and a batch is in memory twice.
 BATCH_ROWS = 1_000
 
@@ -56,42 +44,6 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors cost no rerun of what came before.
-
-    The files go when the session's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_kept: list[tuple[SparkSession, str]] = []
-
-
-def delete_at_exit(spark: SparkSession, path: str) -> None:
-    if not _kept:
-        atexit.register(_forget)
-    _kept.append((spark, path))
-
-
-def _forget() -> None:
-    while _kept:
-        spark, path = _kept.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # the session ended first
-            return
-
-
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """work on each Arrow batch, cut so that no cut has over limit bytes of its first string column (but one row at least)."""
 

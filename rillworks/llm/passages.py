@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cuts, delete_at_exit, runs, table, worker_path
+from ..storage import delete_later
+from .common import Words, cuts, runs, table, worker_path
 
 #: Words of a window, and of a phrase.
 WINDOW, PHRASE = 13, 5
@@ -186,7 +187,7 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
     name = f"passages_{uuid.uuid4().hex}"
     rows = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("key"))
     rows.mapInArrow(chunks, "chunk string, part int, packed binary, key long, t string").write.bucketBy(buckets, "chunk").format("parquet").option("compression", "zstd").saveAsTable(name)
-    delete_at_exit(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
+    delete_later(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
     docs = spark.table(name).where("part is null").select("chunk", "key", "t")
 
     def answer(work):
