@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Full-dimensional codebooks are learnt as residual k-means on a bounded sample and then refitted by alternating least squares; every unit vector is
-coded by beam search, with its norm stored; queries score all codes by lookup tables, in blocks; the best are ranked anew on the vectors.
+coded by beam search. The first codebook's word is the vector's cell; what it leaves is coded as a direction, and its length is stored beside the vector's
+norm, so that vectors close to each other are told apart as well as others. Queries score all codes by lookup tables, in blocks; the best are ranked anew on the vectors.
 """
 
 from __future__ import annotations
@@ -44,14 +45,8 @@ def learn(units: np.ndarray, n_books: int = BOOKS, n_words: int = WORDS, beam: i
     """Codebooks (books, words, dimensions) for unit vectors. Fewer vectors than words: words repeat."""
     rng, left, books = np.random.default_rng(seed), units.astype(np.float64).copy(), []
     for _ in range(n_books):
-        book = left[rng.permutation(len(left))[np.arange(n_words) % len(left)]]
-        for _ in range(6):
-            word = np.argmin((book**2).sum(1) - 2 * left @ book.T, axis=1)
-            count = np.bincount(word, minlength=n_words)
-            total = np.zeros_like(book)
-            np.add.at(total, word, left)
-            book = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], book)
-        left -= book[np.argmin((book**2).sum(1) - 2 * left @ book.T, axis=1)]
+        book = learn_words(left, n_words, rng, 6)
+        left -= book[nearest_word(left, book)]
         books.append(book)
     books = np.stack(books)
     for _ in range(3):  # given the codes, each codebook in turn by least squares on what the others leave
@@ -67,6 +62,33 @@ def learn(units: np.ndarray, n_books: int = BOOKS, n_words: int = WORDS, beam: i
     return books
 
 
+def cells(units: np.ndarray, n_words: int = WORDS, seed: int = 5) -> np.ndarray:
+    """The first codebook: k-means of the unit vectors."""
+    return learn_words(units.astype(np.float64), n_words, np.random.default_rng(seed), 10)
+
+
+def learn_words(left: np.ndarray, n_words: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
+    book = left[rng.permutation(len(left))[np.arange(n_words) % len(left)]]
+    for _ in range(rounds):
+        word = nearest_word(left, book)
+        count = np.bincount(word, minlength=n_words)
+        total = np.stack([np.bincount(word, x, n_words) for x in left.T], 1)
+        book = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], book)
+    return book
+
+
+def nearest_word(left: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return np.argmin((book**2).sum(1) - 2 * left @ book.T, axis=1)
+
+
+def shaped(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word of the first codebook, length of what it leaves, direction of that)."""
+    word = nearest_word(units, first)
+    left = units - first[word]
+    length = np.linalg.norm(left, axis=1)
+    return word, length, left / np.maximum(length, 1e-12)[:, None]
+
+
 def usable(vector: str) -> Column:
     """Not null, not zero, without null or non-finite components."""
     v = F.col(vector)
@@ -92,7 +114,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     """For each row of df where is_query holds, its k nearest other rows by inner product, in doubles: query_id, rank, vec_id, score.
 
     Every usable vector is coded and scored for every query, none is skipped; what is approximate is which ``rerank`` of them are looked at
-    exactly. Vectors of another length than most have (ties: the longer) take no part. Rows that repeat an id count once, with the smallest
+    exactly. Equal vectors are one candidate with their k + 1 smallest ids, as no more can be among the nearest, so copies crowd nothing out. Vectors of another length than most have (ties: the longer) take no part. Rows that repeat an id count once, with the smallest
     vector. An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -104,9 +126,14 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     if sizes is None:
         return spark.createDataFrame([], out)
     rows = rows.where(F.size("v") == sizes["d"])
-    sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    units = np.unique(vectors(sample["v"]), axis=0)  # one vector may fill a third of the rows
-    books = learn(units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
+    low = Window.partitionBy("v").orderBy("id")
+    firsts = rows.select("id", "v").withColumn("r", F.row_number().over(low)).where(F.col("r") <= k + 1)
+    distinct = stored(firsts.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
+    sample = distinct.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    units = vectors(sample["v"])
+    units = units / np.linalg.norm(units, axis=1, keepdims=True)
+    first = cells(units)
+    books = learn(shaped(units, first)[2], BOOKS - 1).astype(np.float32)
 
     def code(batches):
         for b in batches:
@@ -114,26 +141,28 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                 part = b.slice(at, 2048)
                 v = vectors(part.column(1))
                 norm = np.linalg.norm(v, axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(norm.astype(np.float32)), pa.array(map(bytes, encode(v / norm[:, None], books, BEAM)), pa.binary())], names=["id", "norm", "code"])
+                word, length, shape = shaped(v / norm[:, None], first)
+                whole = np.hstack([word[:, None].astype(np.uint8), encode(shape, books, BEAM)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(norm.astype(np.float32)), pa.array(length.astype(np.float32)), pa.array(map(bytes, whole), pa.binary())], names=["id", "norm", "length", "code"])
 
     blocks, query_blocks = -(-sizes["n"] // CODE_BLOCK), -(-rows.where("q").count() // QUERY_BLOCK)
     spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(max(1, n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    codes = rows.select("id", "v").mapInArrow(code, "id long, norm float, code binary").withColumn("b", spread(blocks)).select("*", every(query_blocks).alias("a"))
+    codes = distinct.select("id", "v").mapInArrow(code, "id long, norm float, length float, code binary").withColumn("b", spread(blocks)).select("*", every(query_blocks).alias("a"))
     asked = rows.where("q").select("id", "v", spread(query_blocks).alias("a")).select("*", every(blocks).alias("b"))
 
     def score(codes: pa.Table, asked: pa.Table) -> pa.Table:
         ids, found_q, found = codes["id"].to_numpy(), [], []
-        coded = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1) if len(ids) else np.zeros((0, len(books)), np.uint8)
-        norms, query_ids = codes["norm"].to_numpy(), asked["id"].to_numpy()
+        coded = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1) if len(ids) else np.zeros((0, BOOKS), np.uint8)
+        norms, lengths, query_ids = codes["norm"].to_numpy(), codes["length"].to_numpy(), asked["id"].to_numpy()
         for at in range(0, len(query_ids) if len(ids) else 0, 256):
             v = vectors(asked["v"].slice(at, 256), np.float32)
             scores = np.zeros((len(v), len(ids)), np.float32)
-            for book, word in zip(books, coded.T, strict=True):
+            for book, word in zip(books, coded.T[1:], strict=True):
                 scores += (v @ book.T)[:, word]
-            scores *= norms
+            scores = (scores * lengths + (v @ first.astype(np.float32).T)[:, coded[:, 0]]) * norms
             for i, q in enumerate(query_ids[at : at + 256]):
-                at_best = best(scores[i], ids, rerank + 1)  # the query itself may be among them
+                at_best = best(scores[i], ids, rerank)
                 found_q.append(q)
                 found.append([{"s": float(s), "id": int(x)} for s, x in zip(scores[i][at_best], ids[at_best], strict=True)])
         return pa.table([pa.array(found_q, pa.int64()), pa.array(found, pa.list_(pa.struct([("s", pa.float32()), ("id", pa.int64())])))], names=["query_id", "near"])
@@ -144,9 +173,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         now, scores, ids = None, np.zeros(0, np.float32), np.zeros(0, np.int64)
 
         def done():
-            keep = ids != now
-            at = best(scores[keep], ids[keep], rerank)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), now, np.int64)), pa.array(ids[keep][at])], names=["query_id", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), now, np.int64)), pa.array(ids)], names=["query_id", "id"])
 
         for b in batches:
             lists = b.column(1)
@@ -159,8 +186,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                         yield done()
                     now, scores, ids = q, scores[:0], ids[:0]
                 scores, ids = np.concatenate([scores, s[at[i] : at[i + 1]]]), np.concatenate([ids, x[at[i] : at[i + 1]]])
-                if len(ids) > rerank + 1:
-                    top = best(scores, ids, rerank + 1)
+                if len(ids) > rerank:
+                    top = best(scores, ids, rerank)
                     scores, ids = scores[top], ids[top]
         if now is not None:
             yield done()
@@ -168,7 +195,11 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     # Blocks' lists of a query meet in a sorted stream, which keeps the best so far only.
     pairs = near.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, id long")
     exact = F.aggregate(F.zip_with("v", "qv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(rows.select("id", "v"), "id").join(rows.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").select("query_id", F.col("id").alias("vec_id"), exact.alias("score"))
+    scored = pairs.join(distinct, "id").join(rows.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").select("query_id", "id", "ids", exact.alias("score"))
+    # k + 1 distinct vectors hold k ids besides the query's own.
+    ahead = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    near = scored.withColumn("r", F.row_number().over(ahead)).where(F.col("r") <= k + 1)
+    scored = near.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
