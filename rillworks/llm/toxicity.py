@@ -122,7 +122,7 @@ class Lexicon:
         """Of a token as it stands between white space; kept, as most tokens come again and again."""
         found = self.seen.get(token, 0)
         if found == 0:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             word = token.strip(EDGE)
             found = self.seen[token] = None if word in self.clean else self.look(word)
