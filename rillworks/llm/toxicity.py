@@ -10,22 +10,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, stored, table
+from .common import Words, crc_mod, map_arrow, mix, stored, table
 
 #: Labelled rows that the lexicon and the weights are learnt from, at most (those with the smallest hash of their id).
 SAMPLE = 20_000
-#: A term stands between this many different pairs of neighbours at least in toxic texts, and this many for each of its uses there (copies of
-#: one text don't make a term); this share of its uses are in toxic texts.
-MIN_CONTEXTS, MIN_VARIETY, MIN_SHARE, MAX_TERMS = 5, 0.3, 0.8, 4_000
-#: Pairs of neighbours are told apart by a hash of so many values; uses beyond half of these need no more pairs.
-CONTEXTS = 4_096
+#: A term has this many independent uses at least in toxic texts (copies of a passage are one use); this share of its independent uses is there.
+MIN_CONTEXTS, MIN_SHARE, MAX_TERMS = 5, 0.8, 4_000
 #: Lengths of the word beginnings that may become terms for all words that begin so.
 PREFIXES = range(4, 9)
 #: Words to either side of a hit that tell what it is used for.
 WINDOW = 6
+#: Columns of the hashes by which uses of a word are told apart, and what the words around it are multiplied by.
+KEYS = ["near", "far0", "far1", "far2", "far3"]
+POWERS = mix(np.arange(2_000, 2_000 + 2 * WINDOW, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: What a hit counts if quoted, if reported, and what each edit leaves of it.
 QUOTED, REPORTED, EDIT = 0.35, 0.5, 0.7
 OPEN, CLOSE = "\"“„«‘", "\"”“»’"
@@ -166,16 +167,47 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return w
 
 
+def uses(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of rows (text, y) each word w of three letters or more, y, and five hashes of where it stands: its two neighbours, and of the 12 nearest words
+    four groups of three, two to a side. Near copies of a passage agree in one of them; texts of less than 13 words have their neighbours alone."""
+    words, span = Words(batch.column(0)), 2 * WINDOW + 1
+    h, counts = words.hashes(), np.diff(words.first)
+    i, lo, hi = np.arange(len(h)), np.repeat(words.first[:-1], counts), np.repeat(words.first[1:], counts)
+    padded = np.r_[np.uint64(0), h, np.uint64(0)]
+    near = mix(np.where(i > lo, padded[:-2], np.uint64(0)) * POWERS[0] + np.where(i + 1 < hi, padded[2:], np.uint64(0)) * POWERS[1])
+    begin, keys = np.maximum(np.minimum(i - WINDOW, hi - span), lo), [near]
+    for g in range(4):
+        total = np.full(len(h), g, np.uint64)
+        for j in range(WINDOW * (g // 2) + g % 2, WINDOW * (g // 2 + 1), 2):
+            at = begin + j
+            total += h[np.minimum(at + (at >= i), len(h) - 1)] * POWERS[j]
+        keys.append(np.where(hi - lo >= span, mix(total), near))
+    sizes = words.end - words.start
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    letters = words.text[np.arange(ends[-1]) + np.repeat(words.start - ends[:-1], sizes)]
+    w = pa.StringArray.from_buffers(len(h), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters.tobytes()))
+    y = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32), counts)
+    out = pa.RecordBatch.from_arrays([w, pa.array(y), *[pa.array(k.view(np.int64)) for k in keys]], names=["w", "y", *KEYS])
+    return out.filter(pc.greater_equal(pc.utf8_length(w), 3))
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool, float]], frozenset[str]]:
     """Terms (term, whether a beginning, weight) from rows (text, y), MAX_TERMS at most; and words of the sample's clean texts that are no
-    misspelling though they are as close to a term as one."""
-    plain = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    pairs = F.zip_with(F.zip_with("ws", F.concat(F.array(F.lit("")), "ws"), lambda w, x: F.struct(w.alias("w"), x.alias("x"))), F.slice("ws", F.lit(2), F.size("ws")), lambda p, y: F.struct(p["w"].alias("w"), F.pmod(F.xxhash64(p["x"], y), F.lit(CONTEXTS)).cast("int").alias("near")))
-    used = sample.select("text", "y").distinct().select("y", plain.alias("ws")).select("y", F.inline(F.filter(pairs, lambda p: F.length(p["w"]) >= 3))).groupBy("w", "near").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    words = stored(used.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("contexts")), "words")
-    starts = words.select("w", "bad", "good", "contexts", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("w").alias("term")), *[F.struct(F.lit(n).alias("n"), F.substring("w", 1, n).alias("term")) for n in PREFIXES])).alias("s")).where((F.col("s.n") == 0) | (F.length("w") > F.col("s.n")))
-    counted = starts.groupBy("s.term", (F.col("s.n") > 0).alias("prefix")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("contexts").alias("contexts"), F.max("contexts").alias("most"), F.count("*").alias("kinds"))
-    enough = (F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= MIN_VARIETY * F.least(F.col("bad"), F.lit(CONTEXTS // 2))) & (F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good"))) & (~F.col("prefix") | (F.col("kinds") >= 4) & (F.col("most") <= 0.5 * F.col("contexts")))
+    misspelling though they are as close to a term as one.
+
+    A use counts by one over the number of uses of its word, in texts of the same label, that share the hash most of them share: copies, near copies and
+    repetitions of a passage come to about one use, and other uses of the word count beside them.
+    """
+    plain = F.array_join(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), " ")
+    found = map_arrow(sample.select("text", "y").distinct().select(plain.alias("text"), "y"), uses, f"w string, y int, {', '.join(f'{k} long' for k in KEYS)}")
+    alike_uses = F.greatest(*[F.count("*").over(Window.partitionBy("w", "y", k)) for k in KEYS])
+    single = found.repartition("w").select("w", "y", (1 / alike_uses).alias("part"))
+    part = lambda y: F.round(F.sum(F.when(F.col("y") == y, F.col("part")).otherwise(0.0)), 6)
+    words = stored(single.groupBy("w").agg(part(1).alias("bad"), part(0).alias("good")), "words")
+    starts = words.select("w", "bad", "good", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("w").alias("term")), *[F.struct(F.lit(n).alias("n"), F.substring("w", 1, n).alias("term")) for n in PREFIXES])).alias("s")).where((F.col("s.n") == 0) | (F.length("w") > F.col("s.n")))
+    total = lambda c: F.round(F.sum(c), 6).alias(c)
+    counted = starts.groupBy("s.term", (F.col("s.n") > 0).alias("prefix")).agg(total("bad"), total("good"), F.max("bad").alias("most"), F.count("*").alias("kinds"))
+    enough = (F.col("bad") >= MIN_CONTEXTS) & (F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good"))) & (~F.col("prefix") | (F.col("kinds") >= 4) & (F.col("most") <= 0.5 * F.col("bad")))
     rows = counted.where(enough).orderBy(F.desc("bad"), F.length("term"), "term").limit(MAX_TERMS).collect()
     chosen: list[tuple[str, bool, float]] = []
     begins: set[str] = set()

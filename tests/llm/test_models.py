@@ -148,6 +148,22 @@ def test_toxicity_without_labels_or_rows(corpus):
     assert toxicity.judge(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_near_copies_neither_hide_nor_make_terms(corpus, spark):
+    """Toxic near copies of one long text, a third of the labelled rows: its term stays a term, its other rare words become none."""
+    docs, labels, *_ = corpus
+    rng = random.Random(8)
+    rare = [f"q{a}{b}zel" for a in "aeiouy" for b in "bdfgkl"]
+    base = rng.choices([*WORDS["xa"], *WORDS["xb"]], k=500)
+    for at, w in enumerate(rare):
+        base[5 + 13 * at] = w
+    for at in range(3, 500, 60):
+        base[at] = "dimwit"
+    copies = [" ".join(rng.choice([*WORDS["xa"], *WORDS["xb"]]) if rng.random() < 0.02 else w for w in base) for _ in range(300)]
+    texts = docs.join(labels, "doc_id").where("toxic in (0, 1) and text is not null").selectExpr("text", "toxic y")
+    terms, _ = toxicity.learn_lexicon(texts.unionAll(spark.createDataFrame([(c, 1) for c in copies], "text string, y int")))
+    assert set(BAD) == {t for t, _, _ in terms}
+
+
 def osa(a, b):
     d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
     for i in range(len(a)):
