@@ -71,7 +71,7 @@ def semantic_search(queries: DataFrame, embeddings: DataFrame, k: int, embed: Ca
 
 
 class Lists:
-    """Inverted lists: k-means cells of unit vectors. A search looks into the ``probes`` nearest cells."""
+    """Inverted lists: k-means cells of unit vectors. A search looks into the ``probes`` nearest cells, and if exact into all that matter."""
 
     def __init__(self, vectors: DataFrame, lists: int = 100, seed: int = 1, id_col: str = "vec_id", vector: str = "embedding"):
         self.id_col, self.vector = id_col, vector
@@ -82,13 +82,30 @@ class Lists:
         self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
         self.cells = model.transform(fed).drop("_f")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 10) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int = 10, exact: bool = False) -> DataFrame:
+        """exact: also looks into each further cell that can hold a vector among the k, by the least and largest angle of its vectors to its centre."""
         spark = queries.sparkSession
         centres = spark.createDataFrame(list(enumerate(self.centres)), "cell int, centre array<double>")
         near = queries.crossJoin(F.broadcast(centres)).select(F.col(self.id_col).alias("query_id"), F.col(self.vector).alias("_q"), "cell", cosine_distance(F.col(self.vector), F.col("centre")).alias("d"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))
-        chosen = near.withColumn("_r", rank).where(F.col("_r") <= probes)
-        pairs = self.cells.select("cell", F.col(self.id_col).alias("id"), F.col(self.vector).alias("_v")).join(chosen, "cell").where("id <> query_id")
-        scored = pairs.select("query_id", "id", (1 - cosine_distance(F.col("_q"), F.col("_v"))).alias("similarity"))
-        last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id"))
-        return scored.withColumn("rank", last.cast("long")).where(F.col("rank") <= k)
+        near = near.withColumn("_r", rank)
+        found = _first(self._scored(near.where(F.col("_r") <= probes)), k)
+        if exact:
+            angle = lambda d: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - d)))
+            own = angle(cosine_distance(F.col(self.vector), F.col("centre")))
+            spread = self.cells.join(F.broadcast(centres), "cell").groupBy("cell").agg(F.min(own).alias("_least"), F.max(own).alias("_most"))
+            worst = found.groupBy("query_id").agg(F.count("similarity").alias("_n"), F.min("similarity").alias("_worst"))
+            best = F.cos(F.greatest(F.lit(0.0), angle(F.col("d")) - F.col("_most"), F.col("_least") - angle(F.col("d"))))
+            out = (F.col("_n") >= k) & (best < F.col("_worst") - 1e-9)
+            rest = near.where(F.col("_r") > probes).join(spread, "cell").join(worst, "query_id", "left").where(~F.coalesce(out, F.lit(False)))
+            found = _first(found.drop("rank").unionByName(self._scored(rest)), k)
+        return found
+
+    def _scored(self, chosen: DataFrame) -> DataFrame:
+        pairs = self.cells.select("cell", F.col(self.id_col).alias("id"), F.col(self.vector).alias("_v")).join(chosen.select("query_id", "_q", "cell"), "cell").where("id <> query_id")
+        return pairs.select("query_id", "id", (1 - cosine_distance(F.col("_q"), F.col("_v"))).alias("similarity"))
+
+
+def _first(scored: DataFrame, k: int) -> DataFrame:
+    last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id"))
+    return scored.withColumn("rank", last.cast("long")).where(F.col("rank") <= k)
