@@ -59,7 +59,7 @@ class Lexicon:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], allowed)
             old = self.ends.get(node)
-            self.ends[node] = (allowed, prefix or bool(old and old[1]), max(weight, old[2] if old else 0.0))
+            self.ends[node] = (max(allowed, old[0] if old else 0), prefix or bool(old and old[1]), max(weight, old[2] if old else 0.0))
         self.states: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -212,9 +212,9 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool, float]], fro
     chosen: list[tuple[str, bool, float]] = []
     begins: set[str] = set()
     for r in sorted(rows, key=lambda r: (not r["prefix"], len(r["term"]), r["term"])):
-        if any(r["term"][:n] in begins for n in PREFIXES):
-            continue
         if r["prefix"]:
+            if any(r["term"][:n] in begins for n in PREFIXES):
+                continue  # whole terms stay beside a beginning: their misspellings needn't begin so
             begins.add(r["term"])
         chosen.append((r["term"], r["prefix"], min(1.0, math.log((r["bad"] + 0.5) / (r["good"] + 0.5)) / 4)))
     alike = Lexicon(chosen)

@@ -164,6 +164,21 @@ def test_near_copies_neither_hide_nor_make_terms(corpus, spark):
     assert set(BAD) == {t for t, _, _ in terms}
 
 
+def test_terms_under_a_beginning_are_met_misspelt(spark):
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        words = sentence(rng, "xa", 20).split()
+        if i % 3 == 0:
+            words[rng.randrange(1, 20)] = "achl" + rng.choice(["oser", "osen", "oses", "osem", "osling", "osig"])
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    terms, clean = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    lexicon = toxicity.Lexicon(terms, clean)
+    assert ("achl", True) in {t[:2] for t in terms} and lexicon.judged("achlfoo")[0] == 0
+    assert all(lexicon.judged(w) and lexicon.judged(w)[0] == 1 for w in ("ahcloser", "achosling", "akhlosen", "axchlosig"))
+    both = toxicity.Lexicon([("dimwit", False, 1.0), ("dimwit", True, 1.0)])
+    assert both.look("dimwits") == (0, 1.0) and both.look("dmwit") == (1, 1.0) and both.look("dmwitted") is None
+
+
 def osa(a, b):
     d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
     for i in range(len(a)):
