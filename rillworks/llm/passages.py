@@ -1,8 +1,8 @@
 """Substring dedup with repeated-phrase automata.
 
 Every window of 13 words holds the phrase of 5 words that hashes lowest in it, so two windows with the same words share that phrase. Phrases
-chosen so in at least two places are confirmed as recurring by a count over all documents; sharded Aho-Corasick automata of them stream
-the documents and locate every occurrence; the windows around occurrences are compared over all documents, and covered words go.
+chosen so in at least two places are found by a count of hashes over all documents, which also locates them in each; an Aho-Corasick automaton of
+a slice's recurring phrases goes over those of its texts that hold one, as a recheck; the windows around are compared over all documents, and covered words go.
 
 Documents stay where they are, in chunks of a bucketed table: what moves is hashes, packed by chunk and by part of the hash space.
 """
