@@ -44,6 +44,12 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that df's rows are estimated at by the optimiser's statistics (files' sizes, for the columns read); 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """work on each Arrow batch, cut so that no cut has over limit bytes of its first string column (but one row at least)."""
 
@@ -126,7 +132,8 @@ class Words:
         return mix(np.add.reduceat(values, edges) + sizes.astype(np.uint64))
 
 
-_POWERS = mix(np.arange(1000, 1064, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Odd multipliers, by place in a run.
+POWERS = mix(np.arange(1000, 1064, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -134,7 +141,7 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     n = max(0, len(hashes) - k + 1)
     total = np.zeros(n, np.uint64)
     for j in range(k):
-        total += hashes[j : j + n] * _POWERS[j]
+        total += hashes[j : j + n] * POWERS[j]
     return mix(total)
 
 

@@ -1,16 +1,17 @@
 """Substring dedup with repeated-phrase automata.
 
-Every window of 13 words holds the phrase of 5 words that hashes lowest in it, so two windows with the same words share that phrase. Phrases
-chosen so in at least two places are found by a count of hashes over all documents, which also locates them in each; an Aho-Corasick automaton of
-a slice's recurring phrases goes over those of its texts that hold one, as a recheck; the windows around are compared over all documents, and covered words go.
+Every window of 13 words holds the phrase of 5 words that hashes lowest in it, so two windows with the same words share that phrase. Documents send
+these phrases, as text, to parts of a dictionary, where those that several documents hold are confirmed. The dictionary's shard for a chunk of
+documents, which is what the parts send back to it, is compiled into Aho-Corasick automata of bounded size, and all documents of the chunk stream through
+them: where a phrase occurs, the windows around it are candidates, and no other window is looked at. Candidates are compared over all
+documents by 128 bits, and words that repeated windows cover go.
 
-Documents stay where they are, in chunks of a bucketed table: what moves is hashes, packed by chunk and by part of the hash space.
+Documents stay where they are, in chunks of a bucketed table: what moves is phrases and hashes, packed by chunk and part.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import compress
 
@@ -22,19 +23,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete_later
-from .common import Words, cuts, runs, table, worker_path
+from ..storage import bucketed, stored
+from .common import POWERS, Words, cuts, mix, plan_bytes, runs, table, worker_path
 
 #: Words of a window, and of a phrase.
 WINDOW, PHRASE = 13, 5
-#: Bytes of text in a chunk, and in a shard whose phrases are in one automaton. A longer text is a chunk of its own.
-CHUNK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20
-#: Bits of a phrase's hash: enough for candidates, as windows are compared with all 64.
+#: Bytes of text in a chunk, and in a cut that is turned into arrays at once. A longer text is a chunk of its own.
+CHUNK_BYTES, CUT_BYTES = 8 << 20, 1 << 20
+#: Bytes of phrases in one automaton; a chunk with more has several, and its documents stream through each.
+SHARD_BYTES = 2 << 20
+#: Bytes of input, as the plan's statistics have it, for each part of the dictionary.
+PART_BYTES = 8 << 20
+#: Bits of a phrase's hash, by which anchors are chosen and parts dealt; phrases themselves are compared as text.
 PHRASE_BITS = 48
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64 bits and one length, the first one rising. Bytes of a kind lie together."""
+    """Columns of 64 bits and one length; a rising first one packs well. Bytes of a kind lie together."""
     first = np.diff(columns[0].view(np.uint64), prepend=np.uint64(0))
     whole = np.stack([first, *[c.view(np.uint64) for c in columns[1:]]])
     return zstandard.compress(np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -48,6 +53,31 @@ def unpack(packed: bytes, columns: int) -> np.ndarray:
     return whole
 
 
+def unpacked(packed: list[bytes], columns: int) -> np.ndarray:
+    return np.concatenate([unpack(p, columns) for p in packed] or [np.zeros((columns, 0), np.uint64)], 1)
+
+
+def pack_phrases(phrases: pa.Array, several: np.ndarray) -> bytes:
+    """Texts, and whether several documents of the chunk hold them."""
+    at = np.frombuffer(phrases.buffers()[1], np.int32)[phrases.offset : phrases.offset + len(phrases) + 1]
+    text = phrases.buffers()[2]
+    letters = memoryview(text)[at[0] : at[-1]] if text is not None else b""
+    return zstandard.compress(b"".join([np.uint32(len(phrases)).tobytes(), several.astype(np.uint8).tobytes(), np.diff(at).astype("<u4").tobytes(), letters]), 1)
+
+
+def unpack_phrases(packed: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(flags, sizes, texts in a row)."""
+    plain = zstandard.decompress(packed)
+    n = int(np.frombuffer(plain, "<u4", 1)[0])
+    return np.frombuffer(plain, np.uint8, n, 4) > 0, np.frombuffer(plain, "<u4", n, 4 + n).astype(np.int64), plain[4 + 5 * n :]
+
+
+def phrase_array(sizes: np.ndarray, letters: bytes) -> pa.Array:
+    """Texts of these sizes in a row. Parts and chunks hold far less than the 2 GB that 32-bit offsets reach."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(letters)])
+
+
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """(first words, hashes) of the phrases that hash lowest in some window of their document, ties to the left."""
     span = window - phrase + 1
@@ -66,75 +96,146 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, phrase:
     return chosen, phrases[chosen]
 
 
-def _parts(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
+def windows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window that begins at one of these words."""
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for j in range(WINDOW):
+        own = hashes[at + j]
+        one += own * POWERS[j]
+        two += own * POWERS[j + 32]
+    return mix(one), mix(two)
+
+
+class Normal:
+    """A cut of documents as words, and as bytes: words fenced by single spaces, documents by line feeds, which no word holds."""
+
+    def __init__(self, column: pa.Array):
+        self.words = words = Words(column)
+        texts = [words.text[a:b].tobytes().split() for a, b in zip(words.offsets, words.offsets[1:], strict=False)]
+        self.text = b"".join([b" %b \n" % b" ".join(t) for t in texts])
+        self.sizes = words.end - words.start
+        of = np.repeat(np.arange(len(texts)), np.diff(words.first))
+        # A document without words has one space more, and each one a space before and two bytes after.
+        extra = np.cumsum(2 + (np.diff(words.first) == 0))
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]])[: len(of)] + 1 + np.concatenate([[0], extra])[of]
+
+    def phrases(self, at: np.ndarray) -> pa.Array:
+        last = at + PHRASE - 1
+        ends = self.begins[last] + self.sizes[last]
+        return pa.array([self.text[a:b] for a, b in zip(self.begins[at].tolist(), ends.tolist(), strict=True)], pa.binary())
+
+
+class Shard:
+    """An automaton of phrases (words joined by single spaces) that runs over ``Normal`` texts, whose bytes count as Latin-1."""
+
+    def __init__(self, phrases: list[bytes]):
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases:
+            self.auto.add_word(f" {p.decode('latin-1')} ")
+        self.auto.make_automaton()
+
+    def found(self, normal: Normal) -> np.ndarray:
+        """First words of all occurrences. A match ends at the space after its last word."""
+        ends = np.fromiter((e for e, _ in self.auto.iter(normal.text.decode("latin-1"))), np.int64)
+        return np.searchsorted(normal.begins, ends) - PHRASE
+
+
+def shards(phrases: list[bytes], limit: int) -> Iterator[Shard]:
+    """One automaton after the other, so that one is in memory."""
+    ends = np.cumsum([len(p) + 2 for p in phrases])
+    lo = 0
+    while lo < len(phrases):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield Shard(phrases[lo:hi])
+        lo = hi
+
+
+def around(found: np.ndarray, first: np.ndarray, n_words: int) -> np.ndarray:
+    """First words of the windows, inside one document, that hold a phrase that begins at one of the words found."""
+    n = n_words - WINDOW + 1
+    if n <= 0 or not len(found):
+        return np.zeros(0, np.int64)
+    change = np.bincount(np.clip(found - (WINDOW - PHRASE), 0, n), minlength=n + 1) - np.bincount(np.clip(found + 1, 0, n), minlength=n + 1)
+    inside = np.arange(n) + WINDOW <= np.repeat(first[1:], np.diff(first))[:n]
+    return np.flatnonzero((np.cumsum(change[:n]) > 0) & inside)
+
+
+def _edges(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
     """Where each part's values begin in sorted values, of hashes with that many bits: parts + 1 places."""
     edges = [np.uint64(i * (1 << bits) // parts) for i in range(parts)]
     return np.concatenate([np.searchsorted(values, np.array(edges, np.uint64)), [len(values)]])
 
 
-def by_part(values: np.ndarray, bits: int, parts: int, *more: np.ndarray) -> tuple[list[int], list[bytes]]:
-    edges = _parts(values, bits, parts)
+def by_part(values: np.ndarray, bits: int, parts: int, made: Callable[[int, int], bytes]) -> tuple[list[int], list[bytes]]:
+    """(parts, what ``made`` makes of their range) of sorted values."""
+    edges = _edges(values, bits, parts).tolist()
     full = [p for p in range(parts) if edges[p] < edges[p + 1]]
-    return full, [pack(*[c[edges[p] : edges[p + 1]] for c in (values, *more)]) for p in full]
-
-
-def recurring(blobs: list[bytes]) -> list[np.ndarray]:
-    """Of (hash, whether in several documents of the chunk): for each chunk its hashes that are in several documents or chunks."""
-    met = [unpack(b, 2) for b in blobs]
-    values, count = np.unique(np.concatenate([m[0] for m in met]), return_counts=True)
-    often = np.union1d(values[count > 1], np.concatenate([m[0][m[1] > 0] for m in met]))
-    return [m[0][np.isin(m[0], often, assume_unique=False)] for m in met]
+    return full, [made(edges[p], edges[p + 1]) for p in full]
+
+
+def confirmed(blobs: list[bytes]) -> list[bytes | None]:
+    """Of phrases by chunk: for each chunk those that are in several documents or chunks, compared as text; None if there are none."""
+    met = [unpack_phrases(b) for b in blobs]
+    code = phrase_array(np.concatenate([m[1] for m in met]), b"".join([m[2] for m in met])).dictionary_encode()
+    at, out, lo = code.indices.to_numpy(), [], 0
+    often = np.bincount(at, minlength=len(code.dictionary)) > 1
+    often[at[np.concatenate([m[0] for m in met])]] = True
+    for flags, _, _ in met:
+        own = at[lo : lo + len(flags)]
+        own = own[often[own]]
+        out.append(pack_phrases(code.dictionary.take(pa.array(own)), np.ones(len(own))) if len(own) else None)
+        lo += len(flags)
+    return out
 
 
-def earlier(blobs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of (hash, smallest id, largest id in the chunk): for each chunk (hash, smallest id of all) where that is under the chunk's largest."""
-    met = [unpack(b, 3).view(np.int64) for b in blobs]
-    values = np.concatenate([m[0].view(np.uint64) for m in met])
-    order = np.argsort(values, kind="stable")
-    distinct, at = np.unique(values[order], return_index=True)
-    low = np.minimum.reduceat(np.concatenate([m[1] for m in met])[order], at)
-    out = []
+def earlier(blobs: list[bytes]) -> list[bytes | None]:
+    """Of windows (two hashes, smallest id, largest id in the chunk): for each chunk (two hashes, smallest id of all) where that is under the chunk's largest."""
+    met = [unpack(b, 4) for b in blobs]
+    one, two, low, _ = np.concatenate(met, 1)
+    order = np.lexsort((two, one))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+    at = np.flatnonzero(fresh)
+    least = np.empty(len(order), np.int64)
+    least[order] = np.minimum.reduceat(low.view(np.int64)[order], at)[np.cumsum(fresh) - 1]
+    out, lo = [], 0
     for m in met:
-        mine = m[0].view(np.uint64)
-        first = low[np.searchsorted(distinct, mine)]
-        out.append((mine[first < m[2]], first[first < m[2]]))
+        own = least[lo : lo + m.shape[1]]
+        lo += m.shape[1]
+        some = own < m[3].view(np.int64)
+        out.append(pack(m[0][some], m[1][some], own[some]) if some.any() else None)
     return out
 
 
-class Shard:
-    """An automaton of phrases (words joined by single spaces), over normal texts: bytes as Latin-1, words joined and fenced by single spaces."""
+def lowest(values: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each distinct value stands first in their order, smallest id, largest id), of values in one or more columns; and that order."""
+    order = np.lexsort(values[::-1])
+    fresh = np.zeros(len(order), bool)
+    for v in values:
+        fresh[1:] |= np.diff(v[order]) != 0
+    fresh[:1] = True
+    at = np.flatnonzero(fresh)
+    if not len(at):
+        return order, ids, ids
+    return order[at], np.minimum.reduceat(ids[order], at), np.maximum.reduceat(ids[order], at)
 
-    def __init__(self, phrases: set[bytes]):
-        self.auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases:
-            self.auto.add_word(f" {p.decode('latin-1')} ")
-        self.auto.make_automaton()
 
-    def ends(self, words: list[bytes]) -> np.ndarray:
-        """Places of the spaces that end occurrences, in the normal text."""
-        return np.fromiter((e for e, _ in self.auto.iter(f" {b' '.join(words).decode('latin-1')} ")), np.int64)
-
-
-def occurrences(column: pa.Array, known: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(document, hashes of its windows that hold a phrase whose hash is known) for documents with such windows."""
-    words = Words(column)
-    h, first = words.hashes(), words.first
-    at, value = anchors(h, first)
-    at = at[np.isin(value, known)]
-    doc = np.searchsorted(first, at, "right") - 1
-    docs = np.unique(doc)
-    texts = {int(d): words.text[words.offsets[d] : words.offsets[d + 1]].tobytes().split() for d in docs}
-    shard = Shard({b" ".join(texts[int(d)][a - first[d] : a - first[d] + PHRASE]) for d, a in zip(doc, at, strict=True)}) if len(at) else None
-    windows = runs(h, WINDOW)
-    for d in texts:
-        lo, hi = int(first[d]), int(first[d + 1])
-        begins = 1 + np.concatenate([[0], np.cumsum(words.end[lo:hi] - words.start[lo:hi] + 1)[:-1]])
-        start = np.searchsorted(begins, shard.ends(texts[d])) - PHRASE
-        n = hi - lo - WINDOW + 1
-        change = np.zeros(n + 1, np.int64)
-        np.add.at(change, np.clip(start - (WINDOW - PHRASE), 0, n), 1)
-        np.add.at(change, np.clip(start + 1, 0, n), -1)
-        yield d, windows[lo : lo + n][np.cumsum(change[:-1]) > 0]
+class Gone:
+    """Windows (two hashes) and the smallest id of each."""
+
+    def __init__(self, columns: np.ndarray):
+        order = np.lexsort((columns[1], columns[0]))
+        self.one, self.two, self.low = columns[0][order], columns[1][order], columns[2].view(np.int64)[order]
+        _, counts = np.unique(self.one, return_counts=True)
+        self.most = int(counts.max(initial=0))  # windows that share the first hash
+
+    def before(self, one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Whether a window stands in a document with a smaller id than its owner's."""
+        hit, place = np.zeros(len(one), bool), np.searchsorted(self.one, one)
+        for k in range(self.most):
+            at = np.minimum(place + k, len(self.one) - 1)
+            hit |= (self.one[at] == one) & (self.two[at] == two) & (self.low[at] < owner)
+        return hit
 
 
 def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], columns: list[tuple[str, str, pa.DataType]], id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,40 +243,45 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
 
     Words are ``[^\\x20\\x09-\\x0D]+``, as they stand. A word goes if a window of 13 words covers it whose words also follow each other in a
     document with a smaller id; windows are judged on the input. Null texts have no words. Rows that repeat an id are one document here, so none
-    of them loses words to another. Rows with a null id lose nothing and nothing is lost to them.
+    of them loses words to another. Rows with a null id lose nothing and nothing is lost to them. Other columns of df play no part.
     """
     spark = df.sparkSession
     worker_path(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * buckets
+    rows = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("key"))
+    # A part's phrases are in memory at once, so parts grow with the input.
+    parts = max(4 * buckets, -(-plan_bytes(rows) // PART_BYTES))
 
     def chunks(batches):
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def done():
             name = f"{task}-{number}"
-            found, of = [], []
+            found, hashes, of = [], [], []
             for part in held:
-                words = Words(part.column(0))
-                at, value = anchors(words.hashes(), words.first)
-                ids = part.column(1).fill_null(-1).to_numpy()[np.searchsorted(words.first, at, "right") - 1]
-                use = np.array(part.column(1).is_valid())[np.searchsorted(words.first, at, "right") - 1]
-                found.append(value[use])
-                of.append(ids[use])
-            value, ids = np.concatenate(found), np.concatenate(of)
-            order = np.argsort(value, kind="stable")
-            value, ids = value[order], ids[order]
-            distinct, at = np.unique(value, return_index=True)
-            several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at) if len(at) else np.zeros(0, bool)
-            full, packed = by_part(distinct, PHRASE_BITS, parts, several.astype(np.uint64))
-            n = len(full)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(full, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=["chunk", "part", "packed", "key", "t"])
+                normal = Normal(part.column(0))
+                first = normal.words.first
+                at, value = anchors(normal.words.hashes(), first)
+                row = np.searchsorted(first, at, "right") - 1
+                use = np.array(part.column(1).is_valid())[row]
+                found.append(normal.phrases(at[use]))
+                hashes.append(value[use])
+                of.append(part.column(1).fill_null(-1).to_numpy()[row][use])
+            code = pa.chunked_array(found, pa.binary()).combine_chunks().dictionary_encode()
+            value, ids, at = np.concatenate(hashes), np.concatenate(of), code.indices.to_numpy()
+            where, low, high = lowest((at,), ids)  # of each text in turn, as all are there
+            order = np.argsort(value[where], kind="stable")
+            texts, several, value = code.dictionary.take(pa.array(order)), (low != high)[order], value[where][order]
+            full, packed = by_part(value, PHRASE_BITS, parts, lambda a, b: pack_phrases(texts.slice(a, b - a), several[a:b]))
+            yield _rows(name, full, packed, pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.string()))
+            row = 0
             for part in held:
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), part.column(1), part.column(0).cast(pa.string())], names=["chunk", "part", "packed", "key", "t"])
+                yield _rows(name, list(range(row, row + n)), pa.nulls(n, pa.binary()), part.column(1), part.column(0).cast(pa.string()))
+                row += n
 
         for batch in batches:
-            for part in cuts(batch, SHARD_BYTES):
+            for part in cuts(batch, CUT_BYTES):
                 if held and size + part.column(0).nbytes > CHUNK_BYTES:
                     yield from done()
                     number, held, size = number + 1, [], 0
@@ -184,80 +290,94 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
         if held:
             yield from done()
 
-    name = f"passages_{uuid.uuid4().hex}"
-    rows = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("key"))
-    rows.mapInArrow(chunks, "chunk string, part int, packed binary, key long, t string").write.bucketBy(buckets, "chunk").format("parquet").option("compression", "zstd").saveAsTable(name)
-    delete_later(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
-    docs = spark.table(name).where("part is null").select("chunk", "key", "t")
+    # A row is either a part's phrases (at: the part) or a document (at: its place in the chunk).
+    made = spark.table(bucketed(rows.mapInArrow(chunks, "chunk string, at int, packed binary, key long, t string"), "passages", buckets, ["chunk"]))
+    docs = made.where("packed is null").select("chunk", "at", "key", "t")
 
     def answer(work):
         def group(t: pa.Table) -> pa.Table:
-            t = t.combine_chunks()
             found = work(t["packed"].to_pylist())
-            kept = [i for i, x in enumerate(found) if len(x[0] if isinstance(x, tuple) else x)]
-            packed = [pack(*(x if isinstance(x, tuple) else (x,))) for x in (found[i] for i in kept)]
-            return pa.table([t["chunk"].take(pa.array(kept, pa.int64())), pa.array(packed, pa.binary())], names=["chunk", "packed"])
+            kept = [i for i, x in enumerate(found) if x is not None]
+            return pa.table([t["chunk"].combine_chunks().take(pa.array(kept, pa.int64())), pa.array([found[i] for i in kept], pa.binary())], names=["chunk", "packed"])
 
         return group
 
-    phrases = spark.table(name).where("part is not null").select("chunk", "part", "packed").groupBy("part").applyInArrow(answer(recurring), "chunk string, packed binary")
+    phrases = made.where("packed is not null").select("chunk", "at", "packed").groupBy("at").applyInArrow(answer(confirmed), "chunk string, packed binary")
 
     def tables(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in t.select(["t", "key"]).combine_chunks().to_batches():
-            yield from cuts(batch, SHARD_BYTES)
+        for batch in t.select(["t", "key", "at"]).combine_chunks().to_batches():
+            yield from cuts(batch, CUT_BYTES)
 
     def locate(phrases: pa.Table, docs: pa.Table) -> pa.Table:
-        known = np.sort(np.concatenate([unpack(x.as_py(), 1)[0] for x in phrases["packed"]] or [np.zeros(0, np.uint64)]))
-        found, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for part in tables(docs) if len(known) else ():
-            part = part.filter(part.column(1).is_valid())
-            ids = part.column(1).to_numpy()
-            for d, windows in occurrences(part.column(0), known):
-                found.append(windows)
-                of.append(np.full(len(windows), ids[d]))
-        value, ids = np.concatenate(found), np.concatenate(of)
-        order = np.argsort(value, kind="stable")
-        value, ids = value[order], ids[order]
-        distinct, at = np.unique(value, return_index=True)
-        low, high = (np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)) if len(at) else (ids, ids)
-        full, packed = by_part(distinct, 64, parts, low, high)
+        met = [unpack_phrases(x.as_py()) for x in phrases["packed"]]
+        known = phrase_array(np.concatenate([m[1] for m in met]), b"".join([m[2] for m in met])).to_pylist() if met else []
         chunk = docs["chunk"][0].as_py() if docs.num_rows else ""
-        return pa.table([pa.array([chunk] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "part", "packed"])
-
-    windows = phrases.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(locate, "chunk string, part int, packed binary")
-    gone = windows.groupBy("part").applyInArrow(answer(earlier), "chunk string, packed binary")
-
-    def remove(gone: pa.Table, docs: pa.Table) -> pa.Table:
-        met = [unpack(x.as_py(), 2) for x in gone["packed"]]
-        value, low = (np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]).view(np.int64)) if met else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(value)
-        value, low = value[order], low[order]
+        held = [part.filter(part.column(1).is_valid()) for part in tables(docs)] if known else []
+        normals = [Normal(part.column(0)) for part in held]
+        found: list[list[np.ndarray]] = [[] for _ in held]
+        for shard in shards(known, SHARD_BYTES):
+            for own, normal in zip(found, normals, strict=True):
+                own.append(shard.found(normal))
+        ones, twos, ids, places, starts = [], [], [], [], []
+        for part, normal, own in zip(held, normals, found, strict=True):
+            first = normal.words.first
+            at = around(np.concatenate([np.zeros(0, np.int64), *own]), first, len(normal.begins))
+            row = np.searchsorted(first, at, "right") - 1
+            one, two = windows(normal.words.hashes(), at)
+            ones.append(one)
+            twos.append(two)
+            ids.append(part.column(1).to_numpy()[row])
+            places.append(part.column(2).to_numpy()[row].astype(np.int64))
+            starts.append(at - first[row])
+        if not held or not sum(map(len, ones)):
+            return _rows(chunk, [], [])
+        one, two, ids = np.concatenate(ones), np.concatenate(twos), np.concatenate(ids)
+        where, low, high = lowest((one, two), ids)
+        one, two = one[where], two[where]
+        full, packed = by_part(one, 64, parts, lambda a, b: pack(one[a:b], two[a:b], low[a:b], high[a:b]))
+        # -1: where the windows are, for the chunk itself
+        return _rows(chunk, [*full, -1], [*packed, pack(np.concatenate(places), np.concatenate(starts))])
+
+    located = stored(phrases.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(locate, "chunk string, at int, packed binary"), "windows")
+    gone = located.where("at >= 0").groupBy("at").applyInArrow(answer(earlier), "chunk string, packed binary")
+    known = gone.select("chunk", F.lit(False).alias("place"), "packed").unionAll(located.where("at = -1").select("chunk", F.lit(True), "packed"))
+
+    def remove(known: pa.Table, docs: pa.Table) -> pa.Table:
+        place = known["place"].to_numpy() if known.num_rows else np.zeros(0, bool)
+        packed = known["packed"].to_pylist()
+        gone = Gone(unpacked([p for p, x in zip(packed, place, strict=True) if not x], 3))
+        at, start = unpacked([p for p, x in zip(packed, place, strict=True) if x], 2).view(np.int64) if gone.most else np.zeros((2, 0), np.int64)
+        order = np.argsort(at, kind="stable")
+        at, start = at[order], start[order]
         keys, out = [], []
         for part in tables(docs):
-            words = Words(part.column(0))
-            first = words.first
-            h = runs(words.hashes(), WINDOW)
-            starts = np.arange(len(h))
-            inside = starts + WINDOW <= np.repeat(first[1:], np.diff(first))[: len(h)]
-            ids = part.column(1).to_pylist()
-            drop = np.zeros(len(words.start), bool)
-            if len(value) and len(h):
-                place = np.minimum(np.searchsorted(value, h), len(value) - 1)
-                owner = np.repeat(np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64), np.diff(first))[: len(h)]
-                hit = inside & (value[place] == h) & (low[place] < owner)
-                change = np.zeros(len(drop) + WINDOW + 1, np.int64)
-                change[: len(h)] += hit
-                change[WINDOW : WINDOW + len(h)] -= hit
-                drop = np.cumsum(change)[: len(drop)] > 0
-            for d, key in enumerate(ids):
-                whole = words.text[words.offsets[d] : words.offsets[d + 1]].tobytes().split()
-                mask = drop[first[d] : first[d + 1]]
+            places, ids = part.column(2).to_numpy().astype(np.int64), part.column(1).to_pylist()
+            lo, hi = np.searchsorted(at, places), np.searchsorted(at, places, "right")
+            some = np.flatnonzero(hi > lo)
+            drop: dict[int, np.ndarray] = {}
+            if len(some):
+                words = Words(part.column(0).take(pa.array(some)))
+                own = np.concatenate([start[a:b] for a, b in zip(lo[some], hi[some], strict=True)]) + np.repeat(words.first[:-1], (hi - lo)[some])
+                one, two = windows(words.hashes(), own)
+                hit = own[gone.before(one, two, np.repeat(np.array([ids[i] for i in some], np.int64), (hi - lo)[some]))]
+                n = len(words.start)
+                change = np.bincount(hit, minlength=n + 1) - np.bincount(hit + WINDOW, minlength=n + 1)
+                mask = np.cumsum(change[:n]) > 0
+                drop = {int(i): mask[a:b] for i, a, b in zip(some, words.first, words.first[1:], strict=False)}
+            for d, (key, t) in enumerate(zip(ids, part.column(0).to_pylist(), strict=True)):
+                whole = t.encode().split()
+                mask = drop.get(d)
                 keys.append(key)
-                out.append(finish(whole, list(compress(whole, (~mask).tolist())) if mask.any() else whole))
+                out.append(finish(whole, list(compress(whole, (~mask).tolist())) if mask is not None and mask.any() else whole))
         return pa.table([pa.array(keys, pa.int64()), *[pa.array([r[i] for r in out], t) for i, (_, _, t) in enumerate(columns)]], names=[id_col, *[c for c, _, _ in columns]])
 
     schema = ", ".join([f"`{id_col}` long", *[f"`{c}` {kind}" for c, kind, _ in columns]])
-    return gone.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(remove, schema)
+    return known.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(remove, schema)
+
+
+def _rows(chunk: str, at: list[int], packed: list[bytes] | pa.Array, *more: pa.Array) -> pa.Table | pa.RecordBatch:
+    found = [pa.array([chunk] * len(at), pa.string()), pa.array(at, pa.int32()), packed if isinstance(packed, pa.Array) else pa.array(packed, pa.binary()), *more]
+    return pa.RecordBatch.from_arrays(found, names=["chunk", "at", "packed", "key", "t"]) if more else pa.table(found, names=["chunk", "at", "packed"])
 
 
 def counted(words: list[bytes], kept: list[bytes]) -> tuple:

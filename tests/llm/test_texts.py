@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillworks.llm import bpe, decontam, lines, passages, urls
@@ -156,6 +157,37 @@ def test_every_window_has_a_chosen_phrase():
         assert all(((at >= i) & (at <= i + 8)).any() for i in range(lo, hi - 12))
 
 
+def test_automata_locate_phrases():
+    texts = ["", "a b c d e a b c d e f", "ß x\ty  z\u00a0q w", "  ", "x a b c d e"]
+    normal = passages.Normal(pa.array(texts))
+    phrases = [b"a b c d e", b"b c d e a", "ß x y z\u00a0q w".encode(), b"d e f x a"]
+    words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    of = [i for i, t in enumerate(texts) for _ in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    want = [i for i in range(len(words) - 4) if len(set(of[i : i + 5])) == 1 and " ".join(words[i : i + 5]).encode() in phrases]
+    for limit in (1, 30, 1 << 20):  # a phrase to a shard, some, all
+        held = list(passages.shards(phrases, limit))
+        assert len(held) == {1: 4, 30: 2, 1 << 20: 1}[limit]
+        assert sorted(i for s in held for i in s.found(normal).tolist()) == want
+    assert normal.phrases(np.array([0, 5])).to_pylist() == [b"a b c d e", b"a b c d e"]
+
+
+def test_passages_come_through_the_automata(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(60))
+    own = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    # A third of all rows hold one passage; one text is long, and its words are those of a short one again and again.
+    rows = [(i, own(20) + (f" {shared} " if i % 3 == 0 else " ") + own(20)) for i in range(300)] + [(300, own(150_000) + " " + shared), (301, f"{shared} " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda x: x[0]
+    run = lambda: sorted(map(tuple, passages.dedup(df, passages.counted, passages.COUNTED).collect()), key=order)
+    want = sorted(brute_passages(rows), key=order)
+    assert run() == want
+    monkeypatch.setattr(passages, "SHARD_BYTES", 200)
+    assert run() == want
+    monkeypatch.setattr(passages, "shards", lambda phrases, limit: [])  # what no automaton finds stays
+    assert sum(r[2] for r in run()) == 0 < sum(r[2] for r in want)
+
+
 # op8
 
 
