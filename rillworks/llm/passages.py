@@ -12,18 +12,20 @@ Documents stay where they are, in chunks of a bucketed table: what moves is phra
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import bucketed, stored
+from ..storage import bucketed
 from .common import POWERS, Words, cuts, mix, plan_bytes, runs, table, worker_path
 
 #: Words of a window, and of a phrase.
@@ -78,22 +80,20 @@ def phrase_array(sizes: np.ndarray, letters: bytes) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(letters)])
 
 
-def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the phrases that hash lowest in some window of their document, ties to the left."""
+def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words of the windows inside one document; of each the first word of its phrase that hashes lowest, ties to the left; hashes of all phrases)."""
     span = window - phrase + 1
     phrases = runs(hashes, phrase) >> np.uint64(64 - PHRASE_BITS)
     n = len(hashes) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), phrases
     low, at = phrases[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, span):
         less = phrases[j : j + n] < low
         low[less] = phrases[j : j + n][less]
         at[less] = j
-    starts = np.arange(n)
-    inside = starts + window <= np.repeat(first[1:], np.diff(first))[:n]
-    chosen = np.unique((starts + at)[inside])
-    return chosen, phrases[chosen]
+    starts = np.flatnonzero(np.arange(n) + window <= np.repeat(first[1:], np.diff(first))[:n])
+    return starts, starts + at[starts], phrases
 
 
 def windows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,14 +150,12 @@ def shards(phrases: list[bytes], limit: int) -> Iterator[Shard]:
         lo = hi
 
 
-def around(found: np.ndarray, first: np.ndarray, n_words: int) -> np.ndarray:
-    """First words of the windows, inside one document, that hold a phrase that begins at one of the words found."""
-    n = n_words - WINDOW + 1
-    if n <= 0 or not len(found):
-        return np.zeros(0, np.int64)
-    change = np.bincount(np.clip(found - (WINDOW - PHRASE), 0, n), minlength=n + 1) - np.bincount(np.clip(found + 1, 0, n), minlength=n + 1)
-    inside = np.arange(n) + WINDOW <= np.repeat(first[1:], np.diff(first))[:n]
-    return np.flatnonzero((np.cumsum(change[:n]) > 0) & inside)
+def around(found: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """First words of the windows whose own phrase is one that begins at one of the words found."""
+    starts, of, _ = anchors(hashes, first)
+    there = np.zeros(len(hashes), bool)
+    there[found] = True
+    return starts[there[of]]
 
 
 def _edges(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
@@ -175,6 +173,8 @@ def by_part(values: np.ndarray, bits: int, parts: int, made: Callable[[int, int]
 
 def confirmed(blobs: list[bytes]) -> list[bytes | None]:
     """Of phrases by chunk: for each chunk those that are in several documents or chunks, compared as text; None if there are none."""
+    if not blobs:
+        return []
     met = [unpack_phrases(b) for b in blobs]
     code = phrase_array(np.concatenate([m[1] for m in met]), b"".join([m[2] for m in met])).dictionary_encode()
     at, out, lo = code.indices.to_numpy(), [], 0
@@ -190,6 +190,8 @@ def confirmed(blobs: list[bytes]) -> list[bytes | None]:
 
 def earlier(blobs: list[bytes]) -> list[bytes | None]:
     """Of windows (two hashes, smallest id, largest id in the chunk): for each chunk (two hashes, smallest id of all) where that is under the chunk's largest."""
+    if not blobs:
+        return []
     met = [unpack(b, 4) for b in blobs]
     one, two, low, _ = np.concatenate(met, 1)
     order = np.lexsort((two, one))
@@ -208,7 +210,7 @@ def earlier(blobs: list[bytes]) -> list[bytes | None]:
 
 
 def lowest(values: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(where each distinct value stands first in their order, smallest id, largest id), of values in one or more columns; and that order."""
+    """(where each distinct value stands, in order of the values, smallest id, largest id), of values in one or more columns."""
     order = np.lexsort(values[::-1])
     fresh = np.zeros(len(order), bool)
     for v in values:
@@ -253,60 +255,53 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
     parts = max(4 * buckets, -(-plan_bytes(rows) // PART_BYTES))
 
     def chunks(batches):
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def done():
-            name = f"{task}-{number}"
-            found, hashes, of = [], [], []
-            for part in held:
-                normal = Normal(part.column(0))
-                first = normal.words.first
-                at, value = anchors(normal.words.hashes(), first)
-                row = np.searchsorted(first, at, "right") - 1
-                use = np.array(part.column(1).is_valid())[row]
-                found.append(normal.phrases(at[use]))
-                hashes.append(value[use])
-                of.append(part.column(1).fill_null(-1).to_numpy()[row][use])
-            code = pa.chunked_array(found, pa.binary()).combine_chunks().dictionary_encode()
-            value, ids, at = np.concatenate(hashes), np.concatenate(of), code.indices.to_numpy()
-            where, low, high = lowest((at,), ids)  # of each text in turn, as all are there
-            order = np.argsort(value[where], kind="stable")
-            texts, several, value = code.dictionary.take(pa.array(order)), (low != high)[order], value[where][order]
-            full, packed = by_part(value, PHRASE_BITS, parts, lambda a, b: pack_phrases(texts.slice(a, b - a), several[a:b]))
-            yield _rows(name, full, packed, pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.string()))
-            row = 0
-            for part in held:
-                n = len(part)
-                yield _rows(name, list(range(row, row + n)), pa.nulls(n, pa.binary()), part.column(1), part.column(0).cast(pa.string()))
-                row += n
-
+        task, number, at, size = TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
             for part in cuts(batch, CUT_BYTES):
-                if held and size + part.column(0).nbytes > CHUNK_BYTES:
-                    yield from done()
-                    number, held, size = number + 1, [], 0
-                held.append(part)
-                size += part.column(0).nbytes
-        if held:
-            yield from done()
-
-    # A row is either a part's phrases (at: the part) or a document (at: its place in the chunk).
-    made = spark.table(bucketed(rows.mapInArrow(chunks, "chunk string, at int, packed binary, key long, t string"), "passages", buckets, ["chunk"]))
-    docs = made.where("packed is null").select("chunk", "at", "key", "t")
+                if at and size + part.column(0).nbytes > CHUNK_BYTES:
+                    number, at, size = number + 1, 0, 0
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"] * n), pa.array(np.arange(at, at + n, dtype=np.int32)), part.column(1), part.column(0)], names=["chunk", "at", "key", "t"])
+                at, size = at + n, size + part.column(0).nbytes
+
+    docs = spark.table(bucketed(rows.mapInArrow(chunks, "chunk string, at int, key long, t string"), "passages", buckets, ["chunk"]))
+
+    def tables(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in t.select(["t", "key", "at"]).combine_chunks().to_batches():
+            yield from cuts(batch, CUT_BYTES)
+
+    def send(docs: pa.Table) -> pa.Table:
+        found, hashes, of = [pa.array([], pa.binary())], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for part in tables(docs):
+            part = part.filter(part.column(1).is_valid())
+            normal = Normal(part.column(0))
+            first = normal.words.first
+            _, at, value = anchors(normal.words.hashes(), first)
+            at = np.unique(at)
+            found.append(normal.phrases(at))
+            hashes.append(value[at])
+            of.append(part.column(1).to_numpy()[np.searchsorted(first, at, "right") - 1])
+        code = pa.chunked_array(found, pa.binary()).combine_chunks().dictionary_encode()
+        value, ids, at = np.concatenate(hashes), np.concatenate(of), code.indices.to_numpy()
+        where, low, high = lowest((at,), ids)  # of each text in turn, as all are there
+        order = np.argsort(value[where], kind="stable")
+        texts, several, value = code.dictionary.take(pa.array(order)), (low != high)[order], value[where][order]
+        return _rows(docs["chunk"][0].as_py(), *by_part(value, PHRASE_BITS, parts, lambda a, b: pack_phrases(texts.slice(a, b - a), several[a:b])))
 
     def answer(work):
         def group(t: pa.Table) -> pa.Table:
-            found = work(t["packed"].to_pylist())
+            t = t.combine_chunks()
+            asked = pc.greater_equal(t["at"], 0)
+            found = work(t.filter(asked)["packed"].to_pylist())
             kept = [i for i, x in enumerate(found) if x is not None]
-            return pa.table([t["chunk"].combine_chunks().take(pa.array(kept, pa.int64())), pa.array([found[i] for i in kept], pa.binary())], names=["chunk", "packed"])
+            answers = pa.table([t.filter(asked)["chunk"].take(pa.array(kept, pa.int64())), pa.array([found[i] for i in kept], pa.binary()), pa.array([False] * len(kept), pa.bool_())], names=["chunk", "packed", "own"])
+            own = t.filter(pc.invert(asked)).select(["chunk", "packed"])
+            return pa.concat_tables([answers, own.append_column("own", pa.array([True] * own.num_rows, pa.bool_()))])
 
         return group
 
-    phrases = made.where("packed is not null").select("chunk", "at", "packed").groupBy("at").applyInArrow(answer(confirmed), "chunk string, packed binary")
-
-    def tables(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in t.select(["t", "key", "at"]).combine_chunks().to_batches():
-            yield from cuts(batch, CUT_BYTES)
+    answered = "chunk string, packed binary, own boolean"
+    phrases = docs.groupBy("chunk").applyInArrow(send, "chunk string, at int, packed binary").groupBy("at").applyInArrow(answer(confirmed), answered)
 
     def locate(phrases: pa.Table, docs: pa.Table) -> pa.Table:
         met = [unpack_phrases(x.as_py()) for x in phrases["packed"]]
@@ -321,9 +316,10 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
         ones, twos, ids, places, starts = [], [], [], [], []
         for part, normal, own in zip(held, normals, found, strict=True):
             first = normal.words.first
-            at = around(np.concatenate([np.zeros(0, np.int64), *own]), first, len(normal.begins))
+            hashes = normal.words.hashes()
+            at = around(np.concatenate([np.zeros(0, np.int64), *own]), hashes, first)
             row = np.searchsorted(first, at, "right") - 1
-            one, two = windows(normal.words.hashes(), at)
+            one, two = windows(hashes, at)
             ones.append(one)
             twos.append(two)
             ids.append(part.column(1).to_numpy()[row])
@@ -335,16 +331,14 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
         where, low, high = lowest((one, two), ids)
         one, two = one[where], two[where]
         full, packed = by_part(one, 64, parts, lambda a, b: pack(one[a:b], two[a:b], low[a:b], high[a:b]))
-        # -1: where the windows are, for the chunk itself
-        return _rows(chunk, [*full, -1], [*packed, pack(np.concatenate(places), np.concatenate(starts))])
+        # Under a negative number, by chunk: where the windows are, which comes back to the chunk as it is.
+        return _rows(chunk, [*full, -1 - zlib.crc32(chunk.encode()) % parts], [*packed, pack(np.concatenate(places), np.concatenate(starts))])
 
-    located = stored(phrases.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(locate, "chunk string, at int, packed binary"), "windows")
-    gone = located.where("at >= 0").groupBy("at").applyInArrow(answer(earlier), "chunk string, packed binary")
-    known = gone.select("chunk", F.lit(False).alias("place"), "packed").unionAll(located.where("at = -1").select("chunk", F.lit(True), "packed"))
+    located = phrases.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(locate, "chunk string, at int, packed binary")
+    known = located.groupBy("at").applyInArrow(answer(earlier), answered)
 
     def remove(known: pa.Table, docs: pa.Table) -> pa.Table:
-        place = known["place"].to_numpy() if known.num_rows else np.zeros(0, bool)
-        packed = known["packed"].to_pylist()
+        place, packed = known["own"].to_pylist(), known["packed"].to_pylist()
         gone = Gone(unpacked([p for p, x in zip(packed, place, strict=True) if not x], 3))
         at, start = unpacked([p for p, x in zip(packed, place, strict=True) if x], 2).view(np.int64) if gone.most else np.zeros((2, 0), np.int64)
         order = np.argsort(at, kind="stable")
@@ -375,9 +369,8 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
     return known.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(remove, schema)
 
 
-def _rows(chunk: str, at: list[int], packed: list[bytes] | pa.Array, *more: pa.Array) -> pa.Table | pa.RecordBatch:
-    found = [pa.array([chunk] * len(at), pa.string()), pa.array(at, pa.int32()), packed if isinstance(packed, pa.Array) else pa.array(packed, pa.binary()), *more]
-    return pa.RecordBatch.from_arrays(found, names=["chunk", "at", "packed", "key", "t"]) if more else pa.table(found, names=["chunk", "at", "packed"])
+def _rows(chunk: str, at: list[int], packed: list[bytes]) -> pa.Table:
+    return pa.table([pa.array([chunk] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "at", "packed"])
 
 
 def counted(words: list[bytes], kept: list[bytes]) -> tuple:

@@ -152,7 +152,8 @@ def test_every_window_has_a_chosen_phrase():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 5, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     first = np.array([0, 100, 105, 300])
-    at, _ = passages.anchors(h, first)
+    starts, at, _ = passages.anchors(h, first)
+    assert ((starts <= at) & (at <= starts + 8)).all()
     for lo, hi in zip(first, first[1:], strict=False):
         assert all(((at >= i) & (at <= i + 8)).any() for i in range(lo, hi - 12))
 
