@@ -55,6 +55,11 @@ def coloured(text: Column, colour: str) -> Column:
     return F.concat(F.lit(f"\x1b[{COLOURS[colour]}m"), text, F.lit("\x1b[00m"))
 
 
+def ipv4(text: Column) -> Column:
+    """All IPv4 addresses in dotted form, in order, as they stand; numbers are not checked to be under 256."""
+    return F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"), F.lit(1))
+
+
 def stream_list(text: Column) -> Column:
     """Split at a comma and a blank, nothing else: ``a,b`` is one name."""
     return F.split(text, ", ")

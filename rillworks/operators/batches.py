@@ -16,15 +16,22 @@ def with_position(df: DataFrame, order: list[str | Column], name: str = "positio
 
     A range shuffle and a count for each partition; no task gets more than a partition, where a window over everything would take all rows.
     """
+    ranged, before = ranges(df, order)
+    starts = [x for part in sorted(before) for x in (F.lit(part), F.lit(before[part][0]))]
+    offset = F.element_at(F.create_map(*starts), F.col("_part")) if starts else F.lit(0)
+    return ranged.withColumn(name, (F.col("_row") + offset).cast("long")).drop("_part", "_row")
+
+
+def ranges(df: DataFrame, order: list[str | Column]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """df in order, stored, with _part and _row in it; and for each part how many rows are before it and in it."""
     place = F.monotonically_increasing_id()
     ranged = stored(df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": place.bitwiseAND(F.lit((1 << 33) - 1))}), "ranged")
     sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, pairs = 0, []
+    out, before = {}, 0
     for part in sorted(sizes):
-        pairs += [F.lit(part), F.lit(before)]
+        out[part] = (before, sizes[part])
         before += sizes[part]
-    offset = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0)
-    return ranged.withColumn(name, (F.col("_row") + offset).cast("long")).drop("_part", "_row")
+    return ranged, out
 
 
 def assigned(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:

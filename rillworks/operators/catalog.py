@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import children
+
 
 def page(df: DataFrame, by: str, key: str, limit: int, offset: int = 0, status_col: str | None = None, status: str | None = None) -> DataFrame:
     """Newest first, equal times by key; rows of one status, if given."""
@@ -54,8 +56,32 @@ def inserted(rows: DataFrame, schema: str, defaults: dict[str, Any], path: str |
 
 
 def query(spark: SparkSession, sql: str, **args: Any) -> DataFrame:
-    """Parameters are bound, never pasted into the text."""
-    return spark.sql(sql, args=args)
+    """Parameters are bound, never pasted into the text; DataFrames are tables, which the text names in braces."""
+    tables = {k: v for k, v in args.items() if isinstance(v, DataFrame)}
+    return spark.sql(sql, args={k: v for k, v in args.items() if k not in tables}, **tables)
+
+
+def migrated(spark: SparkSession, steps: dict[str, str], path: str) -> list[str]:
+    """Runs statements by version, in order of their names, each once: path keeps those that have run. Returns the versions run now."""
+    done = {r["version"] for r in spark.read.schema("version string").parquet(path).collect()} if _there(spark, path) else set()
+    ran = []
+    for version in sorted(set(steps) - done):
+        spark.sql(steps[version])
+        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(path)
+        ran.append(version)
+    return ran
+
+
+def seeded(rows: DataFrame, path: str) -> bool:
+    """Writes rows if nothing is there yet; whether it did."""
+    if _there(rows.sparkSession, path):
+        return False
+    rows.write.mode("errorifexists").parquet(path)
+    return True
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    return "_SUCCESS" in children(spark, path)
 
 
 def backup(df: DataFrame, path: str, stamp: str) -> str:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import stored
 
@@ -44,6 +44,19 @@ def added(seen: DataFrame, items: DataFrame, item: str = "item") -> DataFrame:
     return seen.select(item).union(items.select(item)).distinct()
 
 
+def begun(latest: dict[datetime, datetime | None], ttl: timedelta) -> dict[datetime, datetime]:
+    """For each cycle where the life of the set began that it falls into, given the earliest cycle before in which one of its items came (None: one
+    is new). One sweep: a cycle adds to the set if that is before the life, and the first cycle ttl after the last that added begins another life."""
+    out, start, grown = {}, None, None
+    for c in sorted(latest):
+        if start is None or c >= grown + ttl:
+            start = grown = c
+        elif latest[c] is None or latest[c] < start:
+            grown = c
+        out[c] = start
+    return out
+
+
 def cycle_stats(df: DataFrame, cycle: str, item: str, ttl_s: int = TTL_S) -> DataFrame:
     """cycle, new_items, seen_items, total_items for each cycle (a timestamp), when seen items are kept in a set that lives ttl_s after the last cycle
     that added to it, and then is forgotten whole.
@@ -57,26 +70,8 @@ def cycle_stats(df: DataFrame, cycle: str, item: str, ttl_s: int = TTL_S) -> Dat
     counts = stored(rows.withColumn("p", before).groupBy("c", "p").agg(F.count("*").alias("n")), "cycles")
     earliest = F.min(F.struct(F.col("p").isNotNull().alias("known"), "p")).alias("m")  # null first
     latest = {r["c"]: r["m"]["p"] for r in counts.groupBy("c").agg(earliest).collect()}
-    cycles = sorted(latest)
-
-    def novel(start):
-        return [c for c in cycles if c >= start and (latest[c] is None or latest[c] < start)]
-
-    ttl, starts = timedelta(seconds=ttl_s), cycles[:1]
-    while starts:
-        grown = novel(starts[-1])
-        after = None
-        for now, later in zip(grown, [*grown[1:], None], strict=True):
-            at = bisect_left(cycles, now + ttl)
-            if at < len(cycles) and (later is None or cycles[at] <= later):
-                after = cycles[at]
-                break
-        if after is None:
-            break
-        starts.append(after)
-    begun = F.lit(None).cast(kind)
-    for s in starts:
-        begun = F.when(F.col("c") >= F.lit(s).cast(kind), F.lit(s).cast(kind)).otherwise(begun) if s != starts[0] else F.lit(s).cast(kind)
-    fresh = F.sum(F.when(F.col("p").isNull() | (F.col("p") < begun), F.col("n")).otherwise(0))
+    lives = df.sparkSession.createDataFrame(list(begun(latest, timedelta(seconds=ttl_s)).items()), T.StructType([T.StructField("c", kind), T.StructField("begun", kind)]))
+    counts = counts.join(lives, "c")
+    fresh = F.sum(F.when(F.col("p").isNull() | (F.col("p") < F.col("begun")), F.col("n")).otherwise(0))
     out = counts.groupBy("c").agg(F.sum("n").alias("total_items"), fresh.alias("new_items"))
     return out.select(F.col("c").alias(cycle), "new_items", (F.col("total_items") - F.col("new_items")).alias("seen_items"), "total_items")

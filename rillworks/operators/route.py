@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checks import mapping
+
 
 def stream_of(kind: Column, routes: dict[str, str]) -> Column:
     """The type's stream, null if it has none. Routes are configuration, so they sit in the plan, and no join is needed."""
@@ -13,6 +15,11 @@ def stream_of(kind: Column, routes: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in routes.items() for x in pair]), kind)
 
 
+def routes_of(routes: dict[str, str]) -> dict[str, str]:
+    """Routes that are a dict, not empty, of texts that are not empty; anything else is refused."""
+    return mapping("routes", routes)
+
+
 def routed(df: DataFrame, kind: str, routes: dict[str, str]) -> DataFrame:
     """df with ``stream``; rows without one are dropped."""
     return df.withColumn("stream", stream_of(F.col(kind), routes)).where("stream is not null")

@@ -26,7 +26,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def similar(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, similarity, rank: for each query its k most similar other vectors, ties to smaller ids. Exact.
 
-    The queries' number is checked: up to MAX_BROADCAST they go to every task; beyond, vectors are dealt out in blocks against blocks of queries.
+    The queries' number is checked: up to MAX_BROADCAST they go to every task; beyond, blocks of queries meet deals of vectors, twice as many pairs as there are shuffle partitions.
     Norms are worked out once a vector; each task keeps k rows a query.
     """
     norm = F.nullif(F.sqrt(dot(F.col(vector), F.col(vector))), F.lit(0.0))
@@ -37,7 +37,10 @@ def similar(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
         pairs = v.crossJoin(F.broadcast(q))
     else:
         blocks = -(-n // MAX_BROADCAST)
-        pairs = v.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_b")
+        deals = max(1, -(-2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+        dealt = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+        pairs = v.withColumn("_a", dealt("id", deals)).withColumn("_b", every(blocks)).join(q.withColumn("_b", dealt("query_id", blocks)).withColumn("_a", every(deals)), ["_a", "_b"])
     scored = pairs.where("id <> query_id").select("query_id", "id", (dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn"))).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

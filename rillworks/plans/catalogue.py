@@ -6,6 +6,7 @@ stream, props the payload), documents and orders for articles, pages for feed en
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +14,30 @@ from pyspark.sql import functions as F
 
 from ..functions import json, retry, text
 from ..operators import batches, cache, catalog, dedup, envelope, log, prioritise, route, vector
+from ..session import status
+from ..sources import config, feeds
+from ..storage import delete_later, shared_dir
+from ..streaming import ingest, prioritiser
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 ROUTES = {"view": "s1", "click": "s1", "purchase": "s2", "signup": "s3"}
 TYPES = {"purchase": "user", "signup": "admin", "click": "background", "view": "logging"}
-DELIVERED, UNACKED = 5_000, 7
+UNACKED = 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of one query, which goes with ``storage.clean``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_later(spark, path)
+    return path
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -55,16 +67,36 @@ def ingest_envelope(spark, sf_dir):
     return envelope.envelopes(fresh, text.iso_time(F.lit("2024-01-01").cast("timestamp_ntz"))).select("header.*", "data.*")
 
 
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL AND trim(url) <> ''),
+f AS (SELECT *, host || '#' || (page_id // 50) AS feed_url, (page_id // 50) % 7 = 3 AS broken FROM p)
+SELECT feed_url AS source, (row_number() OVER (PARTITION BY feed_url ORDER BY page_id) - 1)::INTEGER AS entry_idx, trim(url) AS link, page_id::VARCHAR AS title, NULL::VARCHAR AS summary FROM f WHERE NOT broken""")
+def feed_articles(spark, sf_dir):
+    """RSS texts of at most fifty pages of a host are parsed; every seventh is cut short, and none of its entries come."""
+    page = table(spark, sf_dir, "pages").where("url is not null and trim(url) <> ''").withColumn("part", F.floor(F.col("page_id") / 50))
+    escaped = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><link>"), escaped, F.lit("</link><title>"), F.col("page_id").cast("string"), F.lit("</title></item>"))
+    feed = F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("#"), F.col("part").cast("string"))
+    items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), "")
+    bodies = page.groupBy(feed.alias("feed_url"), "part").agg(items.alias("items"))
+    bodies = bodies.select("feed_url", F.concat(F.lit("<rss><channel>"), "items", F.when(F.col("part") % 7 == 3, "</chan").otherwise("</channel></rss>")).alias("body"))
+    listed = bodies.select(F.lit(0).alias("feed_idx"), "feed_url")
+    return feeds.scan(listed, bodies).drop("feed_idx")
+
+
 @query("SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def dedup_first_wins(spark, sf_dir):
     """G1."""
     return dedup.first_wins(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", ["doc_id"])
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+_URGENT = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'"
+
+
+@query(f"SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {_URGENT})")
 def seen_anti(spark, sf_dir):
-    """J1, U3."""
-    return dedup.unseen(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    """Customers without an urgent open order."""
+    return dedup.unseen(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").where(_URGENT), "c_custkey", "o_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
@@ -225,10 +257,59 @@ def oldest5(spark, sf_dir):
     return log.oldest(table(spark, sf_dir, "events").select("event_id", "ts"), 5, ["ts", "event_id"])
 
 
-@query("SELECT event_type AS stream, count(*)::BIGINT AS length, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1")
+@query("SELECT event_type AS stream, count(*)::BIGINT AS length FROM events GROUP BY 1")
 def log_summary(spark, sf_dir):
-    """G5, G6, G10."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stream")).agg(F.count("*").alias("length"), F.countDistinct("user_id").alias("users"))
+    """G6."""
+    return log.length(table(spark, sf_dir, "events").withColumnRenamed("event_type", "stream"))
+
+
+@query("SELECT (event_id // 10)::BIGINT AS batch, count(*) FILTER (WHERE event_type = 'purchase')::BIGINT AS length, count(*) FILTER (WHERE event_type = 'purchase') = 0 AS empty FROM events GROUP BY 1")
+def batch_report(spark, sf_dir):
+    """How many purchases each batch of ten ids holds, and whether it holds none."""
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return log.batch_report(table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).cast("long").alias("batch"), bought.alias("id_ms")), "batch")
+
+
+@query("""SELECT event_type AS stream, (event_id // 7) || '-' || (event_id % 7) * 5 AS msg_id, event_id // 7 AS id_ms, (event_id % 7) * 5 AS id_seq
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id // 7, event_id % 7, event_id) AS rn FROM events) WHERE rn <= 10""")
+def log_ids(spark, sf_dir):
+    """Ids are read from their text and ordered as numbers; the first ten of each stream."""
+    given = F.concat(F.floor(F.col("event_id") / 7).cast("string"), F.lit("-"), (F.col("event_id") % 7 * 5).cast("string"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), given.alias("msg_id"), log.parsed_id(given).alias("id"))
+    return log.take_per_stream(rows.select("stream", "msg_id", "id.*"), 10)
+
+
+_PAYLOAD = "CASE event_id % 6 WHEN 0 THEN '{bad' WHEN 1 THEN NULL ELSE props END"
+
+
+def _odd_log(spark, sf_dir):
+    payload = F.when(F.col("event_id") % 6 == 0, "{bad").when(F.col("event_id") % 6 == 1, None).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("id_ms"), (F.col("user_id") % 3).alias("id_seq"), payload.alias("payload"))
+
+
+@query(f"SELECT event_type AS stream, event_id || '-' || user_id % 3 AS msg_id, CAST(json_extract_string(p, '$.k') AS BIGINT) AS k FROM (SELECT *, {_PAYLOAD} AS p FROM events) WHERE event_id % 6 <> 0")
+def consumed_log(spark, sf_dir):
+    """S6, SC4: corrupt payloads are skipped, missing ones pass with no data."""
+    return envelope.consumed(_odd_log(spark, sf_dir)).select("stream", "msg_id", F.try_variant_get("data", "$.k", "bigint").alias("k"))
+
+
+@query(f"SELECT event_type AS stream, event_id AS id_ms, user_id % 3 AS id_seq, {_PAYLOAD} AS payload FROM events WHERE event_id % 6 = 0")
+def dead_letters(spark, sf_dir):
+    """The corrupt rows, which stay pending."""
+    return envelope.corrupt(_odd_log(spark, sf_dir))
+
+
+@query("SELECT event_type AS stream, event_id AS id_ms, user_id % 3 AS id_seq, event_type AS kind, user_id::VARCHAR AS user_id, true AS has_nothing FROM events")
+def log_append(spark, sf_dir):
+    """K1, K2: rows become payloads and are appended, the second batch twice as after a failure; then the log is read."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("id_ms"), (F.col("user_id") % 3).alias("id_seq"), F.col("event_type").alias("kind"), "user_id", F.lit(None).cast("string").alias("nothing"))
+    made, path = log.messages(rows, ["kind", "user_id", "nothing"]), folder(spark, "log")
+    odd = F.col("id_ms") % 2 == 1
+    log.appended(made.where(~odd), path, 0)
+    for _ in range(2):
+        log.appended(made.where(odd), path, 1)
+    p = F.col("payload")
+    return spark.read.parquet(path).select("stream", "id_ms", "id_seq", json.field(p, "$.kind").alias("kind"), json.field(p, "$.user_id").alias("user_id"), json.has_key(p, "nothing").alias("has_nothing"))
 
 
 @query("SELECT count(DISTINCT user_id)::BIGINT AS cardinality FROM events")
@@ -238,32 +319,54 @@ def seen_cardinality(spark, sf_dir):
 
 
 def _group(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("id_ms"), F.lit(0).cast("long").alias("id_seq"), F.col("user_id"))
-    given = rows.where(F.col("id_ms") < DELIVERED).select("stream", F.lit("g").alias("group_name"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("consumer"), "id_ms", "id_seq")
-    return rows.drop("user_id"), given, given.where(F.col("id_ms") % UNACKED != 0).drop("consumer")
+    """A log whose ids are (event_id // 4, event_id % 4); delivered are three of four users' messages in its first four fifths, acknowledged those
+    whose number 7 does not divide (made up for these queries). And the largest event_id."""
+    events = table(spark, sf_dir, "events")
+    top = events.agg(F.max("event_id").alias("m")).first()["m"] or 0
+    rows = events.select(F.col("event_type").alias("stream"), F.floor(F.col("event_id") / 4).cast("long").alias("id_ms"), (F.col("event_id") % 4).alias("id_seq"), "user_id", "event_id")
+    given = rows.where((F.col("event_id") <= top * 4 // 5) & (F.col("user_id") % 4 != 0)).select("stream", F.lit("g").alias("group_name"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("consumer"), "id_ms", "id_seq", "event_id")
+    acks = given.where(F.col("event_id") % UNACKED != 0).select("stream", "group_name", "id_ms", "id_seq")
+    return rows.drop("user_id", "event_id"), given.drop("event_id"), acks, top
+
 
+_GIVEN = "d AS (SELECT event_type AS stream, event_id, event_id // 4 AS id_ms, event_id % 4 AS id_seq, user_id FROM events WHERE event_id <= (SELECT max(event_id) FROM events) * 4 // 5 AND user_id % 4 <> 0)"
 
-@query(f"""WITH d AS (SELECT event_type AS stream, event_id, user_id % 3 AS c FROM events WHERE event_id < {DELIVERED}),
-n AS (SELECT event_type AS stream, count(*) AS n FROM events GROUP BY 1)
-SELECT d.stream, 'g' AS group_name, count(DISTINCT c)::BIGINT AS consumers, count(*) FILTER (WHERE event_id % {UNACKED} = 0)::BIGINT AS pending, max(event_id)::BIGINT AS last_ms, 0::BIGINT AS last_seq,
+
+@query(f"""WITH {_GIVEN}, n AS (SELECT event_type AS stream, count(*) AS n FROM events GROUP BY 1)
+SELECT d.stream, 'g' AS group_name, count(DISTINCT user_id % 3)::BIGINT AS consumers, count(*) FILTER (WHERE event_id % {UNACKED} = 0)::BIGINT AS pending, (max(event_id) // 4)::BIGINT AS last_ms, (max(event_id) % 4)::BIGINT AS last_seq,
        count(*)::BIGINT AS entries_read, (any_value(n.n) - count(*))::BIGINT AS lag FROM d JOIN n ON n.stream = d.stream GROUP BY d.stream""")
 def group_lag(spark, sf_dir):
-    """Delivered are ids under a cursor, acknowledged those that 7 does not divide (both made up for this query)."""
-    return log.group_summary(*_group(spark, sf_dir))
+    """G7, K6."""
+    return log.group_summary(*_group(spark, sf_dir)[:3])
 
 
-@query(f"SELECT event_type AS stream, 'g' AS group_name, 'c' || (user_id % 3) AS consumer, event_id AS id_ms FROM events WHERE event_id < {DELIVERED} AND event_id % {UNACKED} = 0 ORDER BY event_id LIMIT 5")
+@query(f"WITH {_GIVEN} SELECT stream, 'g' AS group_name, 'c' || (user_id % 3) AS consumer, id_ms, id_seq FROM d WHERE event_id % {UNACKED} = 0 ORDER BY event_id LIMIT 5")
 def pending_details(spark, sf_dir):
-    """The first five that wait."""
-    _, given, acks = _group(spark, sf_dir)
-    return log.oldest(log.pending(given, acks), 5).select("stream", "group_name", "consumer", "id_ms")
-
-
-@query(f"SELECT event_type AS stream, event_id AS id_ms FROM events WHERE event_id >= {DELIVERED} AND event_id > 6000")
+    """The first five that wait."""
+    _, given, acks, _ = _group(spark, sf_dir)
+    return log.oldest(log.pending(given, acks), 5).select("stream", "group_name", "consumer", "id_ms", "id_seq")
+
+
+@query(f"""WITH {_GIVEN}, asked AS (SELECT event_type AS stream, event_id FROM events WHERE event_id % 3 = 0)
+SELECT a.stream, count(*) FILTER (WHERE w.event_id IS NOT NULL)::BIGINT AS acked, count(*) FILTER (WHERE w.event_id IS NULL)::BIGINT AS ignored,
+       any_value((SELECT count(*) FROM d WHERE d.stream = a.stream AND d.event_id % {UNACKED} = 0 AND d.event_id % 3 <> 0))::BIGINT AS still_pending
+FROM asked a LEFT JOIN (SELECT event_id FROM d WHERE event_id % {UNACKED} = 0) w ON w.event_id = a.event_id GROUP BY a.stream""")
+def acknowledge(spark, sf_dir):
+    """K6: every third id is acknowledged; what was not pending changes nothing."""
+    rows, given, acks, _ = _group(spark, sf_dir)
+    ids = rows.where((F.col("id_ms") * 4 + F.col("id_seq")) % 3 == 0).withColumn("group_name", F.lit("g"))
+    after, told = log.acknowledged(given, acks, ids)
+    left = log.pending(given, after).groupBy("stream").agg(F.count("*").alias("still_pending"))
+    counts = told.groupBy("stream").agg(F.count_if("acked").alias("acked"), F.count_if(~F.col("acked")).alias("ignored"))
+    return counts.join(left, "stream", "left").withColumn("still_pending", F.coalesce("still_pending", F.lit(0).cast("long")))
+
+
+@query(f"""WITH {_GIVEN} SELECT event_type AS stream, event_id // 4 AS id_ms, event_id % 4 AS id_seq FROM events e
+WHERE event_id > (SELECT max(event_id) FROM events) // 2 AND NOT EXISTS (SELECT 1 FROM d WHERE d.event_id = e.event_id)""")
 def undelivered(spark, sf_dir):
-    """Rows the group has not been given, from its start."""
-    rows, given, _ = _group(spark, sf_dir)
-    return log.undelivered(rows, given, "g", (6000, 0)).select("stream", "id_ms")
+    """Rows the group, made when the log was half as long, has not been given."""
+    rows, given, _, top = _group(spark, sf_dir)
+    return log.undelivered(rows, given, "g", divmod(top // 2, 4))
 
 
 @query("SELECT page_id, 'analysis:' || sha256(url) AS key FROM pages")
@@ -296,10 +399,13 @@ def cache_ttl_hits(spark, sf_dir):
     return cache.ttl_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600)
 
 
-@query("SELECT user_id AS key, arg_max(props, (ts, event_id)) AS value FROM events GROUP BY 1")
+@query("SELECT user_id::VARCHAR AS key, arg_max(props, (ts, props)) AS value FROM events GROUP BY 1")
 def cache_latest(spark, sf_dir):
-    """K8: the latest value of a key."""
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.max_by("props", F.struct("ts", "event_id")).alias("value"))
+    """K8: views fill the cache, then all other events; the latest value of a key stays."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("ts").cast("timestamp").alias("stored_at"), F.lit(3600).alias("ttl_s"), "event_type")
+    viewed = F.col("event_type") == "view"
+    empty = rows.where("false").drop("event_type")
+    return cache.put(cache.put(empty, rows.where(viewed).drop("event_type")), rows.where(~viewed).drop("event_type")).select("key", "value")
 
 
 @query("""SELECT doc_id, CASE WHEN n > 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n > 1048576 THEN printf('%.2f MB', n / 1048576.0) WHEN n > 1024 THEN printf('%.2f KB', n / 1024.0) ELSE n || ' B' END AS size
@@ -325,7 +431,7 @@ def backoff_schedule(spark, sf_dir):
 @query("SELECT i AS attempt, 2.5::DOUBLE AS delay_s FROM range(1, 4) t(i)")
 def constant_backoff(spark, sf_dir):
     """SC10."""
-    return retry.schedule(spark, 4, 2.5, 0)
+    return retry.schedule(spark, retry.constant(4, 2.5))
 
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN '' ELSE regexp_replace(CASE WHEN suffix(text, chr(10)) THEN text[1:-2] ELSE text END, '(?m)^', chr(9), 'g') || CASE WHEN suffix(text, chr(10)) THEN chr(10) ELSE '' END END AS indented FROM documents")
@@ -334,16 +440,33 @@ def indent_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.indented(F.col("text")).alias("indented"))
 
 
-@query("SELECT event_id, chr(27) || '[92m' || event_type || chr(27) || '[00m' AS shown FROM events")
+@query(f"""SELECT event_id, chr(27) || '[' || CASE event_id % {len(text.COLOURS)} {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(text.COLOURS.values()))} END || 'm' || event_type || chr(27) || '[00m' AS shown FROM events""")
 def colour_wrap(spark, sf_dir):
-    """SC13."""
-    return table(spark, sf_dir, "events").select("event_id", text.coloured(F.col("event_type"), "green").alias("shown"))
+    """SC13: every colour in turn."""
+    turn = F.col("event_id") % len(text.COLOURS)
+    shown = F.coalesce(*[F.when(turn == i, text.coloured(F.col("event_type"), name)) for i, name in enumerate(text.COLOURS)])
+    return table(spark, sf_dir, "events").select("event_id", shown.alias("shown"))
+
+
+@query("SELECT doc_id, chr(27) || '[93m> ' || replace(text, chr(10), chr(10) || '> ') || chr(27) || '[00m' AS shown FROM (SELECT doc_id, rtrim(text, chr(10)) || 'x' AS text FROM documents WHERE text IS NOT NULL)")
+def console_lines(spark, sf_dir):
+    """K9: what a console would show of texts whose last line does not end."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.regexp_replace("text", "\n+$", ""), F.lit("x")).alias("text"))
+    return rows.select("doc_id", text.coloured(text.indented(F.col("text"), "> "), "yellow").alias("shown"))
+
+
+@query("SELECT event_id, regexp_extract_all('at 10.' || event_id % 300 || '.' || user_id || '.7, 1.2.3 or 192.168.0.' || event_id % 10 || ' v1.2.3.4.', '\\b([0-9]{1,3}(?:\\.[0-9]{1,3}){3})\\b', 1) AS found FROM events")
+def ipv4_extract(spark, sf_dir):
+    """SC17."""
+    shown = F.concat(F.lit("at 10."), F.col("event_id") % 300, F.lit("."), F.col("user_id"), F.lit(".7, 1.2.3 or 192.168.0."), F.col("event_id") % 10, F.lit(" v1.2.3.4."))
+    return table(spark, sf_dir, "events").select("event_id", text.ipv4(shown).alias("found"))
 
 
-@query("SELECT unnest(['ingest:raw', 'jobs:user,jobs:admin', 'late']) AS stream")
+@query("SELECT event_type AS stream, (row_number() OVER (ORDER BY event_type) - 1)::INTEGER AS stream_pos FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)")
 def split_streams(spark, sf_dir):
-    """SC11, S9."""
-    return spark.sql("SELECT :given AS given", args={"given": "ingest:raw, jobs:user,jobs:admin, late"}).select(F.explode(text.stream_list(F.col("given"))).alias("stream"))
+    """SC11, S9: the streams of the events, as the environment's setting has them."""
+    names = sorted(r["event_type"] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect() if r["event_type"])
+    return config.input_streams(spark, {"INPUT_STREAMS": ", ".join(names)})
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microsecond', ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS iso FROM events")
@@ -394,7 +517,7 @@ def cascade_delete(spark, sf_dir):
 def parameterised_sql(spark, sf_dir):
     """Markers, not pasted text."""
     rows = table(spark, sf_dir, "nation")
-    return spark.sql("SELECT n_nationkey, n_name FROM {rows} WHERE n_regionkey = :region AND n_name > :name", args={"region": 2, "name": "C"}, rows=rows)
+    return catalog.query(spark, "SELECT n_nationkey, n_name FROM {rows} WHERE n_regionkey = :region AND n_name > :name", rows=rows, region=2, name="C")
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (
@@ -418,33 +541,78 @@ def similar_articles(spark, sf_dir):
     return vector.similar_articles(rows.where("article_id % 100 = 0"), rows, docs, 10).select("query_id", "id", "rank", "lang")
 
 
-@query()
+@query(ORACLE["similar_topk"])
 def similar_lists(spark, sf_dir):
     """By inverted lists; a bound decides which lists after the first 8 are read, so recall against brute force is whole."""
     rows = table(spark, sf_dir, "embeddings")
-    return vector.Lists(rows, 16).search(rows.where("vec_id % 100 = 0"), 10, 8, exact=True)
+    return vector.Lists(rows, 16).search(rows.where("vec_id % 100 = 0"), 10, 8, exact=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query()
+@query("SELECT least(5, count(DISTINCT user_id))::BIGINT AS n, least(5, count(DISTINCT user_id))::BIGINT AS distinct_n, least(5, count(DISTINCT user_id))::BIGINT AS members FROM events")
 def random_members(spark, sf_dir):
-    """G8."""
-    return log.sampled(table(spark, sf_dir, "events").select("user_id"), 5)
+    """Five members by chance; how many, how many distinct, how many of them in the set."""
+    users = table(spark, sf_dir, "events").select("user_id")
+    found = log.sampled(users, 5)
+    return found.join(users.distinct().withColumn("member", F.lit(1)), "user_id", "left").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("distinct_n"), F.count("member").alias("members"))
 
 
-@query()
+@query("SELECT i AS attempt, true AS within FROM range(1, 5) t(i)")
 def backoff_jitter(spark, sf_dir):
-    """SC9 with jitter."""
-    return retry.schedule(spark, jitter_seed=1)
+    """SC9 with jitter, which is a second either way."""
+    plain = retry.schedule(spark).withColumnRenamed("delay_s", "plain")
+    return retry.schedule(spark, retry.Policy(jitter_s=1), jitter_seed=1).join(plain, "attempt").select("attempt", (F.abs(F.col("delay_s") - F.col("plain")) <= 1).alias("within"))
 
 
-@query()
+@query("SELECT doc_id::VARCHAR AS title, text AS content, CASE WHEN lang = 'en' THEN 'done' ELSE 'pending' END AS analysis_status, true AS has_id, true AS has_time, count(*) OVER ()::BIGINT AS ids FROM documents")
 def insert_defaults(spark, sf_dir):
-    """K10, SC16: ids and times are made, defaults filled."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
-    return catalog.inserted(docs, "id string, title string, content string, analysis_status string, created_at timestamp", {"analysis_status": "pending"})
+    """K10, SC16: ids (all different) and times are made, defaults filled where a row has none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"), F.when(F.col("lang") == "en", "done").alias("analysis_status"))
+    path = folder(spark, "articles")
+    catalog.inserted(docs, "id string, title string, content string, analysis_status string, created_at timestamp", {"analysis_status": "pending"}, path)
+    rows = spark.read.parquet(path)
+    ids = rows.agg(F.countDistinct("id").alias("ids"))
+    return rows.select("title", "content", "analysis_status", F.col("id").rlike("^[0-9a-f-]{36}$").alias("has_id"), F.col("created_at").isNotNull().alias("has_time")).crossJoin(F.broadcast(ids))
 
 
-@query("SELECT 'ok' AS status, 'rillworks' AS service")
+@query("SELECT 'rillworks' AS service, 'connected' AS status, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'missing', 'disconnected', NULL")
 def health(spark, sf_dir):
-    """F9, F10, F13."""
-    return spark.createDataFrame([("ok", "rillworks")], "status string, service string")
+    """a probe that reads a table, and one of a table that is not there."""
+    found = {"rillworks": status(lambda: table(spark, sf_dir, "nation").count()), "missing": status(lambda: table(spark, sf_dir, "no_such_table").count())}
+    rows = [(name, s["status"], s["value"]) for name, s in found.items()]
+    return spark.createDataFrame(rows, "service string, status string, n long")
+
+
+def _stream_log(spark, sf_dir):
+    kind = F.coalesce(route.stream_of(F.col("event_type"), TYPES), F.lit("other"))
+    whole = json.encoded(F.struct(F.struct(kind.alias("type")).alias("header")))
+    payload = F.when(F.col("event_id") % 9 == 0, F.lit("{bad")).otherwise(whole)
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("id_ms"), F.lit(0).cast("long").alias("id_seq"), payload.alias("payload"))
+
+
+@query(f"""WITH t AS (SELECT event_type AS stream, event_id AS id_ms, ({_PRIORITY.format(_map('event_type', TYPES, "'other'"))})::DOUBLE AS p FROM events WHERE event_type IN ('view', 'click') AND event_id % 9 <> 0)
+SELECT row_number() OVER (ORDER BY p, stream, id_ms)::BIGINT AS rank, stream, id_ms FROM t""")
+def prioritised_stream(spark, sf_dir):
+    """Two streams are merged, ordered in one micro-batch and published; corrupt rows don't come."""
+    at, rows = folder(spark, "prioritise"), _stream_log(spark, sf_dir)
+    paths = {s: f"{at}/{s}" for s in ("view", "click")}
+    for s, path in paths.items():
+        rows.where(F.col("stream") == s).write.parquet(path)
+    prioritiser.supervised(lambda: prioritiser.run(prioritiser.merged(spark, paths, 1_000_000), f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.parquet(f"{at}/out/prioritised").select("rank", "stream", "id_ms")
+
+
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL AND url <> ''),
+d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM p)
+SELECT md5(url) AS message_id, url, host AS source_rss FROM d WHERE rn = 1""")
+def ingest_stream(spark, sf_dir):
+    """Two cycles over the same pages as a stream; the second finds all of them seen."""
+    at = folder(spark, "ingest")
+    articles = table(spark, sf_dir, "pages").select(F.lit(0).alias("feed_idx"), F.col("page_id").cast("int").alias("entry_idx"), F.col("url").alias("link"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("source"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary"))
+    seen = ingest.SeenSet(spark, f"{at}/seen")
+    for _ in range(2):
+        articles.write.mode("append").parquet(f"{at}/articles")
+        stream = spark.readStream.schema(articles.schema).parquet(f"{at}/articles")
+        ingest.ingest(stream, seen, f"{at}/log", f"{at}/checkpoint", lambda df, batch: batch * 3600).awaitTermination()
+    p = F.col("payload")
+    return spark.read.parquet(f"{at}/log").select(json.field(p, "$.header.message_id").alias("message_id"), json.field(p, "$.data.url").alias("url"), json.field(p, "$.data.source_rss").alias("source_rss"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..checks import texts
 from ..schemas import ARTICLE
 
 
@@ -21,11 +24,24 @@ def feed_list(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def refuse_entities(body: str) -> None:
+    """Raises if the text declares an entity."""
+
+    def refuse(*declaration):
+        raise ET.ParseError("entity declaration")
+
+    parser = expat.ParserCreate()
+    parser.EntityDeclHandler = refuse
+    parser.Parse(body, True)
+
+
 def entries(body: str, url: str) -> list[tuple[int, str | None, str, str | None, str | None]] | None:
     """(position, link, source, title, summary) of an RSS or Atom text; None if it is malformed, as a whole."""
     try:
+        if "<!ENTITY" in body:  # entities may expand without bound; no feed needs them
+            refuse_entities(body)
         root = ET.fromstring(body)
-    except ET.ParseError:
+    except (ET.ParseError, expat.ExpatError):
         return None
     name = lambda e: e.tag.rpartition("}")[2]
     out = []
@@ -44,10 +60,13 @@ def scan(feeds: DataFrame, bodies: DataFrame) -> DataFrame:
 
     Entries without a link element are skipped; a missing title or summary is null.
     """
-    kind = "array<struct<entry_idx: int, link: string, source: string, title: string, summary: string>>"
-    parsed = F.udf(lambda body, url: None if body is None else entries(body, url), kind)
-    rows = feeds.join(bodies, "feed_url").select("feed_idx", F.explode(parsed("body", "feed_url")).alias("e"))
-    return rows.select("feed_idx", "e.*").where("link is not null")
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *e) for i, url, body in zip(*(c.to_pylist() for c in b.columns), strict=True) if body is not None for e in entries(body, url) or ()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.string()) for i, c in enumerate(columns)], names=["feed_idx", "entry_idx", "link", "source", "title", "summary"])
+
+    return feeds.join(bodies, "feed_url").select("feed_idx", "feed_url", "body").mapInArrow(parsed, ARTICLE).where("link is not null")
 
 
 class FeedReader(DataSourceReader):
@@ -90,6 +109,5 @@ class FeedSource(DataSource):
 
     def reader(self, schema) -> FeedReader:
         urls = json.loads(self.options["urls"])
-        if not urls:
-            raise ValueError("urls is empty")
+        texts("urls", urls)
         return FeedReader(urls, self.fetch)

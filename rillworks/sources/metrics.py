@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,36 @@ from ..functions.text import human_bytes, thousands
 from ..schemas import SYS_STATS
 
 
+def _times(text: str) -> list[dict[str, float]]:
+    """Of /proc/stat: seconds by state, for all cores together first, then for each."""
+    names = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
+    rows = [line.split() for line in text.splitlines() if line.startswith("cpu")]
+    return [dict(zip(names, (int(x) / 100 for x in r[1 : 1 + len(names)]), strict=False)) for r in rows]
+
+
+def _busy(first: dict[str, float], then: dict[str, float]) -> float:
+    total, idle = sum(then.values()) - sum(first.values()), sum(then.get(k, 0) - first.get(k, 0) for k in ("idle", "iowait"))
+    return round(100 * (total - idle) / total, 1) if total > 0 else 0.0
+
+
+def host(interval_s: float = 1.0, read: Callable[[str], str] = lambda path: Path(path).read_text(), sleep: Callable[[float], None] = time.sleep) -> dict[str, Any]:
+    """A sample of this host, for ``sys_stats``: /proc is read twice for the cores' load, an interval apart."""
+    before = _times(read("/proc/stat"))
+    sleep(interval_s)
+    after = _times(read("/proc/stat"))
+    percents = [_busy(a, b) for a, b in zip(before, after, strict=True)]
+    cores = {tuple(line.partition(":")[2].strip() for line in block.splitlines() if line.startswith(("physical id", "core id"))) for block in read("/proc/cpuinfo").split("\n\n") if "core id" in block}
+    held = {k: float(v.split()[0]) * 1024 for k, _, v in (line.partition(":") for line in read("/proc/meminfo").splitlines()) if v}
+    size = lambda total, free: {"total": total, "used": total - free, "free": free, "percent": round(100 * (total - free) / total, 1) if total else 0.0}
+    links = [line.partition(":")[2].split() for line in read("/proc/net/dev").splitlines() if ":" in line]
+    network = {name: sum(int(x[i]) for x in links) for name, i in (("bytes_recv", 0), ("packets_recv", 1), ("bytes_sent", 8), ("packets_sent", 9))}
+    return {
+        "cpu": {"logical_cores": len(after) - 1, "physical_cores": len(cores) or len(after) - 1, "percent": percents[0], "times": after[1:], "percents": percents[1:]},
+        "memory": {"ram": size(held.get("MemTotal", 0.0), held.get("MemAvailable", 0.0)), "swap": size(held.get("SwapTotal", 0.0), held.get("SwapFree", 0.0))},
+        "network": network,
+    }
+
+
 def sys_stats(spark: SparkSession, sample: Callable[[], dict[str, Any]]) -> DataFrame:
     """sample gives cpu (logical_cores, physical_cores, percent, times: list of maps, percents: list), memory (ram, swap), network."""
     s = sample()

@@ -72,7 +72,7 @@ def cycle(articles: DataFrame, batch_id: int, now_s: int, seen: SeenSet, log_pat
         distinct.unpersist()
 
 
-def ingest(articles: DataFrame, seen: SeenSet, log_path: str, checkpoint: str, clock) -> StreamingQuery:
-    """articles: a stream of article rows. clock(batch rows, batch id) gives the cycle's time in seconds. Runs over what is there, then ends."""
+def ingest(articles: DataFrame, seen: SeenSet, log_path: str, checkpoint: str, clock, trigger: dict | None = None) -> StreamingQuery:
+    """articles: a stream of article rows. clock(batch rows, batch id) gives the cycle's time in seconds. Without a trigger (``{"processingTime": "1 hour"}``) it runs over what is there, then ends."""
     run = lambda df, batch_id: cycle(df, batch_id, clock(df, batch_id), seen, log_path)
-    return articles.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return articles.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

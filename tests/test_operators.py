@@ -6,8 +6,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rillworks.functions import json, retry, text
+from rillworks import checks
+from rillworks.functions import console, json, retry, text
 from rillworks.operators import batches, cache, catalog, dedup, envelope, log, prioritise, route, vector
+from rillworks.session import close, connect
 
 quick = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 D0 = datetime(2024, 1, 1)
@@ -208,27 +210,41 @@ def test_text(spark):
 
 
 def test_backoff(spark):
-    assert [round(d, 2) for d in values(retry.schedule(spark, 5), "delay_s")] == [3.72, 8.39, 21.09, 55.6]
-    assert all(abs(a - b) <= 1 for a, b in zip(values(retry.schedule(spark, jitter_seed=3), "delay_s"), values(retry.schedule(spark), "delay_s"), strict=True))
-    slept, calls = [], []
+    assert [round(d, 2) for d in values(retry.schedule(spark), "delay_s")] == [3.72, 8.39, 21.09, 55.6]
+    jittery = retry.Policy(jitter_s=1)
+    assert all(abs(a - b) <= 1 for a, b in zip(values(retry.schedule(spark, jittery, 3), "delay_s"), retry.Policy().waits(), strict=True))
+    assert all(abs(a - b) <= 1 for a, b in zip(jittery.waits(), retry.Policy().waits(), strict=True))
+    assert values(retry.schedule(spark, retry.constant(3, 0.5)), "delay_s") == retry.constant(3, 0.5).waits() == [0.5, 0.5]
+    slept, calls, heard = [], [], []
 
-    @retry.exponential(3, sleep=slept.append)
     def fails():
         calls.append(1)
         raise OSError
 
     with pytest.raises(OSError):
-        fails()
-    assert len(calls) == 3 and [round(s, 2) for s in slept] == [3.72, 8.39]
+        retry.Policy(3).run(fails, slept.append, heard.append)
+    assert len(calls) == 3 and len(heard) == 2 and [round(s, 2) for s in slept] == [3.72, 8.39]
     waits = iter([OSError(), None])
 
-    @retry.constant(2, 7, sleep=slept.append)
-    def recovers():
+    @retry.constant(2, 0)
+    def recovers(answer):
         if e := next(waits):
             raise e
-        return "fine"
+        return answer
 
-    assert recovers() == "fine" and slept[-1] == 7
+    assert recovers("fine") == "fine" and recovers.__name__ == "recovers"
+
+
+def test_connect(spark):
+    slept, tries = [], iter([OSError("down"), OSError("down"), None])
+
+    def open_():
+        if e := next(tries):
+            raise e
+        return spark
+
+    assert connect(open_, sleep=slept.append) is spark and [round(s, 2) for s in slept] == [3.72, 8.39]
+    close(None)
 
 
 def test_catalog(spark, tmp_path):
@@ -270,3 +286,81 @@ def test_flush(spark, tmp_path):
     assert children(spark, str(tmp_path / "gone"))
     flush(spark, str(tmp_path / "gone"))
     assert not children(spark, str(tmp_path / "gone"))
+
+
+def test_many_lives():
+    cycles = {D0 + timedelta(hours=h): None if h % 3 == 0 else D0 + timedelta(hours=h - 1) for h in range(90_000)}
+    lives = dedup.begun(cycles, timedelta(hours=2))
+    assert len(lives) == 90_000 and len(set(lives.values())) > 10_000
+
+
+def test_many_lives_are_joined(spark):
+    rows = spark.range(12_000).select((F.lit(D0).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("cycle"), (F.col("id") % 2).alias("item"))
+    got = dedup.cycle_stats(rows, "cycle", "item", 3 * 3600)  # items 0 and 1 in turn: a life is four hours long, and its first two cycles are new
+    assert got.agg(F.sum("new_items").alias("n")).first()["n"] == 6_000
+
+
+def test_retention_of_a_large_log(spark):
+    rows = spark.range(250_000).select(F.floor(F.col("id") / 2).alias("id_ms"), (F.col("id") % 2).alias("id_seq"))
+    kept = log.retained(rows, 100_001)
+    assert kept.count() == 100_001 and kept.agg(F.min(F.struct("id_ms", "id_seq")).alias("m")).first()["m"] == (74_999, 1)
+    tied = log.retained(rows, 99_999, ["id_ms"])  # both rows of the last id_ms stay
+    assert tied.count() == 100_000 and log.retained(rows, 0).count() == 0
+
+
+def test_more_queries_than_a_broadcast(spark, sf_dir, monkeypatch):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    order = lambda df: sorted(values(df, "query_id", "id", "rank"))
+    want = order(vector.similar(rows, rows, 3))
+    monkeypatch.setattr(vector, "MAX_BROADCAST", 40)
+    found = vector.similar(rows, rows, 3)
+    assert order(found) == want
+    ids = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id"), F.sin(F.col("id") * 3)).alias("embedding"))
+    monkeypatch.setattr(vector, "MAX_BROADCAST", 10_000)
+    assert vector.similar(ids, ids.where("vec_id < 500"), 1).count() == 20_000
+
+
+def test_log_ids_and_messages(spark, tmp_path):
+    ids = spark.createDataFrame([("9-1",), ("10-2",), ("10-11",), ("7",), ("x",), ("1-",), (None,)], "i string").select("i", log.parsed_id(F.col("i")).alias("p"))
+    assert values(ids.where("p is not null").orderBy("p"), "i") == ["7", "9-1", "10-2", "10-11"]
+    path = str(tmp_path / "log")
+    assert log.append_one(spark, {"a": None}, path, "s", 5, 2) == "5-2" and log.append_one(spark, {}, path, "s", 6) is None
+    assert log.append_one(spark, {"a": object()}, path, "s", 6) is None
+    assert values(spark.read.parquet(f"{path}/stream=s"), "id_ms", "id_seq", "payload") == [(5, 2, '{"a": null}')]
+
+
+def test_acknowledge(spark):
+    key = "stream string, group_name string, id_ms long, id_seq long"
+    given_ = spark.createDataFrame([("s", "g", i, 0) for i in range(4)], key)
+    acks = spark.createDataFrame([("s", "g", 0, 0)], key)
+    after, told = log.acknowledged(given_, acks, spark.createDataFrame([("s", "g", 1, 0), ("s", "g", 1, 0), ("s", "g", 0, 0), ("s", "h", 2, 0), ("s", "g", 9, 0)], key))
+    assert sorted(values(told.where("acked"), "id_ms")) == [1] and told.count() == 4 and log.unacked_warning(told) is None
+    assert sorted(values(log.pending(given_, after), "id_ms")) == [2, 3]
+    assert log.unacked_warning(log.acknowledged(given_, after, spark.createDataFrame([("s", "g", 1, 0)], key))[1]) == "0 acknowledged"
+
+
+def test_checks():
+    assert checks.texts("x", ["a"]) == ["a"] and checks.mapping("x", {"a": "b"}) == {"a": "b"} == route.routes_of({"a": "b"})
+    for bad in ([], "a", None, [""], [1]):
+        with pytest.raises(ValueError):
+            checks.texts("x", bad)
+    for bad in ({}, [], {"": "a"}, {"a": ""}, {1: "a"}):
+        with pytest.raises(ValueError):
+            checks.mapping("x", bad)
+
+
+def test_migrations_run_once(spark, tmp_path):
+    path, table = str(tmp_path / "versions"), f"articles_{tmp_path.name}".replace("-", "_")
+    steps = {"001": f"CREATE TABLE {table} (id STRING) USING parquet", "002": f"INSERT INTO {table} VALUES ('a')"}
+    assert catalog.migrated(spark, steps, path) == ["001", "002"] and catalog.migrated(spark, steps, path) == []
+    assert catalog.migrated(spark, steps | {"003": f"INSERT INTO {table} VALUES ('b')"}, path) == ["003"]
+    assert spark.table(table).count() == 2
+    spark.sql(f"DROP TABLE {table}")
+    seeds = spark.createDataFrame([("a",)], "id string")
+    assert catalog.seeded(seeds, str(tmp_path / "seed")) and not catalog.seeded(seeds, str(tmp_path / "seed"))
+
+
+def test_console(spark, capsys):
+    rows = spark.createDataFrame([("a\nb",), (None,)], "t string")
+    assert console.write(rows, "t", "> ", "red") == 1
+    assert capsys.readouterr().out == "\x1b[91m> a\n> b\x1b[00m\n"

@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rillworks.functions.retry import constant
 from rillworks.session import status
-from rillworks.sources import feeds, http, metrics
+from rillworks.sources import config, feeds, http, metrics
 from rillworks.streaming import ingest, prioritiser
 
 RSS = "<rss><channel>{}</channel></rss>"
@@ -117,3 +118,60 @@ def test_prioritiser_stream(spark, tmp_path):
     got = spark.read.parquet(f"{out}/prioritised").orderBy("batch", "rank").collect()
     assert [json.loads(r["payload"])["header"]["type"] for r in got] == ["user", "background", "logging"]
     assert spark.read.parquet(f"{out}/dead_letter").count() == 1
+
+
+def test_a_large_batch_is_ranked_in_ranges(spark, tmp_path):
+    rows = spark.range(50_000).select(F.lit("s").alias("stream"), F.col("id").alias("id_ms"), F.lit(0).cast("long").alias("id_seq"), F.when(F.col("id") % 2 == 0, '{"header":{"type":"user"}}').otherwise('{"header":{"type":"logging"}}').alias("payload"))
+    prioritiser.prioritise(rows, 0, str(tmp_path))
+    got = spark.read.parquet(str(tmp_path / "prioritised"))
+    assert got.where("rank <= 25000 and id_ms % 2 = 0").count() == 25_000 and got.agg(F.countDistinct("rank").alias("n")).first()["n"] == 50_000
+
+
+def test_failed_polls_are_tried_again(spark, tmp_path):
+    path, fails = str(tmp_path / "x"), iter([True, True, False])
+    spark.createDataFrame([("x", 1, 0, "{}")], "stream string, id_ms long, id_seq long, payload string").write.parquet(path)
+
+    def start():
+        rows = prioritiser.merged(spark, {"x": path})
+        if next(fails):
+            rows = rows.withColumn("payload", F.raise_error(F.lit("poll")).cast("string"))
+        return prioritiser.run(rows, str(tmp_path / "out"), str(tmp_path / "ckpt"), trigger=prioritiser.ONCE)
+
+    slept = []
+    assert len(prioritiser.supervised(start, constant(3, 2), slept.append)) == 2 and slept == [2, 2]
+    assert spark.read.parquet(str(tmp_path / "out" / "prioritised")).count() == 1
+
+
+def test_an_endless_stream_goes_on(spark, tmp_path):
+    path, out = str(tmp_path / "x"), str(tmp_path / "out")
+    rows = lambda i: spark.createDataFrame([("x", i, 0, "{}")], "stream string, id_ms long, id_seq long, payload string").coalesce(1).write.mode("append").parquet(path)
+    rows(0)
+    running = prioritiser.run(prioritiser.merged(spark, {"x": path}), out, str(tmp_path / "ckpt"), trigger=prioritiser.ENDLESS)
+    running.processAllAvailable()
+    rows(1)
+    running.processAllAvailable()
+    running.stop()
+    assert spark.read.parquet(f"{out}/prioritised").count() == 2
+
+
+def test_entities_are_refused():
+    bomb = '<!DOCTYPE r [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;">]>' + RSS.format(ITEM.format("&b;"))
+    assert feeds.entries(bomb, "u") is None
+    assert feeds.entries(RSS.format("<item><link>x</link><title><![CDATA[<!ENTITY]]></title></item>"), "u") == [(0, "x", "u", "<!ENTITY", None)]
+
+
+def test_configured_streams(spark):
+    env = {"INPUT_STREAMS": "a, b,c", "OUTPUT_STREAM": "o", "GROUP_NAME": "g", "CONSUMER_NAME": "c"}
+    assert [tuple(r) for r in config.input_streams(spark, env).orderBy("stream_pos").collect()] == [("a", 0), ("b,c", 1)]
+    assert config.prioritiser(env).group_name == "g"
+    with pytest.raises(ValueError, match="INPUT_STREAMS"):
+        config.input_streams(spark, {})
+
+
+def test_host_sample(spark):
+    stats = iter(["cpu 10 0 10 80 0\ncpu0 10 0 10 80 0\n", "cpu 20 0 10 170 0\ncpu0 20 0 10 170 0\n"])
+    texts = {"/proc/cpuinfo": "physical id : 0\ncore id : 0\n\n", "/proc/meminfo": "MemTotal: 8 kB\nMemAvailable: 2 kB\nSwapTotal: 0 kB\nSwapFree: 0 kB\n", "/proc/net/dev": "h\n eth0: 5 1 0 0 0 0 0 0 7 2 0 0 0 0 0 0\n"}
+    sample = metrics.host(0, lambda p: next(stats) if p == "/proc/stat" else texts[p], lambda s: None)
+    row = metrics.sys_stats(spark, lambda: sample).first()
+    assert row["cpu"]["percent"] == 10.0 and row["cpu"]["physical_cores"] == 1 and row["memory"]["ram"]["used"] == 6144.0 and row["network"]["bytes_sent"] == 7
+    assert metrics.sys_stats(spark, lambda: metrics.host(0.01)).first()["memory"]["ram"]["total"] > 0
