@@ -164,19 +164,74 @@ def test_near_copies_neither_hide_nor_make_terms(corpus, spark):
     assert set(BAD) == {t for t, _, _ in terms}
 
 
-def test_terms_under_a_beginning_are_met_misspelt(spark):
+def test_misspellings_are_believed_where_the_words_near_a_term_are_toxic(spark):
+    """Words an edit from "achloser" are in clean texts, those from "dimwit" in toxic ones; "rareterm" is a term, but too rare for misspellings."""
     rng, rows = random.Random(9), []
-    for i in range(300):
+    for i in range(900):
         words = sentence(rng, "xa", 20).split()
         if i % 3 == 0:
-            words[rng.randrange(1, 20)] = "achl" + rng.choice(["oser", "osen", "oses", "osem", "osling", "osig"])
+            words[rng.randrange(1, 20)] = rng.choice(["achloser", "dimwit", "dimwit", "dimwi"])
+            if i % 60 == 0:
+                words[rng.randrange(1, 20)] = "rareterm"
+        elif i % 9 == 1:
+            words[rng.randrange(1, 20)] = "achlose" + rng.choice("bcdfghjklm")
         rows.append((" ".join(words), int(i % 3 == 0)))
     terms, clean = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    allowed = {t: e for t, e, _ in terms}
+    assert allowed["dimwit"] == 1 and allowed["achloser"] == 0 and allowed.get("rareterm", 0) == 0 and "achloseb" not in allowed
     lexicon = toxicity.Lexicon(terms, clean)
-    assert ("achl", True) in {t[:2] for t in terms} and lexicon.judged("achlfoo")[0] == 0
-    assert all(lexicon.judged(w) and lexicon.judged(w)[0] == 1 for w in ("ahcloser", "achosling", "akhlosen", "axchlosig"))
-    both = toxicity.Lexicon([("dimwit", False, 1.0), ("dimwit", True, 1.0)])
-    assert both.look("dimwits") == (0, 1.0) and both.look("dmwit") == (1, 1.0) and both.look("dmwitted") is None
+    assert lexicon.judged("dimwot")[0] == 1 and lexicon.judged("achlosez") is None and lexicon.judged("achloser")[0] == 0
+
+
+def test_precision_by_edits_on_held_out_texts(corpus, spark):
+    """Held-out texts whose only hit is misspelt by a swap, a letter too many, one left out or another one."""
+    docs, labels, *_ = corpus
+    rng, rows = random.Random(3), []
+    for i in range(200):
+        words = sentence(rng, "xa", 20).split()
+        if i % 2:
+            w = list(rng.choice(BAD))
+            at = rng.randrange(1, len(w) - 1)
+            w[at : at + 2] = rng.choice([[w[at + 1], w[at]], [w[at], "q", w[at + 1]], [w[at]], [w[at], "z"]])
+            words[rng.randrange(1, 20)] = "".join(w)
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels, crc_mod("doc_id", 5) != 0, corpus=docs).collect()}
+    assert sum(got[i] for i in got if i % 2) >= 95 and sum(got[i] for i in got if i % 2 == 0) == 0
+
+
+def test_junk_words_become_no_terms(spark):
+    rng = random.Random(11)
+    rows = [(" ".join(f"j{rng.randrange(4000)}" for _ in range(60)) + (" dimwit" if i % 8 == 0 else ""), int(i % 8 == 0)) for i in range(1600)]
+    terms, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert [t for t, _, _ in terms] == ["dimwit"]
+
+
+def test_contexts_are_learnt(spark):
+    """Quoted terms stand in clean texts, plain ones in toxic texts."""
+    rng, rows, labels = random.Random(12), [], []
+    for i in range(600):
+        w = rng.choice(BAD)
+        shown = w if i % 3 == 2 else f'"{w}"' if i % 9 == 0 else ""
+        words = sentence(rng, "xa", 20).split()
+        words[rng.randrange(2, 18)] = shown or "house"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 2)))
+        if i % 3 == 2:  # so that the terms are terms
+            rows[-1] = (i, rows[-1][1] + f" and {rng.choice(WORDS['xa'])} {rng.choice(BAD)} {rng.choice(WORDS['xa'])} " + " ".join(rng.choices(WORDS["xa"], k=9)) + f" {rng.choice(BAD)} {rng.choice(WORDS['xa'])} {rng.choice(BAD)} and")
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fresh = spark.createDataFrame([(1, 'the house "dimwit" and the green water'), (2, "the house dimwit and the green water dimwit and"), (3, "the house and the green water")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.judge(fresh, known, F.lit(True), corpus=df).collect()}
+    assert got[1] < 0.5 < got[2] and got[3] < 0.5
+
+
+def test_rows_are_bounded_not_ids(corpus, spark, monkeypatch):
+    docs, labels, *_ = corpus
+    seen = []
+    learn = toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda texts: seen.append(texts.count()) or learn(texts))
+    many = docs.select("doc_id", "text").unionAll(docs.where("doc_id < 20").select("doc_id", F.concat("text", F.lit(" x"))).crossJoin(spark.range(3)).drop("id"))
+    toxicity.judge(many, labels, F.lit(True), sample=50)
+    assert 40 < seen[0] <= 50
 
 
 def osa(a, b):
@@ -192,7 +247,7 @@ def osa(a, b):
 def test_automaton_is_the_edit_distance():
     rng = random.Random(2)
     terms = ["".join(rng.choices("abc", k=n)) for n in (3, 5, 6, 9, 10)]
-    lexicon = toxicity.Lexicon([(t, False, 1.0) for t in terms])
+    lexicon = toxicity.Lexicon([(t, toxicity.edits_for(len(t)), 1.0) for t in terms])
     for _ in range(1500):
         t = list(rng.choice(terms))
         for _ in range(rng.randint(0, 3)):
@@ -204,9 +259,9 @@ def test_automaton_is_the_edit_distance():
         assert (found[0] if found else None) == min(near, default=None), (terms, word)
 
 
-def test_beginnings_and_contexts():
-    lexicon = toxicity.Lexicon([("dimw", True, 1.0), ("blockhead", False, 1.0)], frozenset(["blockheat"]))
-    assert lexicon.judged("dimwxyz,") == (0, 1.0) and lexicon.judged("dim") is None and lexicon.judged("blockheat") is None
-    plain, quoted, aimed = (toxicity.evidence(t, lexicon)[1] for t in ("the blockhead here", 'he said "blockhead" here', "you blockhead here"))
-    assert quoted < plain < aimed
-    assert toxicity.evidence(None, lexicon) == (0.0, 0.0, 0)
+def test_kinds_of_hits():
+    lexicon = toxicity.Lexicon([("blockhead", 2, 1.0)], frozenset(["blockheat"]))
+    assert lexicon.judged("blockhead,") == (0, 1.0, 0) and lexicon.judged("blockheads")[0] == 1 and lexicon.judged("blockheat") is None
+    kinds = lambda t: [i for i, x in enumerate(toxicity.evidence(t, lexicon)[:6]) if x]
+    assert [kinds(t) for t in ("the blockhead here", 'she: "blockhead" here', "he said blockhead", "you blockhead", "a blockhed", "a blokhed")] == [[0], [1], [2], [0, 3], [4], [5]]
+    assert toxicity.evidence(None, lexicon) == (0, 0, 0, 0, 0, 0, 0)
