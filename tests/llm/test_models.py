@@ -209,17 +209,15 @@ def test_junk_words_become_no_terms(spark):
 def test_contexts_are_learnt(spark):
     """Quoted terms stand in clean texts, plain ones in toxic texts."""
     rng, rows, labels = random.Random(12), [], []
-    for i in range(600):
-        w = rng.choice(BAD)
-        shown = w if i % 3 == 2 else f'"{w}"' if i % 9 == 0 else ""
-        words = sentence(rng, "xa", 20).split()
-        words[rng.randrange(2, 18)] = shown or "house"
+    plain = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    for i in range(900):
+        words = plain(30)
+        for at in rng.sample(range(8, 28), 3) if i % 3 == 2 else [15] if i % 9 == 0 else []:
+            words[at] = rng.choice(BAD) if i % 3 == 2 else f'"{rng.choice(BAD)}"'
         rows.append((i, " ".join(words)))
         labels.append((i, int(i % 3 == 2)))
-        if i % 3 == 2:  # so that the terms are terms
-            rows[-1] = (i, rows[-1][1] + f" and {rng.choice(WORDS['xa'])} {rng.choice(BAD)} {rng.choice(WORDS['xa'])} " + " ".join(rng.choices(WORDS["xa"], k=9)) + f" {rng.choice(BAD)} {rng.choice(WORDS['xa'])} {rng.choice(BAD)} and")
     df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    fresh = spark.createDataFrame([(1, 'the house "dimwit" and the green water'), (2, "the house dimwit and the green water dimwit and"), (3, "the house and the green water")], "doc_id long, text string")
+    fresh = spark.createDataFrame([(1, 'w1 w2 "dimwit" w3 w4 w5 w6'), (2, "w1 w2 dimwit w3 w4 w5 dimwit w6"), (3, "w1 w2 w3 w4")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in toxicity.judge(fresh, known, F.lit(True), corpus=df).collect()}
     assert got[1] < 0.5 < got[2] and got[3] < 0.5
 
