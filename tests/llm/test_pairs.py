@@ -171,6 +171,34 @@ def test_search_few_and_none(spark):
     assert ann.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_cells_are_visited_as_far_as_recall_asks(spark, monkeypatch):
+    """Distinct vectors in clusters: few cells hold the nearest. Vectors without structure: most must be visited."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((60, 24)) * 3
+    near = centres[np.arange(3000) % 60] + rng.standard_normal((3000, 24)) * 0.6
+    far = rng.standard_normal((3000, 24))
+    visited = []
+    real = ann.probes
+    monkeypatch.setattr(ann, "probes", lambda *a: visited.append((real(*a), len(a[1]))) or visited[-1][0])
+    for x in (near, far):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()}
+        truth = ann.search(df, F.col("vec_id") % 20 == 0, exact=True).collect()
+        scores = x[::20] @ x.T
+        scores[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+        want = {(20 * q, int(i)) for q in range(150) for i in np.argsort(-scores[q])[:20]}
+        assert {(r["query_id"], r["vec_id"]) for r in truth} == want
+        assert len(got) == len(want) and len(got & want) >= 0.93 * len(want)
+    assert visited[0][0] < 0.25 * visited[0][1] and visited[1][0] > 0.4 * visited[1][1]
+
+
+def test_every_query_gets_k(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal((30, 6)) * 0.01 + 9, rng.standard_normal((30, 6)) * 0.01 - 9, rng.standard_normal((3, 6))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.search(df, F.col("vec_id") % 20 == 0, 62, recall=0.1).count() == 4 * 62
+
+
 def test_blocks_agree(spark, monkeypatch):
     x = vectors(3, 300)
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "vec_id long, embedding array<float>")
