@@ -85,6 +85,33 @@ def test_links_of_strays_in_one_bucket(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in neardup.link(df, k=4).collect()} == brute(rows, 4)
 
 
+def test_a_large_bucket_of_members_that_are_not_alike(spark, monkeypatch):
+    """Texts that share half their words fill large buckets; a few of them are alike. No pair of the others is compared, and no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 30)
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(70)]
+    rows = []
+    for i in range(600):
+        own = [f"o{i}x{j}" for j in range(30)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 20 == 0:
+            own[29] = "changed"
+            rows.append((1000 + i, " ".join(shared + own)))
+    rng.shuffle(rows)
+    looked = []
+    compared = neardup._compared
+
+    def counted(docs, nodes, rest, *more):
+        looked.append(rest.groupBy("band").agg(F.count_if("stray").alias("s"), F.count("*").alias("n")).agg(F.sum(F.col("s") * F.col("n")).alias("p")).first()["p"] or 0)
+        return compared(docs, nodes, rest, *more)
+
+    monkeypatch.setattr(neardup, "_compared", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(df, k=4).collect()}
+    assert got == {i: (i - 1000 if i >= 1000 else i) for i, _ in rows}
+    assert len(looked) > 1 and sum(looked) < 0.5 * 600 * 600
+
+
 def test_repeated_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(3, long), (3, long), (1, long + " x"), (None, long), (None, None), (7, None)], "doc_id long, text string")
