@@ -5,18 +5,21 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from ..storage import bucketed, dropped
+from .common import plan_bytes, stored, table
 
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_POINTS = 10
-#: Batches that a whole table is fed in; runs on a level before they are merged into one of the next.
-BATCHES, FAN = 4, 3
+#: Batches that a whole table is fed in, at least, and bytes of input (as the plan's statistics have it) for each; runs on a level before they are
+#: merged into one of the next.
+BATCHES, BATCH_BYTES, FAN = 4, 128 << 30, 3
 
 
 def key(line: Column) -> Column:
@@ -27,18 +30,29 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+@contextmanager
+def in_order(spark: SparkSession) -> Iterator[None]:
+    """Scans of bucketed tables with a file for each bucket count as sorted, so that joins of runs sort neither of them."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Runs:
-    """Sets of 128-bit line hashes. A run is a table bucketed by hash and sorted in each bucket: a join with it does
-    not shuffle it, and sorting what is sorted costs a pass."""
+    """Sets of 128-bit line hashes. A run is a table bucketed by hash and sorted in each bucket, a file to a bucket: joining it neither shuffles nor
+    sorts it (inside ``in_order``)."""
 
     def __init__(self, spark: SparkSession, fan: int = FAN):
         self.spark, self.fan, self.levels = spark, fan, []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, hashes: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        hashes.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
-        return name
+        """hashes come from a grouping or a join by both hashes, so that a bucket is in one task."""
+        return bucketed(hashes, "line_run", self.buckets, ["h1", "h2"], ["h1", "h2"])
 
     def without_known(self, hashes: DataFrame) -> DataFrame:
         for level in self.levels:
@@ -61,50 +75,51 @@ class Runs:
                 if at + 1 == len(self.levels):
                     self.levels.append([])
                 merged = self.spark.table(self.levels[at][0]).select("h1", "h2")
-                for name in self.levels[at][1:]:
-                    merged = merged.unionAll(self.spark.table(name).select("h1", "h2"))
-                old, self.levels[at] = self.levels[at], []
-                self.levels[at + 1].append(self._write(merged))
+                for name in self.levels[at][1:]:  # disjoint runs: a full outer merge join puts them together bucket by bucket
+                    merged = merged.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "full_outer")
+                old, name = self.levels[at], self._write(merged)
+                self.levels[at] = []
+                self.levels[at + 1].append(name)
                 for name in old:
-                    self.spark.sql(f"DROP TABLE {name}")
+                    dropped(self.spark, name)
             at += 1
 
     def drop(self) -> None:
         for name in sum(self.levels, []):
-            self.spark.sql(f"DROP TABLE {name}")
+            dropped(self.spark, name)
         self.levels = []
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = BATCHES, min_points: int = MIN_POINTS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int | None = None, min_points: int = MIN_POINTS) -> DataFrame:
     """df with repeated lines dropped from its text column, and n_lines (before) and n_dropped; columns of these names are replaced.
 
     A line's key (white space stripped at both ends, A-Z lower-cased) of at least min_points code points that at least two ids hold keeps its lines
     only in the smallest id. Null and empty texts are one empty line and come back as an empty text. Rows with a null id are kept whole and
-    count as no holder; rows that repeat an id count as one document. Rows and columns are otherwise as they were. Batches are ranges of
-    ids, in order, so that a key in a run always has a smaller holder.
+    count as no holder; rows that repeat an id count as one document. Rows and columns are otherwise as they were. Batches (by size, if no number is
+    given) are ranges of ids, in order, so that a key in a run always has a smaller holder.
     """
     spark, names = df.sparkSession, df.columns
     df = df.toDF(*[f"c{i}" for i in range(len(names))])
     text, id_col = df.columns[names.index(text)], df.columns[names.index(id_col)]
     id_, text_ = F.col(id_col), F.col(text)
+    batches = batches or max(BATCHES, plan_bytes(df) // BATCH_BYTES)
     bounds = df.select(F.percentile_approx(id_, [i / batches for i in range(1, batches)], 1000).alias("b")).first()["b"] or []
     exploded = df.where(id_.isNotNull()).select(id_.alias("id"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("t"), F.posexplode(lines_of(text_)).alias("pos", "line")).withColumn("k", key(F.col("line"))).where(F.char_length("k") >= min_points)
-    lines = stored(exploded.select("id", "t", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(17), F.col("k")).alias("h2")), "lines")
-    runs, dropped = Runs(spark), []
-    edges = [None, *sorted(set(bounds)), None]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        batch = lines
-        if lo is not None:
-            batch = batch.where(F.col("id") > lo)
-        if hi is not None:
-            batch = batch.where(F.col("id") <= hi)
-        holders = batch.groupBy("h1", "h2").agg(F.min("id").alias("first"))
-        fresh = runs.add(runs.without_known(holders))
-        dropped.append(stored(batch.join(fresh.select("h1", "h2", F.col("first").alias("id")), ["h1", "h2", "id"], "left_anti").select("id", "t", "pos"), "dropped"))
-        runs.compact()
-    runs.drop()
-    gone = dropped[0]
-    for more in dropped[1:]:
+    edges = sorted(set(bounds))
+    batch = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("id"))) if edges else F.lit(0)
+    lines = stored(exploded.select("id", "t", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(17), F.col("k")).alias("h2"), batch.alias("batch")), "lines", ["batch"])
+    runs, repeated = Runs(spark), []
+    try:
+        with in_order(spark):
+            for number in range(len(edges) + 1):
+                own = lines.where(F.col("batch") == number).drop("batch")
+                fresh = runs.add(runs.without_known(own.groupBy("h1", "h2").agg(F.min("id").alias("first"))))
+                repeated.append(stored(own.join(fresh.select("h1", "h2", F.col("first").alias("id")), ["h1", "h2", "id"], "left_anti").select("id", "t", "pos"), "dropped"))
+                runs.compact()
+    finally:
+        runs.drop()
+    gone = repeated[0]
+    for more in repeated[1:]:
         gone = gone.unionAll(more)
     gone = gone.distinct().groupBy("id", "t").agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
     both = df.withColumns({"_lines": lines_of(text_), "_id": id_, "_t": F.xxhash64(F.coalesce(text_, F.lit("")))}).join(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_gone"), ["_id", "_t"], "left")
