@@ -2,14 +2,14 @@
 
 Texts are cut into pre-tokens with their positions, chunk by chunk; a chunk sends each of its distinct words once, packed by a hash of the word.
 All uses of a word meet in one part of a sorted stream, where it is encoded once; the ids go back to the chunks, and documents are put
-together by position. Decoding joins ids with the table of token bytes.
+together by position. Decoding joins ids, in their order, with the table of token bytes: in a chunk by Arrow, whose table's places are the ids, or, for ids in a
+table, by a join.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Callable
 
@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete_later
-from .common import SLICE_BYTES, cuts, table, worker_path
+from ..storage import bucketed
+from .common import SLICE_BYTES, cuts, stored, table, worker_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text whose distinct words are sent together. A longer text is a chunk of its own.
@@ -126,14 +126,11 @@ def encode(df: DataFrame, finish: Callable[[np.ndarray], tuple], columns: list[t
         if chunk.docs:
             yield from chunk.rows(f"{task}-{number}", key_type, parts)
 
-    name = f"bpe_chunks_{uuid.uuid4().hex}"
     made = df.select(F.col(text).cast("string").alias("t"), F.col(id_col).alias("key")).mapInArrow(chunks, f"chunk string, part int, words binary, key {kind}, packed binary")
-    made.write.bucketBy(buckets, "chunk").format("parquet").option("compression", "zstd").saveAsTable(name)
-    delete_later(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
-    rows = spark.table(name)
+    rows = spark.table(bucketed(made, "bpe_chunks", buckets, ["chunk"]))
+    known = ranks(path)  # read here and sent: executors need not have the file
 
     def encoded(batches):
-        known = ranks(path)
         one, kind = piece_encoder(known), "<u2" if max(known.values(), default=0) < 1 << 16 else "<u4"
         last, ids = None, {}
         for batch in batches:
@@ -176,26 +173,40 @@ def encode(df: DataFrame, finish: Callable[[np.ndarray], tuple], columns: list[t
     return words.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(together, schema)
 
 
-def token_bytes(path: str = RANKS) -> list[bytes]:
-    """The bytes of each id."""
+def token_bytes(path: str = RANKS) -> pa.LargeBinaryArray:
+    """The token-byte table: at each id its bytes."""
     known = ranks(path)
     out = [b""] * (max(known.values(), default=-1) + 1)
     for token, rank in known.items():
         out[rank] = token
-    return out
+    return pa.array(out, pa.large_binary())
 
 
-def decode(ids: np.ndarray, tokens: list[bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids.tolist()))
+def decode(ids: np.ndarray, tokens: pa.LargeBinaryArray) -> bytes:
+    """Ids joined with the token-byte table, in their order."""
+    found = tokens.take(pa.array(ids.astype(np.int64)))
+    _, offsets, data = found.buffers()
+    return data.to_pybytes()[: np.frombuffer(offsets, np.int64)[len(ids)]] if len(ids) and data is not None else b""
+
+
+def decoded(df: DataFrame, ids: str = "ids", id_col: str = "doc_id", path: str = RANKS) -> DataFrame:
+    """id_col and ``text`` (binary) for each row of df: its array of ids joined with the token-byte table and put together by position. Null arrays decode to
+    null, empty ones to nothing; ids that the table lacks are an error. Rows that repeat an id stay apart."""
+    spark = df.sparkSession
+    tokens = spark.createDataFrame(pa.table({"token": pa.array(range(len(known := token_bytes(path))), pa.int32()), "bytes": known.cast(pa.binary())}))
+    rows = stored(df.select(F.col(id_col).alias("k"), F.col(ids).cast("array<int>").alias("ids")).withColumn("row", F.monotonically_increasing_id()), "ids")
+    flat = rows.select("row", F.posexplode("ids").alias("pos", "token")).join(tokens, "token", "left")
+    byte = F.coalesce("bytes", F.raise_error(F.concat(F.lit("no such token: "), F.col("token"))).cast("binary"))
+    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex(byte).alias("b")))), lambda x: x["b"]))
+    joined = flat.groupBy("row").agg(whole.alias("hex"))
+    return rows.join(joined, "row", "left").select(F.col("k").alias(id_col), F.when(F.col("ids").isNotNull(), F.unhex(F.coalesce("hex", F.lit("")))).alias("text"))
 
 
 def digests(path: str = RANKS) -> tuple[Callable[[np.ndarray], tuple], list[tuple[str, pa.DataType]]]:
     """For ``encode``: the number of ids, a digest of them, and one of what they decode to."""
-    tokens: list[bytes] = []
+    tokens = token_bytes(path)
 
     def finish(ids: np.ndarray) -> tuple:
-        if not tokens:
-            tokens.extend(token_bytes(path))
         return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(ids, tokens)).hexdigest()
 
     return finish, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]

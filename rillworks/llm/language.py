@@ -5,14 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, crc_mod, map_arrow, mix, raw, table
+from .common import IS_SPACE, crc_mod, map_arrow, mix, raw, stored, table
 
-#: Byte n-grams, hash buckets, embedding size; sampled texts for training at most; epochs, examples a step, rate.
+#: Byte n-grams, hash buckets, embedding size; sampled texts for training, and their bytes, at most; epochs, examples a step, rate.
 GRAMS, BUCKETS, SIZE = (2, 3, 4), 1 << 15, 16
-SAMPLE, EPOCHS, STEP, RATE = 2_000, 3, 64, 0.5
+SAMPLE, SAMPLE_BYTES, EPOCHS, STEP, RATE = 2_000, 32 << 20, 3, 64, 0.5
+#: Share of the sampled texts that is held back, whole, for calibration.
+HELD_BACK = 0.1
 #: The longest piece, in words, that a sampled text is cut into for training; so short texts are learnt too.
 PIECE = 40
 UNKNOWN = "und"
@@ -72,8 +74,23 @@ class Model:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def learn(self, texts: list[str], kinds: np.ndarray, seed: int = 5) -> None:
+        """Trains on pieces of most texts; one temperature, fitted on the others as they are, makes a score the share of right answers on whole texts."""
+        rng = np.random.default_rng(seed)
+        held = rng.random(len(texts)) < HELD_BACK
+        if held.all() or len(set(kinds[~held].tolist())) < len(set(kinds.tolist())):
+            held[:] = False  # too few texts to hold any back
+        self.train(*cut([t for t, h in zip(texts, held, strict=True) if not h], kinds[~held].tolist(), rng))
+        tested = [t for t, h in zip(texts, held, strict=True) if h]
+        if tested:
+            z = np.concatenate([self.scores(*raw(pa.array([t], pa.large_string()))) for t in tested])
+            losses = {t: -np.log(np.maximum(self.probabilities(z / t)[np.arange(len(z)), kinds[held]], 1e-12)).mean() for t in np.geomspace(0.05, 5000, 101)}
+            self.heat = min(losses, key=losses.get)
+
     def train(self, pieces: list[str], of: np.ndarray, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
+        if not pieces:
+            return
         parts, sizes = [], []
         for lo in range(0, len(pieces), 2_000):  # n-grams of some pieces at once, for memory
             some = pieces[lo : lo + 2_000]
@@ -81,9 +98,8 @@ class Model:
             parts.append(part[np.argsort(doc, kind="stable")])
             sizes.append(np.bincount(doc, minlength=len(some)))
         bucket, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        held = rng.random(len(pieces)) < 0.1
         for epoch in range(EPOCHS):
-            for at in np.array_split(turn := rng.permutation(np.flatnonzero(~held)), max(1, len(turn) // STEP)):
+            for at in np.array_split(turn := rng.permutation(len(pieces)), max(1, len(turn) // STEP)):
                 rows = np.concatenate([bucket[first[i] : first[i + 1]] for i in at]) if len(at) else bucket[:0]
                 count = first[at + 1] - first[at]
                 own = np.repeat(np.arange(len(at)), count)
@@ -98,11 +114,6 @@ class Model:
                 seen, place = np.unique(rows, return_inverse=True)
                 step = np.stack([np.bincount(place, back[own, k], len(seen)) for k in range(SIZE)], 1)
                 self.embedding[seen] -= (rate * step * 8).astype(np.float32)
-        tested = [p for p, h in zip(pieces, held, strict=True) if h]
-        z = np.concatenate([self.scores(*raw(pa.array(tested[lo : lo + 2_000], pa.large_string()))) for lo in range(0, max(1, len(tested)), 2_000)])
-        if len(z):  # one temperature, so that a score is the share of right answers
-            losses = {t: -np.log(np.maximum(self.probabilities(z / t)[np.arange(len(z)), of[held]], 1e-12)).mean() for t in np.geomspace(0.1, 10, 41)}
-            self.heat = min(losses, key=losses.get)
 
     def scores(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Logits by text. Averaging and the softmax's matrix are both linear, so each bucket has its logits beforehand."""
@@ -113,29 +124,28 @@ class Model:
         return np.stack([np.bincount(doc, logits[bucket, k], n) / count for k in range(logits.shape[1])], 1) + self.bias if logits.shape[1] else np.zeros((n, 0))
 
 
-def identify(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, reject_below: float = 0.0) -> DataFrame:
+def identify(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, reject_below: float = 0.0) -> DataFrame:
     """One row for each of df: id_col, lang_pred, score (calibrated probability of lang_pred).
 
-    Learns from the texts and languages of rows that meet learn_from and whose language is not null: up to ``sample`` whole texts for each language
-    that is found, those with the smallest hash of id and text. ``und`` with score 0 if the text is null, empty or without a letter, or
-    if nothing could be learnt; ``und`` with the best language's score if that is under reject_below (0: never). Repeated rows are each judged.
+    Learns from the texts and languages of rows that meet learn_from and whose language is not null: for each of the languages found an equal share of
+    ``sample`` different texts that hold a letter, those with the smallest hashes of id and text (ties: the smaller id, then the hash of the text), as long as
+    they come to no more than its share of ``sample_bytes`` (one text at least). ``und`` with score 0 if the text is null, empty or without a letter, or
+    if nothing could be learnt; ``und`` with the best language's score if that is under reject_below (0: never, as every text then has a learnt
+    language). Equal scores go to the language first in order. Repeated rows are each judged and count once in learning; other columns of df play no part.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    named = df.where(learn_from & F.col(lang).isNotNull()).select(F.col(id_col).alias("k"), F.col(lang).alias("y"))
-    kinds = sorted(r["y"] for r in named.select("y").distinct().collect())
-    share, chosen = max(1, sample // max(1, len(kinds))), None
-    for name in kinds:
-        own = named.where(F.col("y") == name).orderBy(F.xxhash64("k"), "k").limit(share)
-        chosen = own if chosen is None else chosen.unionAll(own)
-    rows = []
-    if chosen is not None:
-        texts = df.select(F.col(id_col).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t")).join(F.broadcast(chosen.distinct()), ["k", "y"]).where(F.col("t").rlike(r"\p{L}"))
-        found = texts.limit(2 * share * len(kinds)).orderBy("k", "t").toArrow()
-        rows = list(zip(map(kinds.index, found["y"].to_pylist()), found["t"].to_pylist(), strict=True))
+    rows = df.select(F.col(id_col).alias("k"), F.col(lang).alias("y"), F.col(text).cast("string").alias("t"), learn_from.alias("learn"))
+    known = rows.where(F.col("learn") & F.col("y").isNotNull() & F.col("t").rlike(r"\p{L}")).drop("learn").withColumn("h", F.xxhash64("t"))
+    slim = stored(known.groupBy("k", "y", "h").agg(F.max(F.octet_length("t")).cast("long").alias("n")), "learnable")
+    kinds = sorted(r["y"] for r in slim.select("y").distinct().collect())
+    share, share_bytes = max(1, sample // max(1, len(kinds))), sample_bytes // max(1, len(kinds))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("k", "h"), "k", "h")
+    first = slim.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).withColumn("sum", F.sum("n").over(order)).where((F.col("r") == 1) | (F.col("sum") <= share_bytes))
     model = Model(kinds)
-    if rows:
-        model.train(*cut(folded(pa.array([t for _, t in rows])).to_pylist(), [k for k, _ in rows], np.random.default_rng(9)))
+    if kinds:
+        found = known.join(F.broadcast(first.select("k", "y", "h")), ["k", "y", "h"]).groupBy("k", "y", "h").agg(F.min("t").alias("t")).orderBy("k", "y", "h").select("y", "t").toArrow()
+        model.learn(folded(found["t"].combine_chunks()).to_pylist(), np.array([kinds.index(y) for y in found["y"].to_pylist()]))
     sent = spark.sparkContext.broadcast(model)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More rules than this would make the literal index too large for a plan; ``judge`` refuses them.
-MAX_RULES = 20_000
+#: Bytes of rules in one index, which every Python worker holds; more rules make more indexes, and each looks at all rows.
+INDEX_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class Rule:
-    """name: what is reported; pattern: a regular expression over host and path together; tokens: literals that any match holds.
+    """name: what is reported; pattern: a regular expression (Python's) over host and path together; tokens: literals that any match holds.
 
     Host rules (made by ``host_rule``) come before patterns; among a kind the longest name wins, then the smaller name.
     """
@@ -39,7 +41,7 @@ def host_rule(verdict: str, name: str) -> Rule:
 
 def word_rule(word: str) -> Rule:
     """Blocks hosts that hold the word, between characters other than letters and digits."""
-    return Rule(word, f"^(?:[^/]*[^a-z0-9/])?{word}(?:[^a-z0-9][^/]*)?(?:/|$)", (word,), "block", False)
+    return Rule(word, f"^(?:[^/]*[^a-z0-9/])?{word}(?:[^a-z0-9][^/]*)?(?:/|\\Z)", (word,), "block", False)
 
 
 #: The contract's rules, then words of hosts that the method blocks by itself.
@@ -65,40 +67,95 @@ def tokens_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), F.lit(1)))
 
 
+def word_rules(words: Iterable[str]) -> tuple[Rule, ...]:
+    """Rules of a list of words, as a filter file has them; blanks around them and empty lines don't count."""
+    return tuple(word_rule(w) for w in dict.fromkeys(x.strip().lower() for x in words) if w)
+
+
 def rarest(df: DataFrame, url: str, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
     """token -> the rules that it fetches. A rule stands under the one of its tokens that fewest rows of df hold.
 
     Counts cover all rows; only tokens of rules are counted, so what reaches the driver is bounded by the rules.
     """
-    known = sorted({t for r in rules for t in r.tokens})
-    token = F.explode(F.filter(tokens_of(F.concat(host_of(F.col(url)), path_of(F.col(url)))), lambda t: t.isin(known)))
-    counts = {r["token"]: r["n"] for r in df.select(token.alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    known = df.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    token = F.explode(tokens_of(F.concat(host_of(F.col(url)), path_of(F.col(url)))))
+    counted = df.select(token.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = {r["token"]: r["n"] for r in counted.join(known, "token").collect()}
     index: dict[str, list[int]] = {}
     for i, rule in enumerate(rules):
         index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
     return index
 
 
+class Index:
+    """Some of the ranked rules, by token. Patterns are compiled when first fetched, and kept."""
+
+    def __init__(self, rules: dict[int, Rule], index: dict[str, list[int]]):
+        self.rules, self.index, self.compiled = rules, index, {}
+
+    def fits(self, i: int, whole: str) -> bool:
+        if i not in self.compiled:
+            self.compiled[i] = re.compile(self.rules[i].pattern)
+        return self.compiled[i].search(whole) is not None
+
+    def first(self, whole: str) -> tuple[Rule | None, Rule | None]:
+        """The best host rule and the best other one that fit; of what the tokens fetch, rules are tried from the best on."""
+        found = {i for t in set(re.findall("[A-Za-z0-9]+", whole)) for i in self.index.get(t, ())}
+        out: dict[bool, Rule] = {}
+        for i in sorted(found):
+            rule = self.rules[i]
+            if rule.host not in out and self.fits(i, whole):
+                out[rule.host] = rule
+                if len(out) == 2:
+                    break
+        return out.get(True), out.get(False)
+
+
+def indexes(rules: tuple[Rule, ...], index: dict[str, list[int]], limit: int) -> list[Index]:
+    """The ranked rules in turn, so many to an index as have limit bytes (one at least)."""
+    token_of = {i: t for t, found in index.items() for i in found}
+    out, size = [], limit
+    for i, rule in enumerate(rules):
+        own = len(rule.pattern) + len(rule.name) + sum(map(len, rule.tokens)) + 200
+        if size + own > limit:
+            out.append(Index({}, {}))
+            size = 0
+        size += own
+        out[-1].rules[i] = rule
+        out[-1].index.setdefault(token_of[i], []).append(i)
+    return out
+
+
 def judge(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with host, path, rule (of the deciding host rule, else null), verdict (allow or block), pattern_rule (of the method, else null).
 
     Null URLs and such without ``://`` have empty host and path and are allowed. Columns of df with these names are replaced; all others,
-    repeated rows included, pass through. Narrow: one pass over the rows, no shuffle besides the token counts.
+    repeated rows included, pass through. Narrow: one pass over the rows, no shuffle besides the token counts. Any number of rules, each
+    with a token; they reach the executors as indexes of bounded size, of which each looks at host and path alone.
     """
-    if len(rules) > MAX_RULES or not all(r.tokens for r in rules):
-        raise ValueError(f"at most {MAX_RULES} rules, each with a token")
+    if not all(r.tokens for r in rules):
+        raise ValueError("each rule needs a token")
+    spark = df.sparkSession
+    worker_path(spark)
     order = sorted(range(len(rules)), key=lambda i: (not rules[i].host, -len(rules[i].name), rules[i].name))
     ranked = tuple(rules[i] for i in order)
-    index = rarest(df, url, ranked)
-    fetch = F.create_map(*[F.lit(x) for token, ids in index.items() for x in (token, ids)])
-    whole = F.concat(F.col("host"), F.col("path"))
-    known = F.array(*[F.struct(F.lit(r.pattern).alias("p"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.host).alias("host")) for r in ranked])
     made = ("host", "path", "rule", "verdict", "pattern_rule")
-    out = df.select(*[F.col(c) for c in df.columns if c not in made], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    found = F.filter(F.array_sort(F.flatten(F.transform(F.filter(tokens_of(whole), lambda t: t.isin(list(index))), lambda t: F.element_at(fetch, t)))), lambda i: F.call_function("regexp_like", whole, F.element_at(known, i + 1)["p"]))
-    out = out.withColumn("__hits", F.transform(found, lambda i: F.element_at(known, i + 1)))
-    by_host, by_word = F.get(F.filter("__hits", lambda r: r["host"]), F.lit(0)), F.get(F.filter("__hits", lambda r: ~r["host"]), F.lit(0))
-    return out.withColumns({"rule": by_host["name"], "pattern_rule": by_word["name"], "verdict": F.coalesce(by_host["verdict"], by_word["verdict"], F.lit("allow"))}).drop("__hits")
+    host, path = host_of(F.col(url)), path_of(F.col(url))
+
+    def asked(sent):
+        def first(whole: pd.Series) -> pd.DataFrame:
+            found = [sent.value.first(w) for w in whole]
+            show = lambda r: (r.name, r.verdict) if r else (None, None)
+            return pd.DataFrame([(*show(a), *show(b)) for a, b in found], columns=["rule", "verdict", "pattern_rule", "pattern_verdict"], dtype=object)
+
+        return F.pandas_udf(first, "rule string, verdict string, pattern_rule string, pattern_verdict string")(F.concat(host, path))
+
+    found = [asked(spark.sparkContext.broadcast(i)) for i in indexes(ranked, rarest(df, url, ranked) if ranked else {}, INDEX_BYTES)]
+    names = df.columns
+    plain = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], host.alias("host"), path.alias("path"), *[f.alias(f"f{i}") for i, f in enumerate(found)])
+    of = lambda field: F.coalesce(*[F.col(f"f{i}.{field}") for i in range(len(found))], F.lit(None).cast("string"))
+    verdict = F.coalesce(of("verdict"), of("pattern_verdict"), F.lit("allow"))
+    return plain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in made], "host", "path", of("rule").alias("rule"), verdict.alias("verdict"), of("pattern_rule").alias("pattern_rule"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +163,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    first = lambda kind, what, none: "CASE " + " ".join(f"WHEN regexp_matches(host || path, '{r.pattern}') THEN '{getattr(r, what)}'" for r in sorted((r for r in RULES if r.host == kind), key=lambda r: (-len(r.name), r.name))) + f" ELSE {none} END"
+    first = lambda kind, what, none: "CASE " + " ".join(f"WHEN regexp_matches(host || path, '{r.pattern.replace(chr(92) + 'Z', '$')}') THEN '{getattr(r, what)}'" for r in sorted((r for r in RULES if r.host == kind), key=lambda r: (-len(r.name), r.name))) + f" ELSE {none} END"
     return f"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,

@@ -119,6 +119,41 @@ def test_language_rejects_and_lacks(corpus):
     assert language.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_language_learns_from_bounded_distinct_texts(spark, monkeypatch):
+    """One text a thousand times and clashing columns; the bounds on texts and bytes hold whatever repeats."""
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, lang), lang, 7, "mine") for i in range(200) for lang in [rng.choice(["xa", "xb"])]] + [(5, "the same text", "xa", 7, "mine")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, k int, h string").repartition(5)
+    seen = []
+    learn = language.Model.learn
+    monkeypatch.setattr(language.Model, "learn", lambda self, texts, kinds: seen.append(texts) or learn(self, texts, kinds))
+    got = language.identify(df, F.lit(True), sample=60).collect()
+    assert len(got) == len(rows) and len(seen[0]) == 60 and len(set(seen[0])) == 60
+    assert {r["lang_pred"] for r in got if r["doc_id"] == 5} <= {"xa", "xb"}
+    again = language.identify(df.repartition(3), F.lit(True), sample=60).collect()
+    assert seen[1] == seen[0] and sorted(map(tuple, again)) == sorted(map(tuple, got))
+    language.identify(df, F.lit(True), sample=60, sample_bytes=2000)
+    assert sum(len(t) for t in seen[2]) < 2400 and len(seen[2]) >= 2
+    language.identify(df, F.lit(True), sample_bytes=1)
+    assert len(seen[3]) == 2  # one text a language at least
+
+
+def test_language_is_calibrated_on_whole_texts():
+    """Of two languages alike in most words, scores of whole texts are near the share of right answers."""
+    rng = np.random.default_rng(3)
+
+    def text(kind):
+        return " ".join(rng.choice(["ama", "bebe", "coco"] if rng.random() < 0.8 else [["xyx", "zuz"], ["uvu", "wiw"]][kind]) for _ in range(6))
+
+    kinds = rng.integers(0, 2, 1200)
+    model = language.Model(["a", "b"])
+    model.learn([f" {text(k)} " for k in kinds], kinds)
+    fresh = rng.integers(0, 2, 600)
+    p = np.concatenate([model.probabilities(model.scores(*language.raw(pa.array([f" {text(k)} "], pa.large_string()))) / model.heat) for k in fresh])
+    right, score = p.argmax(1) == fresh, p.max(1)
+    assert abs(score.mean() - right.mean()) < 0.08 and 0.6 < right.mean() < 1
+
+
 def test_grams_stay_in_their_text():
     one = language.grams(*language.raw(language.folded(pa.array(["Ab c"]))))
     both = language.grams(*language.raw(language.folded(pa.array(["Ab c", None, "1", "zz"]))))

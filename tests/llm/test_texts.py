@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rillworks.llm import bpe, decontam, lines, passages, urls
 
@@ -59,9 +60,41 @@ def test_bpe_chunks_and_repeats(spark, monkeypatch):
     assert bpe.encode(nothing, *bpe.digests()).first()["doc_id"] is None
 
 
+def test_decoding_joins_the_table(spark):
+    texts = [t or "" for t in corpus(7, 20)] + ["ä" * 60_000 + " b", ""]
+    ids = [("ids", pa.list_(pa.int32()))]
+    coded = bpe.encode(docs(spark, texts, False), lambda x: (x.astype("<i4"),), ids)
+    got = {r["doc_id"]: bytes(r["text"]) for r in bpe.decoded(coded).collect()}
+    assert got == {i: t.encode() for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, None), (1, []), (1, [0])], "doc_id long, ids array<int>")
+    assert {r["text"] and bytes(r["text"]) for r in bpe.decoded(odd).collect()} == {None, b"", bpe.decode(np.array([0]), bpe.token_bytes())}
+    with pytest.raises(Exception, match="no such token"):
+        bpe.decoded(spark.createDataFrame([(1, [10**8])], "doc_id long, ids array<int>")).collect()
+
+
 # op6
 
 
+def test_joins_of_runs_sort_no_run(spark):
+    runs = lines.Runs(spark)
+    with lines.in_order(spark):
+        for i in range(2):
+            runs.add(runs.without_known(spark.range(i * 50, i * 50 + 80).selectExpr("id h1", "id * 3 h2", "0L first").repartition(3).groupBy("h1", "h2").agg(F.min("first").alias("first"))))
+        hashes = spark.range(300).selectExpr("id h1", "id * 3 h2").repartition(3).groupBy("h1", "h2").count()
+        plan = runs.without_known(hashes)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") <= 1, plan
+    runs.drop()
+
+
+def test_lines_leave_no_run_behind(spark, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    lines.dedup_lines(docs(spark, corpus(3)), batches=6).count()
+    monkeypatch.setattr(lines.Runs, "compact", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        lines.dedup_lines(docs(spark, corpus(3)))
+    assert {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")} <= before
+
+
 def brute_lines(rows):
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     held = {}
@@ -220,6 +253,21 @@ def test_rules_stand_under_their_rarest_token(spark):
     assert 0 in index["com"] and sorted(i for ids in index.values() for i in ids) == list(range(len(urls.RULES)))
 
 
+def test_many_rules_and_small_indexes(spark, monkeypatch):
+    """100,000 words in indexes of a few thousand, against each URL's own words."""
+    words = [f"w{i}" for i in range(100_000)]
+    urls_ = [f"http://w{i * 37}.x{i}.org/p" for i in range(300)] + ["http://aw5.org/", "http://x-w7.w9.org", None, "http://w100000.org/"]
+    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls_)], "__hits long, url string, c0 string")
+    monkeypatch.setattr(urls, "INDEX_BYTES", 4 << 20)
+    rules = urls.word_rules([*words, " W5 ", ""])
+    assert len(rules) == 100_000 and len(urls.indexes(rules, urls.rarest(df, "url", rules), urls.INDEX_BYTES)) > 4
+    rows = urls.judge(df, rules=rules).collect()
+    want = [f"w{i * 37}" for i in range(300)] + [None, "w7", None, None]
+    assert [r["pattern_rule"] for r in sorted(rows, key=lambda r: r["__hits"])] == want
+    assert all(r["c0"] == "mine" and r["verdict"] == ("block" if r["pattern_rule"] else "allow") for r in rows)
+    assert {r["verdict"] for r in urls.judge(df, rules=()).collect()} == {"allow"}
+
+
 # op10
 
 
