@@ -13,6 +13,8 @@ from .common import IS_SPACE, crc_mod, map_arrow, mix, raw, stored, table
 #: Byte n-grams, hash buckets, embedding size; sampled texts for training, and their bytes, at most; epochs, examples a step, rate.
 GRAMS, BUCKETS, SIZE = (2, 3, 4), 1 << 15, 16
 SAMPLE, SAMPLE_BYTES, EPOCHS, STEP, RATE = 2_000, 32 << 20, 3, 64, 0.5
+#: The longest step of a row.
+CLIP = 0.5
 #: Share of the sampled texts that is held back, whole, for calibration.
 HELD_BACK = 0.1
 #: The longest piece, in words, that a sampled text is cut into for training; so short texts are learnt too.
@@ -61,6 +63,11 @@ def cut(texts: list[str], kinds: list[int], rng: np.random.Generator) -> tuple[l
     return pieces, np.array(of)
 
 
+def clipped(step: np.ndarray) -> np.ndarray:
+    """Rows of a step no longer than CLIP: an n-gram that most texts hold is moved by all of them at once."""
+    return step * np.minimum(1, CLIP / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-12))
+
+
 class Model:
     def __init__(self, kinds: list[str], seed: int = 3):
         self.kinds, self.heat = kinds, 1.0
@@ -109,11 +116,11 @@ class Model:
                 error[np.arange(len(at)), of[at]] -= 1
                 rate = RATE * (1 - epoch / EPOCHS)
                 back = (error @ self.out.T) * share[:, None]
-                self.out -= rate * mean.T @ error / len(at) * 8
+                self.out -= clipped(rate * mean.T @ error / len(at) * 8)
                 self.bias -= rate * error.mean(0)
                 seen, place = np.unique(rows, return_inverse=True)
                 step = np.stack([np.bincount(place, back[own, k], len(seen)) for k in range(SIZE)], 1)
-                self.embedding[seen] -= (rate * step * 8).astype(np.float32)
+                self.embedding[seen] -= clipped(rate * step * 8).astype(np.float32)
 
     def scores(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Logits by text. Averaging and the softmax's matrix are both linear, so each bucket has its logits beforehand."""
