@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import bucketed
-from .common import SLICE_BYTES, cuts, stored, table, worker_path
+from .common import SLICE_BYTES, cuts, release, stored, table, worker_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text whose distinct words are sent together. A longer text is a chunk of its own.
@@ -125,6 +125,8 @@ def encode(df: DataFrame, finish: Callable[[np.ndarray], tuple], columns: list[t
                 chunk.add(part.column(1).to_pylist(), part.column(0).to_pylist(), split)
         if chunk.docs:
             yield from chunk.rows(f"{task}-{number}", key_type, parts)
+        chunk = batch = part = None
+        release()
 
     made = df.select(F.col(text).cast("string").alias("t"), F.col(id_col).alias("key")).mapInArrow(chunks, f"chunk string, part int, words binary, key {kind}, packed binary")
     rows = spark.table(bucketed(made, "bpe_chunks", buckets, ["chunk"]))
@@ -147,6 +149,8 @@ def encode(df: DataFrame, finish: Callable[[np.ndarray], tuple], columns: list[t
                     values.append(found)
                 out.append(pack(at, values))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([kind] * len(out))], names=["chunk", "ids", "kind"])
+        ids, one, batch, out = {}, None, None, None
+        release()
 
     words = rows.where("words is not null").select("chunk", "part", "words").repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(encoded, "chunk string, ids binary, kind string")
     docs = rows.where("packed is not null").select("chunk", "key", "packed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -50,6 +52,14 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 50 else 0
 
 
+def release() -> None:
+    """Hands back what a worker has freed but keeps: workers idle between tasks, and executors hold several."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of GNU's library
+        trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """work on each Arrow batch, cut so that no cut has over limit bytes of its first string column (but one row at least)."""
 
@@ -58,6 +68,8 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | p
             for part in cuts(batch, limit):
                 out = work(part)
                 yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
+        batch = part = out = None
+        release()
 
     worker_path(df.sparkSession)
     return df.mapInArrow(run, schema)

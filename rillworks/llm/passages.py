@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import bucketed
-from .common import POWERS, Words, cuts, mix, plan_bytes, runs, table, worker_path
+from .common import POWERS, Words, cuts, mix, plan_bytes, release, runs, table, worker_path
 
 #: Words of a window, and of a phrase.
 WINDOW, PHRASE = 13, 5
@@ -263,6 +263,8 @@ def dedup(df: DataFrame, finish: Callable[[list[bytes], list[bytes]], tuple], co
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"] * n), pa.array(np.arange(at, at + n, dtype=np.int32)), part.column(1), part.column(0)], names=["chunk", "at", "key", "t"])
                 at, size = at + n, size + part.column(0).nbytes
+        batch = part = None
+        release()
 
     docs = spark.table(bucketed(rows.mapInArrow(chunks, "chunk string, at int, key long, t string"), "passages", buckets, ["chunk"]))
 
