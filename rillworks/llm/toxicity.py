@@ -7,11 +7,12 @@ and each (state, letter) is worked out once. Most words leave it after a few let
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, crc_mod, map_arrow, mix, stored, table
@@ -28,6 +29,8 @@ BY_CHANCE = 0.05
 EDIT_CONTEXTS, EDIT_SHARE, EDIT_PRIOR = 20, 0.5, 2.0
 #: Words to either side of a hit that tell what it is used for.
 WINDOW = 6
+#: Uses that are counted at once, at least.
+COUNTED_AT_ONCE = 50_000
 #: Columns of the hashes by which uses of a word are told apart, and what the words around it are multiplied by.
 KEYS = ["near", "far0", "far1", "far2", "far3"]
 POWERS = mix(np.arange(2_000, 2_000 + 2 * WINDOW, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -205,6 +208,39 @@ def uses(batch: pa.RecordBatch) -> pa.RecordBatch:
     return out.filter(pc.greater_equal(pc.utf8_length(w), 3))
 
 
+def independent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of uses (w, y + 2 * half, five hashes) sorted by word: for each word its independent uses by y and half. A use counts by one over the number of
+    uses of its word, in texts of the same y, that share the hash most of them share."""
+    names = ["w", "bad0", "bad1", "good0", "good1"]
+
+    def counted(rows: pa.Table) -> pa.RecordBatch:
+        code = rows.column(0).combine_chunks().dictionary_encode()
+        word, y = code.indices.to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.uint64)
+        alike = np.ones(len(word), np.int64)
+        for i in range(2, 2 + len(KEYS)):
+            whole = mix(mix(word * np.uint64(2) + y % np.uint64(2) + np.uint64(1)) + rows.column(i).to_numpy().view(np.uint64))
+            _, place, count = np.unique(whole, return_inverse=True, return_counts=True)
+            alike = np.maximum(alike, count[place])
+        total = np.bincount((word * np.uint64(4) + y).astype(np.int64), 1 / alike, 4 * len(code.dictionary)).reshape(-1, 4).round(6)
+        return pa.RecordBatch.from_arrays([code.dictionary, *[pa.array(total[:, c]) for c in (1, 3, 0, 2)]], names=names)
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch.column(0)[len(batch) - 1]
+        at = pc.index(batch.column(0), last).as_py()
+        if at:
+            held.append(pa.Table.from_batches([batch.slice(0, at)]))
+        # All words before the last one are whole; some of them are counted at once.
+        if held and sum(h.num_rows for h in held) >= COUNTED_AT_ONCE and held[-1].column(0)[-1] != last:
+            yield counted(pa.concat_tables(held))
+            held = []
+        held.append(pa.Table.from_batches([batch.slice(at)]))
+    if held:
+        yield counted(pa.concat_tables(held))
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, int, float]], frozenset[str]]:
     """Terms (term, edits it allows, weight) from rows (text, y); and words of the sample's clean texts that are no misspelling though they are as
     close to a term as one. Both grow with the sample, which is bounded; nothing else bounds them.
@@ -217,11 +253,9 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, int, float]], froz
     plain = F.array_join(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), " ")
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
     texts = sample.select("text", "y").distinct().select(plain.alias("text"), (F.col("y") + 2 * half).alias("y"))
-    found = map_arrow(texts, uses, f"w string, y int, {', '.join(f'{k} long' for k in KEYS)}").select("w", (F.col("y") % 2).alias("y"), F.floor(F.col("y") / 2).alias("half"), *KEYS)
-    alike_uses = F.greatest(*[F.count("*").over(Window.partitionBy("w", "y", k)) for k in KEYS])
-    single = found.repartition("w").select("w", "y", "half", (1 / alike_uses).alias("part"))
-    part = lambda y, half: F.round(F.sum(F.when((F.col("y") == y) & (F.col("half") == half), F.col("part")).otherwise(0.0)), 6)
-    words = stored(single.groupBy("w").agg(part(1, 0).alias("bad0"), part(1, 1).alias("bad1"), part(0, 0).alias("good0"), part(0, 1).alias("good1")), "words")
+    found = map_arrow(texts, uses, f"w string, y int, {', '.join(f'{k} long' for k in KEYS)}")
+    # A word's uses follow each other in a sorted stream; they are as many as the sample has, at most.
+    words = stored(found.repartition("w").sortWithinPartitions("w").mapInArrow(independent, "w string, bad0 double, bad1 double, good0 double, good1 double"), "words")
     words = words.withColumns({"bad": F.col("bad0") + F.col("bad1"), "good": F.col("good0") + F.col("good1")})
     looked = words.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") + F.col("good") >= MIN_CONTEXTS).alias("n")).first()
     if not looked["n"] or not looked["bad"]:

@@ -234,6 +234,24 @@ def test_precision_by_edits_on_held_out_texts(corpus, spark):
     assert sum(got[i] for i in got if i % 2) >= 95 and sum(got[i] for i in got if i % 2 == 0) == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 50_000])
+def test_uses_are_counted_across_batches(monkeypatch, at_once):
+    monkeypatch.setattr(toxicity, "COUNTED_AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    n = 3000
+    w = np.sort(rng.choice(["a", "b", "c", "dd", "e"], n, p=[0.6, 0.1, 0.1, 0.1, 0.1]))
+    y, keys = rng.integers(0, 4, n), rng.integers(0, 40, (5, n))
+    want = {}
+    for i in range(n):
+        alike = max(int(((w == w[i]) & (y % 2 == y[i] % 2) & (k == k[i])).sum()) for k in keys)
+        row = want.setdefault(str(w[i]), [0.0] * 4)
+        row[[2, 0, 3, 1][y[i]]] += 1 / alike
+    table = pa.table([pa.array(w), pa.array(y, pa.int32()), *[pa.array(k) for k in keys]], names=["w", "y", *toxicity.KEYS])
+    for size in (1, 7, 1000, 5000):
+        got = {r["w"]: [r["bad0"], r["bad1"], r["good0"], r["good1"]] for b in toxicity.independent(iter(table.to_batches(size))) for r in b.to_pylist()}
+        assert got.keys() == want.keys() and all(np.allclose(got[x], want[x], atol=1e-5) for x in got)
+
+
 def test_junk_words_become_no_terms(spark):
     rng = random.Random(11)
     rows = [(" ".join(f"j{rng.randrange(4000)}" for _ in range(60)) + (" dimwit" if i % 8 == 0 else ""), int(i % 8 == 0)) for i in range(1600)]
