@@ -105,22 +105,25 @@ class Model:
             parts.append(part[np.argsort(doc, kind="stable")])
             sizes.append(np.bincount(doc, minlength=len(some)))
         bucket, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        place = np.zeros(BUCKETS, np.int64)
         for epoch in range(EPOCHS):
             for at in np.array_split(turn := rng.permutation(len(pieces)), max(1, len(turn) // STEP)):
                 rows = np.concatenate([bucket[first[i] : first[i + 1]] for i in at]) if len(at) else bucket[:0]
                 count = first[at + 1] - first[at]
+                seen = np.flatnonzero(np.bincount(rows, minlength=BUCKETS))
+                place[seen] = np.arange(len(seen))
+                # Share of each n-gram in each piece: means and gradients are products with it.
                 own = np.repeat(np.arange(len(at)), count)
-                share = (1 / np.maximum(count, 1)).astype(np.float32)
-                mean = np.stack([np.bincount(own, self.embedding[rows, k], len(at)) for k in range(SIZE)], 1).astype(np.float32) * share[:, None]
+                weight = np.bincount(own * len(seen) + place[rows], minlength=len(at) * len(seen)).reshape(len(at), len(seen)).astype(np.float32)
+                weight /= np.maximum(count, 1)[:, None].astype(np.float32)
+                mean = weight @ self.embedding[seen]
                 error = self.probabilities(mean @ self.out + self.bias)
                 error[np.arange(len(at)), of[at]] -= 1
                 rate = RATE * (1 - epoch / EPOCHS)
-                back = (error @ self.out.T) * share[:, None]
+                step = weight.T @ (error @ self.out.T)
                 self.out -= clipped(rate * mean.T @ error / len(at) * 8)
                 self.bias -= rate * error.mean(0)
-                seen, place = np.unique(rows, return_inverse=True)
-                step = np.stack([np.bincount(place, back[own, k], len(seen)) for k in range(SIZE)], 1)
-                self.embedding[seen] -= clipped(rate * step * 8).astype(np.float32)
+                self.embedding[seen] -= clipped(rate * step * 8)
 
     def scores(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Logits by text. Averaging and the softmax's matrix are both linear, so each bucket has its logits beforehand."""
