@@ -104,7 +104,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
     id_, text_ = F.col(id_col), F.col(text)
     batches = batches or max(BATCHES, plan_bytes(df) // BATCH_BYTES)
     bounds = df.select(F.percentile_approx(id_, [i / batches for i in range(1, batches)], 1000).alias("b")).first()["b"] or []
-    exploded = df.where(id_.isNotNull()).select(id_.alias("id"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("t"), F.posexplode(lines_of(text_)).alias("pos", "line")).withColumn("k", key(F.col("line"))).where(F.char_length("k") >= min_points)
+    # The text's hash stands below the explosion, so that it is worked out once a text and not once a line.
+    hashed = df.where(id_.isNotNull()).select(id_.alias("id"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("t"), text_.alias("text"))
+    exploded = hashed.select("id", "t", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("k", key(F.col("line"))).where(F.char_length("k") >= min_points)
     edges = sorted(set(bounds))
     batch = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("id"))) if edges else F.lit(0)
     lines = stored(exploded.select("id", "t", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(17), F.col("k")).alias("h2"), batch.alias("batch")), "lines", ["batch"])
