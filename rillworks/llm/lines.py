@@ -124,7 +124,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
     for more in repeated[1:]:
         gone = gone.unionAll(more)
     gone = gone.distinct().groupBy("id", "t").agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
-    both = df.withColumns({"_lines": lines_of(text_), "_id": id_, "_t": F.xxhash64(F.coalesce(text_, F.lit("")))}).join(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_gone"), ["_id", "_t"], "left")
+    both = df.withColumns({"_id": id_, "_t": F.xxhash64(F.coalesce(text_, F.lit("")))}).join(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_gone"), ["_id", "_t"], "left")
+    both = both.withColumn("_lines", lines_of(text_))  # after the join, so that texts are shuffled once
     none = F.array().cast("array<int>")
     starts = F.concat(F.array(F.lit(0)), F.transform(F.coalesce("_gone", none), lambda p: p + 1))
     ends = F.concat(F.coalesce("_gone", none), F.array(F.size("_lines")))
