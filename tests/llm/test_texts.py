@@ -330,3 +330,44 @@ def test_items_in_shards(spark, monkeypatch):
     df = bench.selectExpr("item_id doc_id", "concat('x ', text, ' y') text")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(df, bench).where("distance = 0").collect()} == {(i, i) for i in range(6)}
     assert decontam.decontaminate(df, bench).count() == 0
+
+
+# very long texts
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """Texts of 1 to 2 MB: one line repeated, many lines of which some repeat, a copy with a line more, random words and a near copy, one word, a short period."""
+    rng = random.Random(9)
+    numbered = "\n".join(f"line number {i % 40_000} of this text" for i in range(60_000))
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    near = [*words[:70_000], "another", *words[70_001:]]
+    return ["the same old line here\n" * 60_000, numbered, numbered + "\nThe same old line HERE", " ".join(words), " ".join(near), "x" * 1_000_000, "abc def " * 150_000, "short"]
+
+
+def test_long_lines(spark, long_texts):
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], sha(r["text"])) for r in lines.dedup_lines(docs(spark, long_texts)).collect())
+    assert got == [(i, n, dropped, sha(t)) for i, n, dropped, t in brute_lines(list(enumerate(long_texts)))]
+    assert got[2][2] == 60_001
+
+
+def test_texts_are_hashed_once_and_split_after_the_join(spark):
+    plan = lines.dedup_lines(docs(spark, corpus(3), extra=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.index("split(") < plan.index("Join LeftOuter"), plan
+
+
+def test_long_passages(spark, long_texts):
+    got = sorted(map(tuple, passages.dedup(docs(spark, long_texts), passages.counted, passages.COUNTED).collect()))
+    assert got == brute_passages(list(enumerate(long_texts)))
+
+
+def test_long_bpe(spark, long_texts):
+    import public_tokenizers
+    import tiktoken
+
+    texts = [t for t in long_texts if not t.startswith("xx")] + ["x" * 20_000]
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(), special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.encode(docs(spark, texts), *bpe.digests()).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(whole.encode_ordinary(t), "<u4")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(ids.tobytes()), sha(t)), t[:50]
