@@ -65,6 +65,19 @@ def test_links(spark, texts, k):
     assert len(set(want.values())) < len(rows) - 60
 
 
+def test_links_of_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    near, other = list(words), list(words)
+    near[1000:1100] = ["new"] * 100
+    other[::3] = ["other"] * 50_000
+    rows = list(enumerate([" ".join(words), " ".join(near), " ".join(other), "abc def " * 150_000, "abc def " * 149_000, "x" * 1_000_000, "X" * 1_000_000]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    want, sets = brute(rows, 4), sets_of(rows, 4)
+    assert got == {i: (len(sets[i][0]), want[i]) for i in want}
+    assert [got[i][1] for i in range(7)] == [0, 0, 2, 3, 3, 5, 5]
+
+
 def test_links_against_sql(spark, sf_dir, duck):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.op3_near_dedup(spark, sf_dir).collect())
     assert got == sorted(duck.execute(neardup.ORACLE["op3_near_dedup"]).fetchall())
