@@ -57,7 +57,7 @@ class Sums:
         for j, ((_, base, prime), v) in enumerate(zip(self.folds, values, strict=True)):
             term = v % prime * powers(base, place, prime) % prime if prime else v
             total = np.cumsum(term)
-            own = total + np.where(start < 0, self.last[j], 0) - np.where(start > 0, total[start - 1], 0)
+            own = total + np.where(start < 0, self.last[j], 0) - np.where(start > 0, total[np.maximum(start, 1) - 1], 0)
             sums.append(own % prime if prime else own)
             before.append((own - term) % prime if prime else own - term)
             self.last[j] = int(sums[-1][-1])
