@@ -160,3 +160,42 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+#: Ids that ``among`` makes a filter of, bits for each, and bits that one task sets. So a filter has 16 MB at most.
+FILTERED, BITS_PER_ID, SLICE_BITS = 8_000_000, 16, 1 << 19
+
+
+def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df that may have one of ids (key, distinct) as key: all that have, and few others. It spares rows a shuffle before a join.
+
+    The filter has two bits an id, dealt by place, so that each of its slices is made by one task. For over FILTERED ids all rows come.
+    """
+    spark = df.sparkSession
+    n = ids.count()
+    if n > FILTERED:
+        return df
+    bits = max(SLICE_BITS, 1 << (n * BITS_PER_ID - 1).bit_length()) if n else SLICE_BITS
+    places = lambda: [F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in (1, 2)]
+
+    def mark(t: pa.Table) -> pa.Table:
+        held = np.zeros(SLICE_BITS, bool)
+        held[t["place"].to_numpy() % SLICE_BITS] = True
+        return pa.table([t["slice"][:1], pa.array([np.packbits(held).tobytes()])], names=["slice", "bits"])
+
+    worker_path(spark)
+    place = ids.select(F.explode(F.array(*places())).alias("place")).withColumn("slice", (F.col("place") / SLICE_BITS).cast("int"))
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in place.groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect():
+        whole[r["slice"] * SLICE_BITS // 8 : (r["slice"] + 1) * SLICE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(whole.tobytes())
+
+    def may(batches):
+        held = np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            hit = np.ones(b.num_rows, bool)
+            for at in (b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()):
+                hit &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield b.filter(pa.array(hit)).select(range(b.num_columns - 2))
+
+    return df.select("*", *[p.alias(f"_place{i}") for i, p in enumerate(places())]).mapInArrow(may, df.schema)

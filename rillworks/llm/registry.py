@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-_MODULES = ("urls", "ann", "lines", "decontam", "toxicity", "quality", "language", "bpe", "neardup", "passages", "audit", "trie")
+_MODULES = ("urls", "ann", "lines", "decontam", "toxicity", "quality", "language", "bpe", "neardup", "passages", "audit", "trie", "jaccard")
 
 QUERIES = {name: query for m in _MODULES for name, query in import_module(f"{__package__}.{m}").QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE = {name: sql for m in _MODULES for name, sql in import_module(f"{__package__}.{m}").ORACLE.items()}
