@@ -34,8 +34,8 @@ WIDE = 64
 COUNTED = 5 / 16
 #: Bytes of counted groups in a chunk of points, and bytes of input for each part of the groups.
 CHUNK_BYTES, PART_BYTES = 4 << 20, 8 << 20
-#: Points in a tile.
-LEAF = 512
+#: Points in a tile, and bytes of their sets.
+LEAF, LEAF_BYTES = 2_048, 32 << 20
 #: Marks cells of groups outside the counted share.
 OUTSIDE = np.uint64(1 << 56)
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -280,23 +280,26 @@ def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFram
     rows = stored(rows.join(nodes.select("id", "n", "wide"), "id"), "rest")
     if rows.isEmpty():
         return found
-    met = _met(_tiled(rows), percent)
-    active = stored(met.groupBy("cell", "i", "j").applyInArrow(_active(percent), "cell long, i int, j int, id long, left boolean"), "active")
-    if active.isEmpty():
+    # Points share many cells, so what may be linked is put together first: clusters, where each point and its set come once.
+    near = stored(_met(_tiled(rows), percent).groupBy("cell", "i", "j").applyInArrow(_forest(percent), "a long, b long").distinct(), "near")
+    if near.isEmpty():
         return found
-    sets = stored(_sets(docs, active.select("id").distinct(), k), "restsets")
-    own = active.join(stored(rows.select("cell", "id", "c", "n", "wide"), "own"), ["cell", "id"]).join(sets, "id")
-    more = own.groupBy("cell", "i", "j").applyInArrow(_verified(percent), "a long, b long")
+    clusters = stored(components(near), "clusters")
+    ids = stored(clusters.select("node", "component").unionAll(clusters.select(F.col("component").alias("node"), "component").distinct()).toDF("id", "cell"), "clustered")
+    own = ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("cell", "id", F.coalesce("component", "id").alias("c"), F.lit(True).alias("stray"))
+    met = _met(_tiled(stored(own.join(nodes.select("id", "n", "wide"), "id"), "own")), percent, once=True)
+    sets = stored(_sets(docs, ids.select("id"), k), "restsets")
+    more = met.join(sets, "id").groupBy("cell", "i", "j").applyInArrow(_verified(percent), "a long, b long")
     return components(links.unionAll(stored(more, "more")))
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """rows with ``tile``: cells of over LEAF points are split at the median of their sizes, then of their counts in one wide group after the other (where
+    """rows with ``tile``: cells of over LEAF points or LEAF_BYTES of sets are split at the median of their sizes, then of their counts in one wide group after the other (where
     half of them are equal, by the ids' hashes), until no tile holds more."""
     now, level = rows.withColumn("tile", F.lit(1)), 0
     while True:
         at: Column = F.col("n") if level == 0 else F.get("wide", F.lit((level - 1) % WIDE))
-        large = now.withColumn("x", at).groupBy("cell", "tile").agg(F.count("*").alias("size"), F.percentile_approx("x", [0.25, 0.5, 0.75]).alias("q")).where(F.col("size") > LEAF)
+        large = now.withColumn("x", at).groupBy("cell", "tile").agg(F.count("*").alias("size"), F.percentile_approx("x", [0.25, 0.5, 0.75]).alias("q"), F.sum("n").alias("total")).where((F.col("size") > LEAF) | (F.col("size") > 1) & (F.col("total") * 8 > LEAF_BYTES))
         low, mid, high = (F.get("q", F.lit(i)) for i in range(3))
         large = stored(large.select("cell", "tile", low.alias("low"), mid.alias("mid"), high.alias("high")), "large")
         if large.isEmpty():
@@ -307,14 +310,16 @@ def _tiled(rows: DataFrame) -> DataFrame:
         level += 1
 
 
-def _met(tiled: DataFrame, percent: int) -> DataFrame:
-    """(cell, i, j, id, c, n, wide, left): for each two tiles of a cell whose boxes allow a link, the strays of tile i (left) and all points of tile j."""
+def _met(tiled: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """(cell, i, j, id, c, n, wide, left): for each two tiles of a cell whose boxes allow a link, the strays of tile i (left) and all points of tile j.
+    once: for tiles that hold strays alone, each two of them in one order only."""
     wide = [F.max(F.get("wide", F.lit(g))).alias(f"g{g}") for g in range(WIDE)]
     tiles = tiled.groupBy("cell", "tile").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.count_if("stray").alias("strays"), *wide)
     boxes = stored(tiles.select("cell", "tile", "least", "largest", "strays", F.array(*[f"g{g}" for g in range(WIDE)]).alias("box")), "boxes")
     side = lambda x: boxes.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in ("tile", "least", "largest", "strays", "box")])
     minima = F.aggregate(F.zip_with("box_i", "box_j", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     fits = (F.col("largest_j") * 100 >= F.col("least_i") * percent) & (F.col("largest_i") * 100 >= F.col("least_j") * percent) & (minima * (100 + percent) >= (F.col("least_i") + F.col("least_j")) * percent)
+    fits = fits & (F.col("tile_i") <= F.col("tile_j")) if once else fits
     pairs = stored(side("i").where("strays_i > 0").join(side("j"), "cell").where(fits).select("cell", F.col("tile_i").alias("i"), F.col("tile_j").alias("j")), "tilepairs")
     columns = ["cell", "i", "j", "id", "c", "n", "wide", "left"]
     left = tiled.where("stray").withColumn("i", F.col("tile")).join(pairs, ["cell", "i"]).withColumn("left", F.lit(True))
@@ -340,37 +345,61 @@ def _able(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate([none, *xs]), np.concatenate([none, *ys]), np.concatenate([none, *slack])
 
 
-def _active(percent: int):
+def _forest(percent: int):
+    """Of pairs that may be linked so many that they hold together what all hold together."""
+
     def work(t: pa.Table) -> pa.Table:
-        x, y, _ = _able(t, percent)
-        return t.take(pa.array(np.union1d(x, y))).select(["cell", "i", "j", "id", "left"])
+        ids, out, top = t["id"].to_numpy(), [], Roots()
+        for a, b in zip(*_able(t, percent)[:2], strict=True):
+            if top.joined(int(ids[a]), int(ids[b])):
+                out.append((int(ids[a]), int(ids[b])))
+        return _pairs(out)
 
     return work
 
 
 def _verified(percent: int):
+    """Links of full sets, as many as join the components of all."""
+
     def work(t: pa.Table) -> pa.Table:
         x, y, slack = _able(t, percent)
-        ids, c, sets = t["id"].to_numpy(), t["c"].to_numpy(), t["set"]
-        top: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            while top.get(v, v) != v:
-                v = top[v]
-            return v
-
-        out = []
+        ids, c, sets, out, top = t["id"].to_numpy(), t["c"].to_numpy(), t["set"], [], Roots()
         for at in np.argsort(-slack, kind="stable"):
             a, b = int(x[at]), int(y[at])
-            p, q = root(int(c[a])), root(int(c[b]))
-            if p != q and _linked(sets[a].as_py(), sets[b].as_py(), percent):
-                top[max(p, q)] = min(p, q)
+            if top.of(int(c[a])) != top.of(int(c[b])) and _linked(sets[a].as_py(), sets[b].as_py(), percent):
+                top.joined(int(c[a]), int(c[b]))
                 out.append((int(ids[a]), int(ids[b])))
-        return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+        return _pairs(out)
 
     return work
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+class Roots:
+    """Which numbers have been joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def of(self, v: int) -> int:
+        top = v
+        while (nxt := self.up.get(top, top)) != top:
+            top = nxt
+        while (nxt := self.up.get(v, v)) != top:
+            self.up[v], v = top, nxt
+        return top
+
+    def joined(self, a: int, b: int) -> bool:
+        """Whether they weren't joined before."""
+        a, b = self.of(a), self.of(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
