@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import json, retry, text
 from ..operators import batches, cache, catalog, dedup, envelope, log, prioritise, route, vector
 from ..session import status
-from ..sources import config, feeds
+from ..sources import config, feeds, segments
 from ..storage import delete_later, shared_dir
+from ..streaming import cache as cache_stream
 from ..streaming import ingest, prioritiser
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,6 +400,22 @@ def cache_ttl_hits(spark, sf_dir):
     return cache.ttl_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600)
 
 
+@query(ORACLE["cache_ttl_hits"])
+def cache_ttl_stream(spark, sf_dir):
+    """The same as running state: eighths of the time, a file each, come in two runs from one checkpoint."""
+    at, events = folder(spark, "cache"), table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.unix_micros(F.col("a").cast("timestamp")).alias("a"), F.unix_micros(F.col("b").cast("timestamp")).alias("b")).first()
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(span["a"])) * 8 / F.lit((span["b"] or 0) - (span["a"] or 0) + 1))
+    for i in range(8):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(f"{at}/requests")
+        if i in (4, 7):
+            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/requests")
+            answers = cache_stream.through(stream, "user_id", "ts", "event_id", 6 * 3600)
+            cache_stream.run(answers, f"{at}/answers", f"{at}/checkpoint").awaitTermination()
+    answers = spark.read.parquet(f"{at}/answers")
+    return answers.groupBy(F.col("key").alias("user_id")).agg(F.count_if("cached").alias("hits"), F.count_if(~F.col("cached")).alias("misses"))
+
+
 @query("SELECT user_id::VARCHAR AS key, arg_max(props, (ts, props)) AS value FROM events GROUP BY 1")
 def cache_latest(spark, sf_dir):
     """K8: views fill the cache, then all other events; the latest value of a key stays."""
@@ -601,6 +618,50 @@ def prioritised_stream(spark, sf_dir):
     return spark.read.parquet(f"{at}/out/prioritised").select("rank", "stream", "id_ms")
 
 
+@query(f"""WITH t AS (SELECT event_type AS stream, event_id AS id_ms, ({_PRIORITY.format(_map('event_type', TYPES, "'other'"))})::DOUBLE AS p, event_id % 9 = 0 AS bad,
+  (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 10 AS poll FROM events)
+SELECT poll::INTEGER AS poll, row_number() OVER (PARTITION BY poll ORDER BY p, stream, id_ms)::BIGINT AS rank, stream, id_ms FROM t WHERE poll < 3 AND NOT bad""")
+def admitted_polls(spark, sf_dir):
+    """Three polls of ten rows of each stream, each a run of its own from one checkpoint; corrupt rows count, and go to dead letters."""
+    at = folder(spark, "polls")
+    segments.append(_stream_log(spark, sf_dir), f"{at}/log")
+    for _ in range(3):
+        prioritiser.run(segments.polls(spark, f"{at}/log", "prioritisers", 10), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out/prioritised").select(F.col("batch").alias("poll"), "rank", "stream", "id_ms")
+
+
+@query("SELECT event_type AS stream, event_id AS id_ms FROM events")
+def log_commits(spark, sf_dir):
+    """Thirds of the events are appended by two writers; the second dies in the middle and is tried again, the last third comes twice."""
+    rows, path = _stream_log(spark, sf_dir), f"{folder(spark, 'commits')}/log"
+    top = table(spark, sf_dir, "events").agg(F.max("event_id").alias("m")).first()["m"] or 0
+    third = lambda i: rows.where((F.col("id_ms") * 3 > top * i) & (F.col("id_ms") * 3 <= top * (i + 1)) | (F.lit(i == 0) & (F.col("id_ms") <= 0)))
+    segments.append(third(0), path, "a", 0)
+    fails = F.when(F.col("id_ms") == top * 2 // 3, F.raise_error(F.lit("dies")).cast("string")).otherwise(F.col("payload"))
+    try:
+        segments.append(third(1).withColumn("payload", fails), path, "b", 0)
+    except Exception as e:
+        if "dies" not in str(e):
+            raise
+    segments.append(third(1), path, "b", 0)
+    for _ in range(2):
+        segments.append(third(2), path, "a", 1)
+    return segments.rows(spark, path).select("stream", "id_ms")
+
+
+@query("""WITH t AS (SELECT event_type AS stream, event_id AS id_ms, event_id * 8 // ((SELECT max(event_id) FROM events) + 1) AS batch FROM events),
+later AS (SELECT stream, batch, (SELECT count(*) FROM t y WHERE y.stream = x.stream AND y.batch > x.batch) AS n FROM t x GROUP BY stream, batch)
+SELECT t.stream, id_ms FROM t JOIN later USING (stream, batch) WHERE n < 200""")
+def retention_segments(spark, sf_dir):
+    """Of eight appended batches the oldest segments of each stream go, as long as 200 rows stay; payloads are not read for it."""
+    rows, path = _stream_log(spark, sf_dir), f"{folder(spark, 'segments')}/log"
+    top = table(spark, sf_dir, "events").agg(F.max("event_id").alias("m")).first()["m"] or 0
+    for i in range(8):
+        segments.append(rows.where(F.floor(F.col("id_ms") * 8 / (top + 1)) == i), path, by_stream=True)
+    segments.trimmed(path, 200)
+    return segments.rows(spark, path).select("stream", "id_ms")
+
+
 @query("""
 WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL AND url <> ''),
 d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM p)

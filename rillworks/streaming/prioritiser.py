@@ -14,7 +14,6 @@ from ..functions import json
 from ..functions.retry import Policy
 from ..operators.batches import with_position
 from ..operators.envelope import corrupt
-from ..operators.log import take_per_stream
 from ..operators.prioritise import kind_of, priority
 from ..schemas import LOG
 from ..storage import scope
@@ -40,11 +39,12 @@ def prioritise(rows: DataFrame, batch_id: int, out: str, type_path: str = "$.hea
     corrupt(rows).write.mode("overwrite").parquet(f"{out}/dead_letter/batch={batch_id}")
 
 
-def run(stream: DataFrame, out: str, checkpoint: str, type_path: str = "$.header.type", per_stream: int | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """per_stream: rows of a stream that one batch may hold, None for all (a file source hands on whole files). trigger: ONCE, if not given."""
+def run(stream: DataFrame, out: str, checkpoint: str, type_path: str = "$.header.type", trigger: dict | None = None) -> StreamingQuery:
+    """stream: of ``merged`` (whole files) or of ``sources.segments.polls``, which admits so many rows of each stream and leaves the rest to the next
+    batch: what a batch gets is published or put aside, all of it. trigger: ONCE, if not given, which is one poll."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        prioritise(df if per_stream is None else take_per_stream(df, per_stream), batch_id, out, type_path)
+        prioritise(df, batch_id, out, type_path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
