@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -80,9 +80,9 @@ def replay(flags: DataFrame, letters: str, losses: dict[str, str]) -> DataFrame:
         **{name: gone & F.col(column) for name, column in losses.items()},
     }
     counted = met.groupBy("part", "number", "pos", "bit").agg(*[F.count_if(c).alias(name) for name, c in sums.items()])
-    shares = counted.groupBy("part", "bit").agg(F.sum("removed").alias("shapley"))
     names = F.element_at(F.array(*map(F.lit, orders)), F.col("number") + 1)
-    return counted.join(shares, ["part", "bit"]).select("part", names.alias("filter_order"), (F.col("pos") + 1).alias("step"), *sums, "shapley")
+    share = F.sum("removed").over(Window.partitionBy("part", "bit"))  # over the orders, once for each
+    return counted.select("part", names.alias("filter_order"), (F.col("pos") + 1).alias("step"), *sums, share.alias("shapley"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
