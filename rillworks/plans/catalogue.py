@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json, retry, text
-from ..operators import batches, cache, catalog, dedup, envelope, log, prioritise, route, vector
+from ..operators import batches, cache, catalog, dedup, envelope, group_state, log, pages, prioritise, route, sample, text_index, vector, vector_index
 from ..session import status
 from ..sources import config, feeds, segments
 from ..storage import delete_later, shared_dir
@@ -370,6 +370,29 @@ def undelivered(spark, sf_dir):
     return log.undelivered(rows, given, "g", divmod(top // 2, 4))
 
 
+def _deltas(spark, sf_dir):
+    """The group's state after ten deltas by id; what is acknowledged is so one delta after it was given."""
+    rows, given, acks, top = _group(spark, sf_dir)
+    state = group_state.GroupState(spark, folder(spark, "groups"))
+    of = lambda df: F.least(F.lit(9), F.floor((df["id_ms"] * 4 + df["id_seq"]) * 10 / F.lit(top + 1)))
+    for i in range(10):
+        done = F.least(F.lit(9), of(acks) + 1)
+        state.apply(i, given.where(of(given) == i), acks.where(done == i), rows.where(of(rows) == i))
+    return state
+
+
+@query(ORACLE["group_lag"])
+def group_lag_deltas(spark, sf_dir):
+    """The same report from a state that deltas keep up."""
+    return _deltas(spark, sf_dir).summary()
+
+
+@query(f"WITH {_GIVEN} SELECT stream, 'g' AS group_name, 'c' || (user_id % 3) AS consumer, id_ms, id_seq FROM d WHERE event_id % {UNACKED} = 0")
+def pending_deltas(spark, sf_dir):
+    """All that waits, from a state that deltas keep up."""
+    return _deltas(spark, sf_dir).pending().select("stream", "group_name", "consumer", "id_ms", "id_seq")
+
+
 @query("SELECT page_id, 'analysis:' || sha256(url) AS key FROM pages")
 def cache_key(spark, sf_dir):
     """SC2."""
@@ -498,6 +521,24 @@ def articles_page(spark, sf_dir):
     return catalog.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderdate", "o_orderkey", 20, 40, "o_orderstatus", "O")
 
 
+@query(ORACLE["articles_page"])
+def articles_page_kept(spark, sf_dir):
+    """The same page of a table kept in order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return pages.Pages.build(orders, folder(spark, "pages"), "o_orderdate", "o_orderkey", "o_orderstatus").page(20, 40, "O")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS i FROM orders), h AS (SELECT count(*) // 2 AS h FROM orders)
+SELECT o_orderkey, o_orderdate FROM r, h WHERE i > h AND i <= h + 40""")
+def articles_page_deep(spark, sf_dir):
+    """Twenty rows from the middle on, and the twenty after the last of them by its time and key."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    kept = pages.Pages.build(orders, folder(spark, "pages"), "o_orderdate", "o_orderkey")
+    one = kept.page(20, orders.count() // 2)
+    last = one.agg(F.min_by(F.struct("o_orderdate", "o_orderkey"), F.struct("o_orderdate", -F.col("o_orderkey"))).alias("m")).first()["m"]
+    return one.unionAll(kept.after(20, (last["o_orderdate"], last["o_orderkey"])))
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
 def article_by_id(spark, sf_dir):
     """Equality with the id."""
@@ -565,6 +606,40 @@ def similar_lists(spark, sf_dir):
     return vector.Lists(rows, 16).search(rows.where("vec_id % 100 = 0"), 10, 8, exact=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(ORACLE["similar_topk"])
+def similar_index(spark, sf_dir):
+    """By the stored index, whose cells grow with the vectors; bounds decide which partitions are read after the nearest ones."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vector_index.Index.build(rows, folder(spark, "vectors"))
+    return index.search(rows.where("vec_id % 100 = 0"), 10, exact=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("SELECT count(*)::BIGINT AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def similar_recall(spark, sf_dir):
+    """Without bounds, by the probes that were measured when the index was built: whether at least 0.9 of the ten nearest by brute force are found."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0")
+    found = vector_index.Index.build(rows, folder(spark, "vectors")).search(asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    best = vector.similar(asked, rows, 10).join(found, ["query_id", "id"], "left")
+    return best.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query(ORACLE["article_search"])
+def article_search_index(spark, sf_dir):
+    """The same search by trigrams."""
+    docs = table(spark, sf_dir, "documents")
+    found = text_index.TextIndex.build(docs, folder(spark, "texts"), "doc_id", ["text", "source"]).search("LICENSE")
+    return docs.select("doc_id", "lang").join(found, "doc_id", "left_semi")
+
+
+@query("WITH q AS (SELECT upper(substr(text, 20, 40)) AS q FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE length(text) > 100)) SELECT doc_id FROM documents, q WHERE contains(lower(text), lower(q))")
+def article_search_passage(spark, sf_dir):
+    """A passage of one document, which few have: a fraction of the texts is read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where(F.char_length("text") > 100).select(F.min(F.struct("doc_id", F.upper(F.substring("text", 20, 40)).alias("q"))).alias("m")).first()["m"]["q"]
+    return text_index.TextIndex.build(docs, folder(spark, "texts"), "doc_id", ["text"]).search(asked)
+
+
 @query("SELECT least(5, count(DISTINCT user_id))::BIGINT AS n, least(5, count(DISTINCT user_id))::BIGINT AS distinct_n, least(5, count(DISTINCT user_id))::BIGINT AS members FROM events")
 def random_members(spark, sf_dir):
     """Five members by chance; how many, how many distinct, how many of them in the set."""
@@ -573,6 +648,12 @@ def random_members(spark, sf_dir):
     return found.join(users.distinct().withColumn("member", F.lit(1)), "user_id", "left").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("distinct_n"), F.count("member").alias("members"))
 
 
+@query("SELECT user_id AS member FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5('1-' || user_id) LIMIT 7")
+def sample_members(spark, sf_dir):
+    """Seven distinct members, those with the smallest hashes."""
+    return sample.bottom_k(table(spark, sf_dir, "events"), "user_id", 7, 1).select("member")
+
+
 @query("SELECT i AS attempt, true AS within FROM range(1, 5) t(i)")
 def backoff_jitter(spark, sf_dir):
     """SC9 with jitter, which is a second either way."""
@@ -618,6 +699,20 @@ def prioritised_stream(spark, sf_dir):
     return spark.read.parquet(f"{at}/out/prioritised").select("rank", "stream", "id_ms")
 
 
+@query("""WITH p AS (SELECT DISTINCT url, page_id * 10 // ((SELECT max(page_id) FROM pages) + 1) AS cycle FROM pages WHERE url IS NOT NULL AND url <> ''),
+f AS (SELECT url, min(cycle) AS first FROM p GROUP BY url)
+SELECT cycle::BIGINT AS cycle, count(*) FILTER (WHERE cycle = first)::BIGINT AS new, count(*) FILTER (WHERE cycle > first)::BIGINT AS seen, count(*)::BIGINT AS total FROM p JOIN f USING (url) GROUP BY cycle""")
+def seen_levels(spark, sf_dir):
+    """Ten cycles over the pages, by a seen set in levelled parts with filters, two of which are merged on the way."""
+    at, pages = folder(spark, "levels"), table(spark, sf_dir, "pages")
+    top = pages.agg(F.max("page_id").alias("m")).first()["m"] or 0
+    articles = pages.select(F.lit(0).alias("feed_idx"), F.col("page_id").cast("int").alias("entry_idx"), F.col("url").alias("link"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("source"), "page_id")
+    seen = ingest.SeenSet(spark, f"{at}/seen")
+    for i in range(10):
+        ingest.cycle(articles.where(F.floor(F.col("page_id") * 10 / (top + 1)) == i).drop("page_id"), i, i * 3600, seen, f"{at}/log")
+    return spark.read.parquet(f"{at}/log-stats").select(F.col("batch_id").alias("cycle"), "new", "seen", "total").where("total > 0")
+
+
 @query(f"""WITH t AS (SELECT event_type AS stream, event_id AS id_ms, ({_PRIORITY.format(_map('event_type', TYPES, "'other'"))})::DOUBLE AS p, event_id % 9 = 0 AS bad,
   (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 10 AS poll FROM events)
 SELECT poll::INTEGER AS poll, row_number() OVER (PARTITION BY poll ORDER BY p, stream, id_ms)::BIGINT AS rank, stream, id_ms FROM t WHERE poll < 3 AND NOT bad""")

@@ -2,61 +2,28 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import TTL_S, first_wins, unseen, with_link
+from ..operators.dedup import first_wins, with_link
 from ..operators.envelope import envelopes, payloads
-from ..schemas import SEEN
-from ..storage import children, path_of
-
-
-class SeenSet:
-    """Versions of a set of links and when it expires. A batch reads the latest version before its own and writes its own, so that a batch run
-    again starts from the same state. The set dies as a whole, ttl_s after the last batch that added to it."""
-
-    def __init__(self, spark: SparkSession, path: str, ttl_s: int = TTL_S):
-        self.spark, self.path, self.ttl_s = spark, path, ttl_s
-
-    def _before(self, batch_id: int) -> int | None:
-        found = [int(n.partition("=")[2]) for n in children(self.spark, f"{self.path}/meta") if n.startswith("batch=")]
-        return max((n for n in found if n < batch_id), default=None)
-
-    def expires(self, batch_id: int) -> int | None:
-        version = self._before(batch_id)
-        if version is None:
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/meta/batch={version}").first()["value"])["expires_at"]
-
-    def alive(self, batch_id: int, now_s: int) -> DataFrame:
-        """Items, none if the set has expired at that time (the boundary is expired)."""
-        version, until = self._before(batch_id), self.expires(batch_id)
-        if version is None or now_s >= until:
-            return self.spark.createDataFrame([], SEEN)
-        return self.spark.read.schema(SEEN).parquet(*[f"{self.path}/items/batch={n}" for n in self._since(version)])
-
-    def _since(self, version: int) -> list[int]:
-        return json.loads(self.spark.read.text(f"{self.path}/meta/batch={version}").first()["value"])["parts"]
-
-    def add(self, items: DataFrame, batch_id: int, now_s: int) -> None:
-        """Only what is new is written; the version lists the parts that make the set."""
-        items.write.mode("overwrite").parquet(f"{self.path}/items/batch={batch_id}")
-        version, until = self._before(batch_id), self.expires(batch_id)
-        parts = [] if version is None or now_s >= until else self._since(version)
-        meta = json.dumps({"expires_at": now_s + self.ttl_s, "parts": [*parts, batch_id]})
-        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta/batch={batch_id}")
+from ..storage import scope
+from .seen import SeenSet
 
 
 def cycle(articles: DataFrame, batch_id: int, now_s: int, seen: SeenSet, log_path: str, publish=None) -> dict[str, int]:
     """Filter, first-wins distinct, anti-join, envelopes, publish, mark seen. Returns the cycle's counts; nothing is written if nothing is new."""
+    with scope():
+        return _cycle(articles, batch_id, now_s, seen, log_path, publish)
+
+
+def _cycle(articles: DataFrame, batch_id: int, now_s: int, seen: SeenSet, log_path: str, publish) -> dict[str, int]:
     spark = articles.sparkSession
     distinct = first_wins(with_link(articles), "link", ["feed_idx", "entry_idx"]).persist()
     try:
         total = distinct.count()
-        fresh = unseen(distinct, seen.alive(batch_id, now_s), "link").persist()
+        fresh = seen.unseen(distinct, "link", batch_id, now_s).persist()
         try:
             new = fresh.count() if total else 0
             if new:
