@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +43,16 @@ def ttl_hits(df: DataFrame, key: str, ts: str, order: str, ttl_s: int = TTL_S) -
     def fold(batches):
         now, last, hits, misses, started = None, None, 0, 0, False
         for b in batches:
-            keys, times = b.column(0).to_pylist(), b.column(1).to_numpy()
-            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            ends = pc.run_end_encode(b.column(0))  # equal keys stand together
+            keys, times = ends.values.to_pylist(), b.column(1).to_numpy()
+            edges = [0, *ends.run_ends.to_pylist()]
             done: list[list] = [[], [], []]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if lo == hi:
-                    continue
-                if not started or keys[lo] != now:
+            for key, lo, hi in zip(keys, edges, edges[1:], strict=False):
+                if not started or key != now:
                     if started:
                         for column, x in zip(done, (now, hits, misses), strict=True):
                             column.append(x)
-                    now, last, hits, misses, started = keys[lo], None, 0, 0, True
+                    now, last, hits, misses, started = key, None, 0, 0, True
                 own, at, missed = times[lo:hi], 0, 0
                 while True:
                     if last is not None:

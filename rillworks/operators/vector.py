@@ -10,8 +10,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to every task at once; more are taken by a shuffle of blocks.
-MAX_BROADCAST = 10_000
+#: Bytes of queries that are sent to every task at once; more are taken by a shuffle of blocks of that size.
+MAX_BROADCAST = 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,17 +26,17 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def similar(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, similarity, rank: for each query its k most similar other vectors, ties to smaller ids. Exact.
 
-    The queries' number is checked: up to MAX_BROADCAST they go to every task; beyond, blocks of queries meet deals of vectors, twice as many pairs as there are shuffle partitions.
+    The queries' bytes are checked: up to MAX_BROADCAST they go to every task; beyond, blocks of queries meet deals of vectors, twice as many pairs as there are shuffle partitions.
     Norms are worked out once a vector; each task keeps k rows a query.
     """
     norm = F.nullif(F.sqrt(dot(F.col(vector), F.col(vector))), F.lit(0.0))
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), norm.alias("_qn"))
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), norm.alias("_vn"))
-    n = q.count()
-    if n <= MAX_BROADCAST:
+    size = q.agg(F.sum(F.coalesce(F.size("_q"), F.lit(0)) * 8 + 32).alias("b")).first()["b"] or 0
+    if size <= MAX_BROADCAST:
         pairs = v.crossJoin(F.broadcast(q))
     else:
-        blocks = -(-n // MAX_BROADCAST)
+        blocks = -(-size // MAX_BROADCAST)
         deals = max(1, -(-2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
         dealt = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
         every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))

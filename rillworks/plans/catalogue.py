@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from json import dumps as json_text
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,15 +75,44 @@ f AS (SELECT *, host || '#' || (page_id // 50) AS feed_url, (page_id // 50) % 7
 SELECT feed_url AS source, (row_number() OVER (PARTITION BY feed_url ORDER BY page_id) - 1)::INTEGER AS entry_idx, trim(url) AS link, page_id::VARCHAR AS title, NULL::VARCHAR AS summary FROM f WHERE NOT broken""")
 def feed_articles(spark, sf_dir):
     """RSS texts of at most fifty pages of a host are parsed; every seventh is cut short, and none of its entries come."""
-    page = table(spark, sf_dir, "pages").where("url is not null and trim(url) <> ''").withColumn("part", F.floor(F.col("page_id") / 50))
+    bodies = _feeds(table(spark, sf_dir, "pages"))
+    bodies = bodies.select("feed_url", F.when(F.col("part") % 7 == 3, F.substring_index("body", "nel></rss>", 1)).otherwise(F.col("body")).alias("body"))
+    listed = bodies.select(F.lit(0).alias("feed_idx"), "feed_url")
+    return feeds.scan(listed, bodies).drop("feed_idx")
+
+
+def _feeds(pages):
+    """feed_url, part, body: an RSS text for at most fifty pages of a host."""
+    page = pages.where("url is not null and trim(url) <> ''").withColumn("part", F.floor(F.col("page_id") / 50))
     escaped = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     item = F.concat(F.lit("<item><link>"), escaped, F.lit("</link><title>"), F.col("page_id").cast("string"), F.lit("</title></item>"))
     feed = F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("#"), F.col("part").cast("string"))
     items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), "")
     bodies = page.groupBy(feed.alias("feed_url"), "part").agg(items.alias("items"))
-    bodies = bodies.select("feed_url", F.concat(F.lit("<rss><channel>"), "items", F.when(F.col("part") % 7 == 3, "</chan").otherwise("</channel></rss>")).alias("body"))
-    listed = bodies.select(F.lit(0).alias("feed_idx"), "feed_url")
-    return feeds.scan(listed, bodies).drop("feed_idx")
+    return bodies.select("feed_url", "part", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("body"))
+
+
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL AND trim(url) <> ''),
+f AS (SELECT *, host || '#' || (page_id // 50) AS feed, (page_id // 50) % 7 = 3 AS broken FROM p)
+SELECT CASE WHEN broken THEN 1 ELSE 0 END::INTEGER AS poll, (row_number() OVER (PARTITION BY feed ORDER BY page_id) - 1)::INTEGER AS entry_idx, trim(url) AS link, page_id::VARCHAR AS title FROM f""")
+def feed_polls(spark, sf_dir):
+    """Feeds of at most fifty pages of a host as files, polled by the source as a stream; every seventh is cut short at the first poll and read
+    again at the second, when it is whole and the others haven't changed."""
+    at = folder(spark, "feeds")
+    bodies = _feeds(table(spark, sf_dir, "pages")).withColumn("file", F.md5("feed_url")).drop("feed_url")
+    written = lambda rows: rows.select("file", F.col("body").alias("value")).repartition("file").write.mode("overwrite").partitionBy("file").text(f"{at}/written")
+    cut = F.when(F.col("part") % 7 == 3, F.substring_index("body", "nel></rss>", 1)).otherwise(F.col("body"))
+    for poll in range(2):
+        written(bodies.withColumn("body", cut) if poll == 0 else bodies)
+        texts = spark.read.schema("value string, file string").option("wholetext", True).text(f"{at}/written")
+        texts.foreachPartition(lambda rows, root=f"{at}/files": feeds.keep_files(root, ((r["file"], r["value"]) for r in rows)))
+        urls = [f"{at}/files/{r['file']}" for r in texts.select("file").distinct().orderBy("file").collect()]
+        spark.dataSource.register(feeds.FeedSource)
+        stream = spark.readStream.format("feeds").option("urls", json_text(urls)).option("state", f"{at}/state").load()
+        keep = lambda df, batch: df.write.mode("overwrite").parquet(f"{at}/polled/poll={batch}")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/polled").select("poll", "entry_idx", "link", "title")
 
 
 @query("SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")

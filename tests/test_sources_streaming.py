@@ -175,3 +175,40 @@ def test_host_sample(spark):
     row = metrics.sys_stats(spark, lambda: sample).first()
     assert row["cpu"]["percent"] == 10.0 and row["cpu"]["physical_cores"] == 1 and row["memory"]["ram"]["used"] == 6144.0 and row["network"]["bytes_sent"] == 7
     assert metrics.sys_stats(spark, lambda: metrics.host(0.01)).first()["memory"]["ram"]["total"] > 0
+
+
+def test_feed_polls(spark, tmp_path):
+    """Unchanged feeds are not read again, malformed ones are at each poll, missing ones once they are there."""
+    spark.dataSource.register(feeds.FeedSource)
+    urls = [str(tmp_path / n) for n in ("good", "bad", "missing", "shared")]
+
+    def put_feed(name, *links, end="</channel></rss>"):
+        (tmp_path / name).write_text("<rss><channel>" + "".join(ITEM.format(x) for x in links) + end)
+
+    def poll():
+        stream = spark.readStream.format("feeds").option("urls", json.dumps(urls)).option("state", str(tmp_path / "state")).load()
+        found = []
+        stream.writeStream.foreachBatch(lambda df, batch: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+        return {(r["feed_idx"], r["link"]) for r in found}
+
+    put_feed("good", "http://x/1", "http://x/2")
+    put_feed("bad", "http://x/3", end="<oops>")
+    put_feed("shared", "http://x/1")
+    assert poll() == {(0, "http://x/1"), (0, "http://x/2"), (3, "http://x/1")}
+    assert poll() == set()  # the malformed one is read again, and still is
+    put_feed("bad", "http://x/3", "http://x/4")
+    put_feed("missing", "http://x/5")
+    assert poll() == {(1, "http://x/3"), (1, "http://x/4"), (2, "http://x/5")}
+    assert poll() == set()
+
+
+def test_a_feed_that_failed_counts_as_changed(tmp_path):
+    (tmp_path / "bad").write_text("<oops>")
+    polls = feeds.FeedPolls([str(tmp_path / "bad")], feeds.read_file, feeds.file_version, str(tmp_path / "state"))
+    start = polls.initialOffset()
+    for _ in range(3):
+        end = polls.latestOffset()
+        parts = polls.partitions(start, end)
+        assert len(parts) == 1 and list(polls.read(parts[0])) == [] and list(polls.read(parts[0])) == []  # a task that is tried again marks once
+        start = end
+    assert len(polls.log.names(polls._marks(str(tmp_path / "bad")))) == 3

@@ -31,3 +31,16 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         storage.shared_dir(Session())
+
+
+@pytest.mark.parametrize(("master", "folder", "refused"), [("spark://host:7077", "file:{cwd}/spark-warehouse", True), ("spark://host:7077", None, True), ("yarn", "hdfs://x/warehouse", False), ("local-cluster[2,1,1024]", "/shared/warehouse", False), ("local[4]", "file:{cwd}/spark-warehouse", False)])
+def test_no_table_in_a_folder_of_the_driver(master, folder, refused):
+    import os
+
+    found = folder and folder.format(cwd=os.getcwd())
+    session = type("Session", (), {"conf": type("Conf", (), {"get": lambda self, key, default: found})(), "sparkContext": type("Context", (), {"master": master})()})()
+    if refused:
+        with pytest.raises(ValueError, match="warehouse"):
+            storage.shared_warehouse(session)
+    else:
+        assert storage.shared_warehouse(session) == found
