@@ -12,10 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from .text import TAB, coloured, indented
 
 
-def shown(df: DataFrame, column: str, by: str = TAB, colour: str | None = None) -> DataFrame:
-    """``shown``: the texts with each line indented, in a colour if one is given."""
+def shown(df: DataFrame, column: str, by: str = TAB, colour: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``shown``: the texts with each line indented, in a colour if one is given; and the columns to be kept."""
     text = indented(F.col(column), by)
-    return df.select((coloured(text, colour) if colour else text).alias("shown"))
+    return df.select(*keep, (coloured(text, colour) if colour else text).alias("shown"))
 
 
 def write(df: DataFrame, column: str, by: str = TAB, colour: str | None = None, out: TextIO | None = None) -> int:

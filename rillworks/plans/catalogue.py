@@ -13,7 +13,7 @@ from json import dumps as json_text
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import json, retry, text
+from ..functions import console, json, retry, text
 from ..operators import batches, cache, catalog, dedup, envelope, group_state, log, pages, prioritise, route, sample, text_index, vector, vector_index
 from ..session import status
 from ..sources import config, feeds, segments
@@ -522,7 +522,7 @@ def colour_wrap(spark, sf_dir):
 def console_lines(spark, sf_dir):
     """K9: what a console would show of texts whose last line does not end."""
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.regexp_replace("text", "\n+$", ""), F.lit("x")).alias("text"))
-    return rows.select("doc_id", text.coloured(text.indented(F.col("text"), "> "), "yellow").alias("shown"))
+    return console.shown(rows, "text", "> ", "yellow", ("doc_id",))
 
 
 @query("SELECT event_id, regexp_extract_all('at 10.' || event_id % 300 || '.' || user_id || '.7, 1.2.3 or 192.168.0.' || event_id % 10 || ' v1.2.3.4.', '\\b([0-9]{1,3}(?:\\.[0-9]{1,3}){3})\\b', 1) AS found FROM events")
