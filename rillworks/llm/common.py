@@ -197,5 +197,7 @@ def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             for at in (b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()):
                 hit &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             yield b.filter(pa.array(hit)).select(range(b.num_columns - 2))
+        b = None
+        release()
 
     return df.select("*", *[p.alias(f"_place{i}") for i, p in enumerate(places())]).mapInArrow(may, df.schema)

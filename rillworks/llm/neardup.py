@@ -11,10 +11,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, map_arrow, mix, runs, stored, table, worker_path
+from .common import Words, among, map_arrow, mix, runs, stored, table, worker_path
 
 #: Registers in a band and bands: of pairs that are 0.8 alike, (1 - 0.8 ** 6) ** 40, 5 in a million, share no band.
 ROWS, BANDS = 6, 40
@@ -29,8 +29,6 @@ SKETCH_BYTES = 2 << 20
 BLOCK, BLOCK_BYTES = 1_024, 64 << 20
 #: How many bands more a bucket is split by, before what is left of it is compared block by block.
 DEPTH = 3
-#: Bits of the filter that spares most documents outside any candidate pair a shuffle; past some 10 million such documents it lets all through.
-FILTER_BITS = 1 << 24
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,56 +135,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.distinct(), "edges")
 
 
-class Bloom:
-    """Ids, with false hits but no false misses; two bits each."""
-
-    def __init__(self, ids: DataFrame, key: str):
-        def mark(batches):
-            bits = np.zeros(FILTER_BITS, bool)
-            for b in batches:
-                for place in self.places(b.column(0).to_numpy()):
-                    bits[place] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
-
-        def either(batches):
-            total = np.zeros(FILTER_BITS // 8, np.uint8)
-            for b in batches:
-                for x in b.column(0):
-                    total |= np.frombuffer(x.as_py(), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["bits"])
-
-        worker_path(ids.sparkSession)
-        found = ids.select(F.xxhash64(key).alias("h")).coalesce(8).mapInArrow(mark, "bits binary").coalesce(1).mapInArrow(either, "bits binary").collect()
-        self.bits = np.frombuffer(found[0]["bits"], np.uint8) if found else np.zeros(FILTER_BITS // 8, np.uint8)
-
-    @staticmethod
-    def places(h: np.ndarray) -> list[np.ndarray]:
-        h = h.view(np.uint64)
-        return [(h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)]
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(h), bool)
-        for place in self.places(h):
-            hit &= (self.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-        return hit
-
-
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set) of the documents (id, t) among ids (id): shingles as sorted 64-bit integers."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(Bloom(ids, "id").bits)
-
-    def among(batches):
-        bloom = Bloom.__new__(Bloom)
-        bloom.bits = sent.value
-        for b in batches:
-            yield b.filter(pa.array(bloom.has(b.column(2).to_numpy()))).select(["id", "t"])
-
+    """(id, set) of the documents (id, t) among ids (id, distinct): shingles as sorted 64-bit integers."""
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, first = shingles(batch.column(0), k)
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array([values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], names=["id", "set"])
 
-    few = docs.where("id is not null").select("id", "t", F.xxhash64("id").alias("h")).mapInArrow(among, "id long, t string").join(ids, "id", "left_semi")
+    few = among(docs.where("id is not null").select("id", "t"), ids, "id").join(ids, "id", "left_semi")
     return map_arrow(few.select("t", "id"), cut, "id long, set binary").groupBy("id").agg(F.min("set").alias("set"))
 
 
@@ -293,6 +248,9 @@ def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFram
     rest = stored(rest.drop("n", "size").join(weights, "band"), "weighed")
     large = rest.where("blocks > 1")
     last = depth == DEPTH or large.isEmpty()
+    # A member of small buckets alone meets all whom it shares a bucket with in the first of them; others may share a large one first, which is split.
+    small = F.lit(last) if last or depth else F.max("blocks").over(Window.partitionBy("id")) == 1
+    rest = stored(rest.withColumn("small", small), "sided") if not last and not depth else rest.withColumn("small", small)
     links = stored(links.unionAll(_compared(docs, nodes, rest if last else rest.where("blocks = 1"), depth == 0, k, percent)), "links")
     if last:
         return components(links)
@@ -309,16 +267,16 @@ def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFram
 
 
 def _compared(docs: DataFrame, nodes: DataFrame, rest: DataFrame, first_shared: bool, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between rows (band, id, c, stray, blocks) of a band that are in different components c, as many as join these: strays against
-    all, block by block. first_shared: a pair that shares several bands is looked at in the first of them."""
+    """Links (a, b) between rows (band, id, c, stray, blocks, small) of a band that are in different components c, as many as join these: strays against
+    all, block by block. first_shared: a pair that shares several bands is looked at in the first of them, if one of the two is in small buckets alone."""
     sets = stored(_sets(docs, rest.select("id").distinct(), k).join(nodes, "id"), "restsets")
     own = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    strays = own.where("stray").select("band", F.col("block").alias("i"), every.alias("j"), "id", "c", F.lit(True).alias("s"))
-    others = own.select("band", every.alias("i"), F.col("block").alias("j"), "id", "c", F.lit(False).alias("s"))
+    strays = own.where("stray").select("band", F.col("block").alias("i"), every.alias("j"), "id", "c", "small", F.lit(True).alias("s"))
+    others = own.select("band", every.alias("i"), F.col("block").alias("j"), "id", "c", "small", F.lit(False).alias("s"))
     # Blocks of strays that are not there need no partner.
     others = others.join(stored(strays.select("band", "i").distinct(), "blocks"), ["band", "i"], "left_semi")
-    rows = strays.unionByName(others).join(sets, "id").select("band", "i", "j", "id", "c", "s", "n", "sketch", "set")
+    rows = strays.unionByName(others).join(sets, "id").select("band", "i", "j", "id", "c", "small", "s", "n", "sketch", "set")
 
     def compare(t: pa.Table) -> pa.Table:
         s = t["s"].to_numpy()
@@ -328,8 +286,10 @@ def _compared(docs: DataFrame, nodes: DataFrame, rest: DataFrame, first_shared:
         here = int(np.flatnonzero((keys == np.int64(t["band"][0].as_py()).astype(np.uint64)).any(0))[0]) if len(ids) and first_shared else 0
         left, right = np.flatnonzero(s), np.flatnonzero(~s)
         able = (ids[left][:, None] != ids[right]) & (c[left][:, None] != c[right])
+        small = t["small"].to_numpy()
+        alone = small[left][:, None] | small[right]
         for band in range(here):
-            able &= keys[left, band][:, None] != keys[right, band]
+            able &= ~alone | (keys[left, band][:, None] != keys[right, band])
         able &= np.minimum(n[left][:, None], n[right]) * 100 >= percent * np.maximum(n[left][:, None], n[right])
         x, y = np.nonzero(able)
         close, xs, ys = [], [], []
