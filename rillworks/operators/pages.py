@@ -66,13 +66,17 @@ class Pages:
         return self._slices(self.parts(limit, offset, status))
 
     def after(self, limit: int, cursor: tuple | None = None, status: str | None = None) -> DataFrame:
-        """The page after a row, given by its time and key, whether or not it is still there; None for the first page."""
+        """The page after a row, given by its time (which may be None) and key, whether or not it is still there; None for the first page."""
         ranges = self._ranges(status)
         if cursor is None:
             return self.page(limit, 0, status)
         by, key = F.col(self.meta["by"]), F.col(self.meta["key"])
-        beyond = (by < F.lit(cursor[0])) | by.isNull() | (by == F.lit(cursor[0])) & (key > F.lit(cursor[1]))
-        ahead = lambda r: r["by"] is not None and (r["by"] > cursor[0] or r["by"] == cursor[0] and r["key"] <= cursor[1])
+        if cursor[0] is None:
+            beyond = by.isNull() & (key > F.lit(cursor[1]))
+            ahead = lambda r: r["by"] is not None or r["key"] <= cursor[1]
+        else:
+            beyond = (by < F.lit(cursor[0])) | by.isNull() | (by == F.lit(cursor[0])) & (key > F.lit(cursor[1]))
+            ahead = lambda r: r["by"] is not None and (r["by"] > cursor[0] or r["by"] == cursor[0] and r["key"] <= cursor[1])
         start = max(0, sum(map(ahead, ranges)) - 1)
         read, left = [], limit
         for i, r in enumerate(ranges[start:]):  # of the first one any number of rows may be beyond

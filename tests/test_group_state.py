@@ -80,9 +80,8 @@ def test_kept_pages_are_offset_and_limit(spark, tmp_path, monkeypatch, status):
         assert [tuple(r) for r in kept.page(limit, offset, value).collect()] == own[offset : offset + limit]
         assert len(kept.parts(limit, offset, value)) <= limit // 20 + 2
     at, cursor = 0, None
-    while at < len(own) and (cursor is None or cursor[0] is not None):
+    while at < len(own):
         found = [tuple(r) for r in kept.after(60, cursor, value).collect()]
         assert found == own[at : at + 60]
         at, cursor = at + 60, (found[-1][1], found[-1][0])
-    assert at > 300 or status
     assert [tuple(r) for r in kept.after(3, (15, -1), value).collect()] == [r for r in own if r[1] is None or r[1] <= 15][:3]
