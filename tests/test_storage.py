@@ -44,3 +44,17 @@ def test_no_table_in_a_folder_of_the_driver(master, folder, refused):
             storage.shared_warehouse(session)
     else:
         assert storage.shared_warehouse(session) == found
+
+
+def test_tables_need_no_warehouse_of_their_own(spark, monkeypatch):
+    def refused(_):
+        raise ValueError("spark.sql.warehouse.dir")
+
+    monkeypatch.setattr(storage, "shared_warehouse", refused)  # as on a cluster whose session names a checkpoint folder only
+    before = len(storage._kept)
+    name = storage.bucketed(spark.range(100), "placed", 4, ["id"], ["id"])
+    where = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+    assert where.removeprefix("file:") == f"{storage.shared_dir(spark).removeprefix('file:')}/{name}"
+    assert "Exchange" not in spark.table(name).groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    storage.clean(before)
+    assert not storage.children(spark, where)
