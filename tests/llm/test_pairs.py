@@ -232,6 +232,18 @@ def test_cells_are_visited_as_far_as_recall_asks(spark, monkeypatch):
     assert visited[0][0] < 0.25 * visited[0][1] and visited[1][0] > 0.4 * visited[1][1]
 
 
+def test_queries_that_lie_unlike_the_other_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((50, 24))[np.arange(6000) % 50] + rng.standard_normal((6000, 24)) * 0.3
+    x[::20] = rng.standard_normal((300, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()}
+    scores = x[::20] @ x.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = {(20 * q, int(i)) for q in range(300) for i in np.argsort(-scores[q])[:20]}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_every_query_gets_k(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.standard_normal((30, 6)) * 0.01 + 9, rng.standard_normal((30, 6)) * 0.01 - 9, rng.standard_normal((3, 6))])
