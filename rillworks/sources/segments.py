@@ -14,6 +14,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +50,7 @@ class Segment(WriterCommitMessage):
     rows: int
     first: Id
     last: Id
+    version: int = 0  # that it came with
 
 
 @dataclass
@@ -72,6 +74,7 @@ class State:
         for name in {s for s in self.segments if gone and any(x.file in gone for x in self.segments[s])}:
             self.segments[name] = [x for x in self.segments[name] if x.file not in gone]
         for s in map(_segment, entry["added"]):
+            s.version = entry["version"]
             self.segments.setdefault(s.stream, []).append(s)
             self.last[s.stream] = s.last
         if entry["writer"] is not None:
@@ -80,11 +83,11 @@ class State:
 
 
 def _segment(x: list) -> Segment:
-    return Segment(x[0], x[1], x[2], tuple(x[3]), tuple(x[4]))
+    return Segment(x[0], x[1], x[2], tuple(x[3]), tuple(x[4]), *x[5:])
 
 
 def _plain(s: Segment) -> list:
-    return [s.stream, s.file, s.rows, list(s.first), list(s.last)]
+    return [s.stream, s.file, s.rows, list(s.first), list(s.last), s.version]
 
 
 class Log:
@@ -412,19 +415,22 @@ def polls(spark: SparkSession, path: str, group: str, per_stream: int | None = N
     return (out.option("streams", json.dumps(streams)) if streams is not None else out).load()
 
 
-def trimmed(path: str, cap: int) -> dict[str, int]:
-    """Drops the oldest whole segments of each stream as long as cap rows stay: it may keep more, by less than a segment, and never fewer. Only the manifest
-    is read. Returns how many rows of each stream went. A group that still stands before them loses them, as with any retention."""
+def trimmed(path: str, cap: int, appended: bool = False) -> dict[str, int]:
+    """Drops the oldest whole segments of each stream as long as cap rows stay: it may keep more, by less than a segment, and never fewer. appended: segments of
+    a stream that came by one append go together or stay together. Only the manifest is read. Returns how many rows of each stream went. A group that
+    still stands before them loses them, as with any retention."""
     log = Log(path)
     gone, files = {}, []
     for name, held in log.state().segments.items():
         left = sum(s.rows for s in held)
-        for s in held:
-            if left - s.rows < max(0, cap):
+        for _, together in groupby(held, lambda s: s.version if appended else s.file):
+            some = list(together)
+            n = sum(s.rows for s in some)
+            if left - n < max(0, cap):
                 break
-            left -= s.rows
-            gone[name] = gone.get(name, 0) + s.rows
-            files.append(s.file)
+            left -= n
+            gone[name] = gone.get(name, 0) + n
+            files += [s.file for s in some]
     if files:
         log.commit([], files)
         log.delete(files)

@@ -136,6 +136,15 @@ def test_retention_drops_whole_segments_by_the_manifest(spark, tmp_path):
         put(spark, path, "s", [49])
 
 
+def test_retention_by_appends_keeps_the_segments_of_one_together(spark, tmp_path):
+    log, made = segments.Log(str(tmp_path)), lambda lo, n: [segments.Segment("s", f"data/{i}", 4, (i, 0), (i + 3, 0)) for i in range(lo, lo + 4 * n, 4)]
+    for i in range(segments.EVERY + 2):  # beyond a state in full
+        log.commit(made(100 * i, 3))
+    assert segments.trimmed(log.path, 5, appended=True) == {"s": 12 * (segments.EVERY + 1)}
+    assert [s.first[0] for s in log.state().segments["s"]] == [100 * (segments.EVERY + 1) + i for i in (0, 4, 8)]
+    assert segments.trimmed(log.path, 5, appended=True) == {} and segments.trimmed(log.path, 5) == {"s": 4}
+
+
 def test_segments_are_cut_by_rows_and_a_poll_reads_in_them(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SEGMENT_ROWS", 4)
     log = segments.Log(str(tmp_path / "log"))
