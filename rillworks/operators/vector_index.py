@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .vector import dot, similar
+from .vector import dot, met, similar
 
 #: Bytes of centres that go to every task, which bounds the number of cells. Vectors that centres are fitted on, for each of them, and that probes are measured on.
 CENTRES_BYTES, FITTED, MEASURED = 64 << 20, 64, 200
@@ -96,11 +96,11 @@ class Index:
         vector among the k, by the bounds of its angles."""
         asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q")).where(dot(F.col("q"), F.col("q")) > 0).select("query_id", unit(F.col("q")).alias("q"))
         near, probes = self.near(asked), probes or self.probes()
-        found = self._first(self._scored(near.where(F.col("rank") <= probes)), k)
+        found = self._first(self._scored(near.where(F.col("rank") <= probes), k), k)
         if not exact:
             return found
         rest = self.open(near, found, k, probes)
-        return self._first(found.drop("rank").unionByName(self._scored(rest)), k)
+        return self._first(found.drop("rank").unionByName(self._scored(rest, k)), k)
 
     def open(self, near: DataFrame, found: DataFrame, k: int, probes: int) -> DataFrame:
         """Of near the cells after the first probes that can hold a vector among the k."""
@@ -109,11 +109,12 @@ class Index:
         out = (F.col("_n") >= k) & (best < F.col("_worst") - 1e-9)
         return near.where(F.col("rank") > probes).join(worst, "query_id", "left").where(~F.coalesce(out, F.lit(False))).select(near.columns)
 
-    def _scored(self, chosen: DataFrame) -> DataFrame:
+    def _scored(self, chosen: DataFrame, k: int) -> DataFrame:
         """The chosen cells alone are read: their numbers, not more of them than there are cells, prune the table's partitions at run time."""
         read = self.rows().join(F.broadcast(chosen.select("cell").distinct()), "cell", "left_semi")
-        pairs = read.join(chosen.select("query_id", "q", "cell"), "cell").where("id <> query_id")
-        return pairs.select("query_id", "id", dot(F.col("q"), F.col("v")).alias("similarity"))
+        one = F.lit(1.0)  # all are unit vectors
+        asked = chosen.select("query_id", F.col("q").alias("_q"), one.alias("_qn"), "cell")
+        return met(asked, read.select("id", F.col("v").alias("_v"), one.alias("_vn"), "cell"), ["cell"], k)
 
     @staticmethod
     def _first(scored: DataFrame, k: int) -> DataFrame:
