@@ -120,12 +120,12 @@ def _path(url: str) -> str:
 
 
 class FeedPolls(DataSourceStreamReader):
-    """Polls of feeds: an offset is the version of each feed that was last read, and a poll reads, a task each, those whose version is another one. A feed
+    """Polls of feeds: an offset is the version of each feed that was last read, and a poll reads, in TASKS tasks at most, those whose version is another one. A feed
     that can't be reached keeps its version. One that turns out to be malformed, or fails on the way, gives no row; it leaves a mark in the state's
     folder, by which its version counts as another one at the next poll, so it is read again then."""
 
-    #: Feeds that are asked for their versions at a time.
-    AT_ONCE = 16
+    #: Feeds that are asked for their versions at a time, and tasks of a poll at most: of more feeds a task reads several.
+    AT_ONCE, TASKS = 16, 200
 
     def __init__(self, urls: list[str], fetch: Callable[[str], str], version: Callable[[str], str], state: str):
         self.urls, self.fetch, self.version, self.log = urls, fetch, version, Log(state)
@@ -155,10 +155,15 @@ class FeedPolls(DataSourceStreamReader):
         self.at = dict(end)
         if self.log.standing("polls") != self.at:
             self.log.stand("polls", self.at)
-        return [InputPartition((i, url, end[url])) for i, url in enumerate(self.urls) if url in end and end[url] != start.get(url)]
+        changed = [(i, url, end[url]) for i, url in enumerate(self.urls) if url in end and end[url] != start.get(url)]
+        n = -(-len(changed) // self.TASKS) if changed else 1
+        return [InputPartition(changed[at : at + n]) for at in range(0, len(changed), n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        feed_idx, url, version = partition.value
+        for feed_idx, url, version in partition.value:
+            yield from self._read(feed_idx, url, version)
+
+    def _read(self, feed_idx: int, url: str, version: str) -> Iterator[tuple]:
         try:
             found = entries(self.fetch(url), url)
         except Exception:

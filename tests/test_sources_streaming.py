@@ -212,3 +212,14 @@ def test_a_feed_that_failed_counts_as_changed(tmp_path):
         assert len(parts) == 1 and list(polls.read(parts[0])) == [] and list(polls.read(parts[0])) == []  # a task that is tried again marks once
         start = end
     assert len(polls.log.names(polls._marks(str(tmp_path / "bad")))) == 3
+
+
+def test_a_poll_of_many_feeds_takes_few_tasks(tmp_path, monkeypatch):
+    urls = [str(tmp_path / f"f{i}") for i in range(25)]
+    for i, url in enumerate(urls):
+        (tmp_path / f"f{i}").write_text(f"<rss><channel><item><link>http://x/{i}</link></item></channel></rss>", encoding="utf-8")
+        assert url
+    polls = feeds.FeedPolls(urls, feeds.read_file, feeds.file_version, str(tmp_path / "state"))
+    monkeypatch.setattr(feeds.FeedPolls, "TASKS", 4)
+    parts = polls.partitions(polls.initialOffset(), polls.latestOffset())
+    assert len(parts) == 4 and [r[:3] for p in parts for r in polls.read(p)] == [(i, 0, f"http://x/{i}") for i in range(25)]
