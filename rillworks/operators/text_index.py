@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Texts of a partition of the index, and partitions of the posting lists for each of these.
 TEXTS, LISTS = 1_000, 2
+#: Texts whose grams a task holds at once.
+ROWS = 100
 #: Lists that are intersected, rarest first.
 RAREST = 4
 
@@ -41,10 +43,11 @@ class TextIndex:
         kind, lists = low.schema["key"].dataType.simpleString(), LISTS * parts
 
         def posted(batches):
-            for b in batches:
-                keys, found = b.column(0), [np.unique(np.concatenate([grams(t.encode()) for t in row if t is not None] or [np.zeros(0, np.int32)])) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
-                of = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)), keys.take(pa.array(of))], names=["gram", "key"])
+            for batch in batches:
+                for b in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                    keys, found = b.column(0), [np.unique(np.concatenate([grams(t.encode()) for t in row if t is not None] or [np.zeros(0, np.int32)])) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+                    of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)), keys.take(pa.array(of))], names=["gram", "key"])
 
         stored = spark.read.schema(low.schema).parquet(f"{path}/texts").select(low.columns)
         pairs = stored.mapInArrow(posted, f"gram int, key {kind}").withColumn("list", F.pmod(F.hash("gram"), F.lit(lists)))

@@ -91,3 +91,10 @@ def test_a_rare_text_reads_few_partitions(texts):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 2 and re.search(r"PartitionFilters: \[.*part#\d+ (IN|=)|PartitionFilters: \[.*part#\d+L? = ", plan)
     assert index.rarest("nothing like it") is None
+
+
+def test_grams_are_held_for_few_texts_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "ROWS", 2)
+    df = spark.createDataFrame([(i, f"text {i:03}") for i in range(9)], "id long, text string").coalesce(1)
+    index = TextIndex.build(df, str(tmp_path / "few"), "id", ["text"])
+    assert [r["id"] for r in index.search("T 007").collect()] == [7] and index.search("text").count() == 9
