@@ -25,8 +25,8 @@ def grams(text: bytes) -> np.ndarray:
 
 
 class TextIndex:
-    """Below path: ``texts`` (key, and the columns in lower case), partitioned by the key's hash; ``lists`` (gram, key), partitioned by the gram's bucket and
-    sorted by gram; ``sizes`` (gram, n), sorted; ``meta``."""
+    """Below path: ``texts`` (key, and the columns in lower case), partitioned by the key's hash; ``lists`` (gram, n, keys), partitioned by the gram's
+    bucket and sorted by gram, a row for a gram of some texts and not for each pair; ``sizes`` (gram, n), sorted; ``meta``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -45,14 +45,17 @@ class TextIndex:
         def posted(batches):
             for batch in batches:
                 for b in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
-                    keys, found = b.column(0), [np.unique(np.concatenate([grams(t.encode()) for t in row if t is not None] or [np.zeros(0, np.int32)])) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
-                    of = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)), keys.take(pa.array(of))], names=["gram", "key"])
+                    found = [np.unique(np.concatenate([grams(t.encode()) for t in row if t is not None] or [np.zeros(0, np.int32)])) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+                    of, all_ = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
+                    order = np.argsort(all_, kind="stable")
+                    own, first, n = np.unique(all_[order], return_index=True, return_counts=True)
+                    keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), b.column(0).take(pa.array(of[order])))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32)), keys], names=["gram", "n", "keys"])
 
         stored = spark.read.schema(low.schema).parquet(f"{path}/texts").select(low.columns)
-        pairs = stored.mapInArrow(posted, f"gram int, key {kind}").withColumn("list", F.pmod(F.hash("gram"), F.lit(lists)))
-        pairs.repartition("list").sortWithinPartitions("list", "gram", "key").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
-        sizes = spark.read.schema(f"gram int, key {kind}, list int").parquet(f"{path}/lists").groupBy("gram").agg(F.count("*").alias("n"))
+        rows = stored.mapInArrow(posted, f"gram int, n int, keys array<{kind}>").withColumn("list", F.pmod(F.hash("gram"), F.lit(lists)))
+        rows.repartition("list").sortWithinPartitions("list", "gram").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+        sizes = spark.read.schema("gram int, n int, list int").parquet(f"{path}/lists").groupBy("gram").agg(F.sum("n").alias("n"))
         sizes.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/sizes")
         meta = json.dumps({"key": key, "kind": kind, "columns": columns, "parts": parts, "lists": lists, "rows": n})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -72,9 +75,9 @@ class TextIndex:
 
     def candidates(self, chosen: list[int]) -> DataFrame:
         """key, part of texts that have all these grams: their lists alone are read, the rarest one first."""
-        lists = self.spark.read.schema(f"gram INT, key {self.meta['kind']}, list INT").parquet(f"{self.path}/lists")
+        lists = self.spark.read.schema(f"gram INT, keys ARRAY<{self.meta['kind']}>, list INT").parquet(f"{self.path}/lists")
         bucket = {r["g"]: r["b"] for r in self.spark.createDataFrame([(g,) for g in chosen], "g int").select("g", F.pmod(F.hash("g"), F.lit(self.meta["lists"])).alias("b")).collect()}
-        one = lambda g: lists.where((F.col("list") == bucket[g]) & (F.col("gram") == g)).select("key")
+        one = lambda g: lists.where((F.col("list") == bucket[g]) & (F.col("gram") == g)).select(F.explode("keys").alias("key"))
         met = reduce(lambda a, g: a.join(one(g), "key", "left_semi"), chosen[1:], one(chosen[0]))
         return met.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(self.meta["parts"])).cast("int"))
 

@@ -98,3 +98,12 @@ def test_grams_are_held_for_few_texts_at_once(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, f"text {i:03}") for i in range(9)], "id long, text string").coalesce(1)
     index = TextIndex.build(df, str(tmp_path / "few"), "id", ["text"])
     assert [r["id"] for r in index.search("T 007").collect()] == [7] and index.search("text").count() == 9
+
+
+def test_lists_have_a_row_for_a_gram_of_some_texts(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i:03}") for i in range(60)] + [(77, None)], "id long, text string").coalesce(1)
+    index = TextIndex.build(df, str(tmp_path / "packed"), "id", ["text"])
+    lists, sizes = spark.read.parquet(f"{index.path}/lists"), spark.read.parquet(f"{index.path}/sizes")
+    held = sizes.where(f"gram = {0x746578}").first()["n"]
+    assert held == 60 and lists.count() < sizes.agg({"n": "sum"}).first()[0] / 2
+    assert index.candidates(index.rarest("text")).count() == 60 and [r["id"] for r in index.search("t 059").collect()] == [59]
