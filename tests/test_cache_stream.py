@@ -61,3 +61,13 @@ def test_entries_leave_the_state(spark, tmp_path):
     left = run(spark, tmp_path, cache.ready)["stateOperators"][0]
     assert spark.read.parquet(str(tmp_path / "out")).where("not cached").count() == 20
     assert left["numRowsTotal"] == 5
+
+
+def test_keys_go_to_python_many_to_a_batch(spark, tmp_path):
+    feed(spark, str(tmp_path / "in"), [(f"u{i % 40}", i, i) for i in range(80)])
+    stream = spark.readStream.schema("url string, ts timestamp, id long").parquet(str(tmp_path / "in"))
+    started = cache.run(cache.through(stream, "url", "ts", "id", 60), str(tmp_path / "out"), str(tmp_path / "ckpt"), evict=False)
+    started.awaitTermination()
+    assert started.lastProgress["stateOperators"][0]["operatorName"] == "applyInPandasWithState" and started.lastProgress["numInputRows"] == 80
+    assert spark.read.parquet(str(tmp_path / "out")).where("cached").count() == 40
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
