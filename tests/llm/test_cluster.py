@@ -28,7 +28,7 @@ finally:
 """
 
 
-@pytest.mark.parametrize("name", ["op6_line_dedup"])
+@pytest.mark.parametrize("name", ["op6_line_dedup", "op7_substring_dedup"])
 def test_default_warehouse(duck, sf_dir, rows_of, tmp_path, name):
     ran = subprocess.run([sys.executable, "-c", RUN, str(ROOT), name, str(sf_dir), str(tmp_path)], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert not ran.returncode, ran.stderr[-2000:]
